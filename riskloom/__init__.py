@@ -1,3 +1,10 @@
 """riskloom: exposure-graph analytics on PySpark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
