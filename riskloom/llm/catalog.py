@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import problems_paths
+from . import problems_paths, problems_values
 
-QUERIES = dict(problems_paths.QUERIES)
-ORACLE = dict(problems_paths.ORACLE)
+QUERIES: dict = {}
+ORACLE: dict = {}
+for part in (problems_paths, problems_values):
+    QUERIES |= part.QUERIES
+    ORACLE |= part.ORACLE
