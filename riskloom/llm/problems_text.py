@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from ..session import table
+from ..session import materialise, table
+from .language import detect_languages, fit
 from .leakage import leaked_items
+from .packing import Limits, pack, token_sizes
+
+P7 = Limits(tokens=2_048, segments=64, loss=2_048)
+
+
+def p7_containers(spark, sf_dir):
+    sizes = materialise(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")  # each text is tokenised once
+    return pack(sizes, "doc_id", "n_tokens", "n_head", P7)
 
 
 def p8_found(spark, sf_dir):
@@ -11,5 +20,15 @@ def p8_found(spark, sf_dir):
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p8_found": p8_found}
+def p9_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return detect_languages(docs, "doc_id", "text", "lang", fit(docs, "doc_id", "text", "lang"))
+
+
+def p9_found(spark, sf_dir):
+    found = p9_segments(spark, sf_dir)
+    return found.where("CASE WHEN seg_no = 0 THEN label IS NULL OR label <> lang ELSE langs > 1 END").select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {"p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
