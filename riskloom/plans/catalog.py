@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import inventory_queries, problems
 
-FLAGSHIP = "p6_found"
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+FLAGSHIP = "edge_topk"
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+for part in (problems, inventory_queries):
+    QUERIES |= part.QUERIES
+    ORACLE |= part.ORACLE
