@@ -130,6 +130,7 @@ def pack(items: DataFrame, item: str, tokens: str, head: str, limits: Limits = L
         return out[[item, "piece", "first_token", "last_token", "n_tokens", "n_loss", "container", "place", "fill"]]
 
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64(item, "piece"), F.lit(groups)))
+    dealt = dealt.repartition(min(groups, 1_000 + groups // 16), "g")  # sizes are few bytes but packing them takes time: keep the tasks apart
     return dealt.groupBy("g").applyInPandas(
         fill, f"`{item}` {kind}, piece int, first_token bigint, last_token bigint, n_tokens bigint, n_loss bigint, container string, place int, fill double"
     )
