@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ ru и в на не что с для как но из по это был от т
 """
 
 
+@lru_cache(10_000)
 def label_code(label: str | None) -> str | None:
     """The two-letter code of a language label: a code, a name, with or without a region; None if it names none."""
     if not label:
@@ -70,15 +72,16 @@ def label_code(label: str | None) -> str | None:
     return _CODES.get(clean) or _CODES.get(re.split(r"[-_.@\s(/]", clean, maxsplit=1)[0])
 
 
-_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\w*\d\w*")
+_WORD = re.compile(r"[^\W_]+")
 _ORDERS = (5, 4, 3, 2, 1)
 
 
 def line_words(text: str) -> list[list[str]]:
     """The words of each line; anything with a digit is none, and a line of one short code has none."""
+    find = _WORD.findall
     out = []
     for line in folded(plain(text)).split("\n"):
-        ws = [w for w in _LETTERS.findall(line) if not any(c.isdigit() for c in w)]
+        ws = [w for w in find(line) if w.isalpha()]
         out.append(ws if len(ws) > 1 or (ws and len(ws[0]) > 3) else [])
     return out
 
@@ -119,7 +122,9 @@ class Model:
         for n in _ORDERS:
             if (sizes == n).any():
                 self.gram_table[sizes == n] = self._logs(grams[sizes == n])
-        self.unseen: dict[str, np.ndarray] = {}
+        self.room = 50_000  # unseen words remembered per worker
+        self.row = dict(self.words)
+        self.rows = self.table
 
     def _logs(self, table: np.ndarray) -> np.ndarray:
         p = np.log((table + self.smooth) / (table.sum(0) + self.smooth * len(table)))
@@ -131,18 +136,30 @@ class Model:
         s = f"^{word}$"
         return [s[i : i + n] for i in range(len(s) - n + 1)]
 
-    def word(self, w: str) -> np.ndarray:
-        """Log scores of one word, 0 for its best language."""
-        i = self.words.get(w)
-        if i is not None:
-            return self.table[i]
-        got = self.unseen.get(w)
-        if got is None:
-            got = self._backoff(w[:64])
-            if len(self.unseen) > 50_000:
-                self.unseen.clear()
-            self.unseen[w] = got
-        return got
+    def _number(self, w: str) -> int:
+        """The row of a word's log scores (0 for its best language); unseen words get one by backing off."""
+        n = len(self.row)
+        if n == len(self.words) + self.room:
+            self.row, n = dict(self.words), len(self.words)
+        if n == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((max(1_000, n // 4), len(self.langs)), np.float32)))
+        self.rows[n] = self._backoff(w[:64])
+        self.row[w] = n
+        return n
+
+    def emissions(self, lines: list[list[str]]) -> np.ndarray:
+        """One row of log scores per line that has words."""
+        get, ids = self.row.get, []
+        for ws in lines:
+            for w in ws:
+                k = get(w)
+                if k is None:
+                    k = self._number(w)
+                    get = self.row.get
+                ids.append(k)
+        sizes = [len(ws) for ws in lines if ws]
+        starts = np.cumsum([0, *sizes[:-1]])
+        return np.add.reduceat(self.rows[ids], starts, axis=0, dtype=np.float64)
 
     def _backoff(self, w: str) -> np.ndarray:
         for n in _ORDERS:
@@ -152,17 +169,19 @@ class Model:
                 return s - s.max()
         return np.zeros(len(self.langs), np.float32)
 
-    def lines(self, text: str) -> list[int]:
-        """For each line the number of its language, -1 where it has none: the best path with a price on changes."""
-        return self.score(text)[0]
-
-    def score(self, text: str) -> tuple[list[int], np.ndarray]:
-        rows = [sum(map(self.word, ws)) if ws else None for ws in line_words(text)]
-        out = [-1] * len(rows)
-        used = [i for i, r in enumerate(rows) if r is not None]
+    def score(self, text: str, words: list[list[str]] | None = None) -> tuple[list[int], np.ndarray]:
+        words = line_words(text) if words is None else words
+        out = [-1] * len(words)
+        used = [i for i, ws in enumerate(words) if ws]
         if not used:
             return out, np.zeros((0, len(self.langs)))
-        em = np.array([rows[i] for i in used], np.float64)
+        em = self.emissions(words)
+        first = em.argmax(1)
+        if (first == first[0]).all():  # every line's best without a change: nothing can beat that
+            k = int(first[0])
+            for i in used:
+                out[i] = k
+            return out, em
         best, back = em[0].copy(), []
         for e in em[1:]:
             top = int(best.argmax())
@@ -187,7 +206,7 @@ def _share(docs: DataFrame, doc_id: str, lang: str, fit_docs: int) -> DataFrame:
     return labelled
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_000, fit_words: int = 200_000, rounds: int = 1) -> Model:
+def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 10_000, fit_words: int = 200_000, rounds: int = 1) -> Model:
     """The word model, fitted on a bounded sample of labelled documents (about ``fit_docs``).
 
     First every line counts for its document's label; then, ``rounds`` times, for the language the model before
@@ -201,18 +220,18 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_0
         shared = spark.sparkContext.broadcast(model)
 
         def count(batches, shared=shared):
-            m, total = shared.value, Counter()
+            m, by = shared.value, {}
             for batch in batches:
                 for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     code = label_code(label)
                     if not t or (m is None and code is None):
                         continue
                     rows = line_words(t)
-                    tags = [code] * len(rows) if m is None else [m.langs[k] if k >= 0 else None for k in m.lines(t)]
+                    tags = [code] * len(rows) if m is None else [m.langs[k] if k >= 0 else None for k in m.score(t, rows)[0]]
                     for tag, ws in zip(tags, rows):
-                        if tag:
-                            total.update((tag, w) for w in ws if len(w) < 40)
-            cols = list(zip(*[(k[0], k[1], n) for k, n in total.items()])) or [[], [], []]
+                        if tag and ws:
+                            by.setdefault(tag, Counter()).update(ws)
+            cols = list(zip(*[(tag, w, n) for tag, c in by.items() for w, n in c.items() if len(w) < 40])) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
         found = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -260,23 +279,26 @@ def segments(m: Model, text: str):
     tags, em = m.score(text)
     if not len(em):
         return
-    sizes = [len(x) for x in text.split("\n")]
-    sizes += [0] * (len(tags) - len(sizes))
-    chars, runs, k = Counter(), [], 0
+    lines = text.split("\n")
+    sizes = [len(x) for x in lines] + [0] * (len(tags) - len(lines))
+    chars: dict[int, int] = {}
+    runs: list[list] = []  # language, characters, first line, last line, first and last row of scores
+    k = 0
     for i, tag in enumerate(tags):
         if tag < 0:
             continue
-        chars[tag] += sizes[i]
+        chars[tag] = chars.get(tag, 0) + sizes[i]
         if not runs or runs[-1][0] != tag:
-            runs.append([tag, 0, i, i, np.zeros(em.shape[1])])
-        runs[-1][1] += sizes[i]
-        runs[-1][3] = i
-        runs[-1][4] = runs[-1][4] + em[k]
+            runs.append([tag, 0, i, i, k, k])
+        run = runs[-1]
+        run[1] += sizes[i]
+        run[3], run[5] = i, k
         k += 1
     best = max(sorted(chars), key=chars.__getitem__)
-    yield 0, m.langs[best], _confidence(em.sum(0), best), sum(chars.values()), runs[0][2], runs[-1][3], len(chars)
-    for n, (tag, size, first, last, logs) in enumerate(runs, 1):
-        yield n, m.langs[tag], _confidence(logs, tag), size, first, last, len(chars)
+    whole = em.sum(0)
+    yield 0, m.langs[best], _confidence(whole, best), sum(chars.values()), runs[0][2], runs[-1][3], len(chars)
+    for n, (tag, size, first, last, a, b) in enumerate(runs, 1):
+        yield n, m.langs[tag], _confidence(whole if len(runs) == 1 else em[a : b + 1].sum(0), tag), size, first, last, len(chars)
 
 
 def _confidence(logs: np.ndarray, tag: int) -> float:

@@ -39,7 +39,7 @@ def repair(text: str) -> str:
 
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|font|a|code|sub|sup|mark|small|big|tt|del|ins|wbr)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>\n]{0,500}>", re.S)
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x180E, 0x034F, *range(0x202A, 0x202F), *range(0x2066, 0x206A)])
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff\u180e\u034f\u202a-\u202e\u2066-\u2069]+")
 
 
 def plain(text: str) -> str:
@@ -49,15 +49,17 @@ def plain(text: str) -> str:
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     if not text.isascii():
-        text = repair(text.translate(_INVISIBLE)).translate(_INVISIBLE)
+        text = _INVISIBLE.sub("", repair(_INVISIBLE.sub("", text)))
     return text
 
 
 # --- words ----------------------------------------------------------------------------------------------------
 
-_SPLIT = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>|*#]*(?=[^\W\d_])")
+_SPLIT = re.compile(r"-(?<=[^\W\d_]-)[ \t]*\r?\n[ \t>|*#]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-_SAME = str.maketrans({"ß": "ss", "ł": "l", "Ł": "l", "ø": "o", "Ø": "o", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "đ": "d", "Đ": "d", "ı": "i", "’": "'"})
+_SAME = {"ß": "ss", "ł": "l", "Ł": "l", "ø": "o", "Ø": "o", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "đ": "d", "Đ": "d", "ı": "i"}
+_ODD = re.compile("[" + "".join(_SAME) + "]")
+_COMBINING = re.compile("[" + "".join(chr(i) for i in range(0x300, 0x10000) if unicodedata.combining(chr(i))) + "]+")
 
 # Letters of other scripts that look like Latin ones, for words that mix scripts.
 _LOOK = str.maketrans("авекмнорстухіјѕԁԛһԝαβγεικνορτυχ", "abekmhopctyxijsdqhwabyeikvoptux")
@@ -68,8 +70,8 @@ def folded(text: str) -> str:
     """Lower case without accents; letters of other widths and forms as the plain ones."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text.translate(_SAME)).lower()
-    return "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
+    text = unicodedata.normalize("NFKD", _ODD.sub(lambda m: _SAME[m.group()], text)).lower()
+    return text if text.isascii() else _COMBINING.sub("", text)
 
 
 def words(text: str) -> list[str]:
@@ -78,6 +80,6 @@ def words(text: str) -> list[str]:
     if "-" in text:
         text = _SPLIT.sub("", text)
     found = _WORD.findall(folded(text))
-    if not text.isascii() and _OTHER.search(text.lower()):
+    if not text.isascii() and _OTHER.search(text):
         found = [w.translate(_LOOK) if _OTHER.search(w) and _LATIN.search(w) else w for w in found]
     return found
