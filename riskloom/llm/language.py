@@ -249,8 +249,8 @@ def detect_languages(docs: DataFrame, doc_id: str, text: str, lang: str, model:
     ``seg_no`` 0 is the document: the language most of its characters are in (ties: the earlier in the alphabet).
     ``seg_no`` 1, 2, ... are its segments in reading order: the longest runs of lines in one language; lines
     without language neither form nor break one. ``langs`` counts the document's languages, ``label`` is the code
-    its label names (null if none), ``confidence`` the share of the language in the posterior of all the
-    segment's (document's) words, damped for short ones. Null and empty texts and texts without any language
+    its label names (null if none), ``confidence`` of a segment is the share of its language in the
+    posterior of all its words, damped; of a document the share of its characters in the language, weighted so. Null and empty texts and texts without any language
     give no rows; rows with a null id are left out; repeated rows come out repeatedly. One pass over whole
     texts, map-only; other columns aren't read.
     """
@@ -295,10 +295,12 @@ def segments(m: Model, text: str):
         run[3], run[5] = i, k
         k += 1
     best = max(sorted(chars), key=chars.__getitem__)
-    whole = em.sum(0)
-    yield 0, m.langs[best], _confidence(whole, best), sum(chars.values()), runs[0][2], runs[-1][3], len(chars)
-    for n, (tag, size, first, last, a, b) in enumerate(runs, 1):
-        yield n, m.langs[tag], _confidence(whole if len(runs) == 1 else em[a : b + 1].sum(0), tag), size, first, last, len(chars)
+    sure = [_confidence(em[r[4] : r[5] + 1].sum(0), r[0]) for r in runs]
+    total = sum(chars.values())
+    share = sum(c * r[1] for c, r in zip(sure, runs) if r[0] == best) / total
+    yield 0, m.langs[best], share, total, runs[0][2], runs[-1][3], len(chars)
+    for n, (run, c) in enumerate(zip(runs, sure), 1):
+        yield n, m.langs[run[0]], c, run[1], run[2], run[3], len(chars)
 
 
 def _confidence(logs: np.ndarray, tag: int) -> float:

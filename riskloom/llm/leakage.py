@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textnorm import words
 
@@ -133,6 +134,7 @@ def leaked_items(
     """
     spark = docs.sparkSession
     kinds = docs.schema[doc_id].dataType, items.schema[item_id].dataType
+    item_type = to_arrow_type(kinds[1])
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, covered int, size int"
     slim = docs.select(F.col(doc_id), F.col(text)).where(F.col(doc_id).isNotNull() & (F.length(text) > 0))
     out, block, held = None, [], 0
@@ -151,7 +153,7 @@ def leaked_items(
                             for c, x in zip(cols, (d, a.ids[item], len(marks), a.sizes[item])):
                                 c.append(x)
                 if cols[0]:
-                    types = [batch.schema.field(0).type, None, pa.int32(), pa.int32()]
+                    types = [batch.schema.field(0).type, item_type, pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "covered", "size"])
 
         return slim.mapInArrow(each, schema)
