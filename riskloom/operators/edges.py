@@ -142,4 +142,4 @@ def edge_statistics(inv: DataFrame, names: tuple[str, ...] = ("apt", "ransomware
     per = e.groupBy("profile").agg(F.sum(n).alias("edges"), F.sum(n * F.col("posterior")).alias("mass"))
     nodes = inv.agg(F.count(F.lit(1)).alias("nodes"))
     out = per.crossJoin(nodes)  # one row beside three
-    return out.select("profile", "nodes", "edges", F.round(F.col("mass") / F.col("edges"), 6).alias("avg_posterior"), F.round(F.col("edges") / F.greatest("nodes", F.lit(1)), 6).alias("branching"))
+    return out.select("profile", "nodes", "edges", F.round(F.try_divide("mass", F.col("edges")), 6).alias("avg_posterior"), F.round(F.col("edges") / F.greatest("nodes", F.lit(1)), 6).alias("branching"))

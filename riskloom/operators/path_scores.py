@@ -80,7 +80,8 @@ def scored(paths: DataFrame) -> DataFrame:
     mean = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x) / F.greatest(ne, F.lit(1))
     effort = F.least(n * 0.5 + _count("privilege_escalation") * 1.5 + _count("credential_theft") * 1.0 + (1 - mean) * 3, F.lit(10.0))
     climb = F.aggregate(F.transform("nodes", lambda x, i: x["criticality"] * (i + 1)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    impact = F.least(climb / n / n * 20, F.lit(100.0))
+    size = F.greatest(n, F.lit(1))
+    impact = F.least(climb / size / size * 20, F.lit(100.0))
     techs = F.transform("edges", lambda e: e["technique"])
     ts = F.array_join(F.array_sort(F.array_distinct(techs)), "+")
     zones = without_repeats(F.transform("nodes", lambda x: x["asset_zone"]))

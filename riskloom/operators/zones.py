@@ -76,7 +76,7 @@ def detect(hosts: DataFrame, key: str, ip: str, hostname: str, services: str, vl
         F.round(F.aggregate(F.filter("__e", lambda x: x["zone"] == e["zone"]), F.lit(0.0), lambda a, x: a + x["confidence"]), 9).alias("total"), (-i).alias("turn"), e["zone"].alias("zone")
     ))
     out = hosts.select(key, found.alias("__e")).select(key, F.array_max(sums).alias("b"), F.size("__e").alias("evidences"))
-    return out.select(key, F.coalesce("b.zone", F.lit("unknown")).alias("zone"), F.coalesce(F.least(F.lit(1.0), F.col("b.total") / F.col("evidences")), F.lit(0.0)).alias("confidence"), "evidences")
+    return out.select(key, F.coalesce("b.zone", F.lit("unknown")).alias("zone"), F.when(F.col("evidences") > 0, F.least(F.lit(1.0), F.col("b.total") / F.col("evidences"))).otherwise(0.0).alias("confidence"), "evidences")
 
 
 def by_prefix(ip: Column) -> Column:
