@@ -92,27 +92,37 @@ def class_candidates(inv: DataFrame) -> DataFrame:
     return pairs
 
 
-def _posterior(i: int, factor: float) -> tuple[Column, Column]:
-    """(score without profile, score with the profile's factor) of technique ``i``, rounded so that ties are ties."""
-    prior = F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95))
-    score = lambda p: F.round(F.least(F.greatest(p * 0.3 + F.col(f"lk{i}") * 0.7, F.lit(0.05)), F.lit(0.98)), 9)
-    return score(prior), score(F.least(prior * factor, F.lit(0.95)))
+def _score(prior: Column, i: int) -> Column:
+    """Prior and evidence of technique ``i`` combined, to nine decimals so that equal scores are ties."""
+    raw = F.least(F.greatest(prior * 0.3 + F.col(f"lk{i}") * 0.7, F.lit(0.05)), F.lit(0.98))
+    return F.rint(raw * 1e9) / 1e9
 
 
 def class_edges(inv: DataFrame, names: tuple[str, ...] = ("apt", "ransomware", "insider")) -> DataFrame:
-    """Per profile, class and target the best technique (the first on ties) that passes both thresholds."""
+    """Per profile, class and target the best technique (the first on ties) that passes both thresholds.
+
+    The first threshold doesn't depend on the profile: what fails it for every technique (most pairs) is dropped
+    before any profile is looked at.
+    """
     first = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9
     second = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.lit(0)) - 1e-9
-    table = fixed.profiles()
+    table, techniques = fixed.profiles(), fixed.techniques()
+    pairs = class_candidates(inv).withColumns({f"prior{i}": F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95)) for i in range(len(techniques))})
+    pairs = pairs.withColumns({f"ok{i}": _score(F.col(f"prior{i}"), i) >= first for i in range(len(techniques))} | {"second": second})
+    alive = F.lit(False)
+    for i in range(len(techniques)):
+        alive = alive | F.col(f"ok{i}")
+    pairs = pairs.where(alive)
     each = []
     for name in names:
         options = []
-        for i, (t, _, _) in enumerate(fixed.techniques()):
-            base, post = _posterior(i, table[name].get(t, 1.0))
-            options.append(F.when((base >= first) & (post >= second), F.struct(post.alias("posterior"), F.lit(-i).alias("rank"), F.lit(t).alias("technique"))))
-        each.append(F.struct(F.lit(name).alias("profile"), F.array_max(F.array(*options)).alias("e")))
-    rows = class_candidates(inv).select("src_zone", "src_internet", "src_domain", "members", "tgt", F.explode(F.array(*each)).alias("p"))
-    return rows.where("p.e IS NOT NULL").select("src_zone", "src_internet", "src_domain", "members", "tgt", "p.profile", "p.e.technique", "p.e.posterior")
+        for i, (t, _, _) in enumerate(techniques):
+            post = _score(F.least(F.col(f"prior{i}") * table[name].get(t, 1.0), F.lit(0.95)), i)
+            options.append(F.when(F.col(f"ok{i}"), F.struct(post.alias("posterior"), F.lit(-i).alias("rank"), F.lit(t).alias("technique"))))
+        best = F.array_max(F.array(*options))
+        each.append(F.struct(F.lit(name).alias("profile"), best.alias("e")))
+    rows = pairs.select("src_zone", "src_internet", "src_domain", "members", "tgt", "second", F.explode(F.array(*each)).alias("p"))
+    return rows.where("p.e.posterior >= second").select("src_zone", "src_internet", "src_domain", "members", "tgt", "p.profile", "p.e.technique", "p.e.posterior")
 
 
 def adjacency(inv: DataFrame, names: tuple[str, ...] = ("apt", "ransomware", "insider"), k: int = K) -> DataFrame:

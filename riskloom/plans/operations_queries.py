@@ -71,7 +71,7 @@ e AS (SELECT id, 0 AS k, {_case('cidr', _between, 0)} AS zone, {_case('cidr', _b
 t AS (SELECT id, zone, round(sum(c), 9) AS total, min(k) AS k FROM e WHERE zone IS NOT NULL GROUP BY id, zone),
 n AS (SELECT id, count(*) AS evidences FROM e WHERE zone IS NOT NULL GROUP BY id),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY total DESC, k) AS rn FROM t) WHERE rn = 1)
-SELECT i.id, coalesce(b.zone, 'unknown') AS zone, round(coalesce(least(1, b.total / evidences), 0), 6) AS confidence, coalesce(evidences, 0) AS evidences FROM inv i LEFT JOIN b ON b.id = i.id LEFT JOIN n ON n.id = i.id""")
+SELECT i.id, coalesce(b.zone, 'unknown') AS zone, round(CASE WHEN evidences > 0 THEN least(1, b.total / evidences) ELSE 0 END, 6) AS confidence, coalesce(evidences, 0) AS evidences FROM inv i LEFT JOIN b ON b.id = i.id LEFT JOIN n ON n.id = i.id""")
 def zone_detection(spark, sf_dir):
     known = {"sql": "sql-server", "http": "nginx", "kerberos": "active-directory"}
 
