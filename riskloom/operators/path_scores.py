@@ -101,6 +101,28 @@ def scored(paths: DataFrame) -> DataFrame:
     )
 
 
+def realism() -> Column:
+    """How plausible a scored path is: probability, exploit scores of its nodes (``epss`` of each, geometric mean),
+    evidence, narrow intervals, a length near five; the share for search visits counts as full."""
+    n = F.greatest(F.size("nodes"), F.lit(1))
+    logs = F.aggregate(F.transform("nodes", lambda x: F.log(F.greatest(F.coalesce(x["epss"], F.lit(0.05)), F.lit(0.01)))), F.lit(0.0), lambda a, x: a + x)
+    wide = F.aggregate(F.transform("edges", lambda e: F.get(e["confidence_interval"], F.lit(1)) - F.get(e["confidence_interval"], F.lit(0))), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.2)))
+    narrow = 1 - wide / F.greatest(F.size("edges"), F.lit(1))
+    evidence = F.when(F.size("edges") > 0, 1 / 3).otherwise(0.0)
+    return F.col("probability") * 0.25 + F.exp(logs / n) * 0.20 + evidence * 0.20 + narrow * 0.15 + F.greatest(F.lit(0.0), 1 - F.abs(n - 5) * 0.05) * 0.10 + 0.10
+
+
+def reward() -> Column:
+    """The terminal reward of a scored path: target, variety of categories, length, weakest edge, detection."""
+    nodes, n = F.col("nodes"), F.size("nodes")
+    kinds = F.size(F.array_distinct(F.filter(F.transform(nodes, lambda x: x["misconfig_category"]), lambda c: c.isNotNull())))
+    each = F.transform(nodes, lambda x: F.when(x["misconfig_id"].isNull(), 0.0).when(x["severity"] == "critical", 0.08).when(x["misconfig_category"] == "authentication", 0.02).otherwise(0.04))
+    risk = F.least(F.aggregate(each, F.lit(0.15), lambda a, x: a + x), F.lit(0.5))
+    length = F.when(n < 4, 0.4).when(n <= 7, 1.3).when(n <= 10, 1.0).otherwise(0.7)
+    goal = F.coalesce(F.try_element_at("nodes", F.lit(-1))["criticality"], F.lit(0)) / 5
+    return goal * (1 + F.least(kinds / 5, F.lit(1.0)) * 1.5) * length * (0.5 + F.coalesce(F.col("min_edge"), F.lit(1.0)) * 0.5) * (1 - risk)
+
+
 def coherence(probability: Column) -> Column:
     """0 to 100: zone hops, tier climb, entry, target and probability, 20 points each; from the row's node list."""
     nodes = F.col("nodes")

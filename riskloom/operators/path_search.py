@@ -58,9 +58,9 @@ def as_paths(found: DataFrame, inv: DataFrame, profile: str) -> DataFrame:
     steps = rows.select("path_id", F.posexplode("path").alias("pos", "asset_id"))
     info = inv.select(
         F.col("id").alias("asset_id"), F.col("name").alias("asset_name"), F.col("type").alias("asset_type"), F.col("zone").alias("asset_zone"),
-        "criticality", "internet_facing", F.col("sensitivity").alias("data_sensitivity"), F.col("top.finding_id").alias("misconfig_id"), F.col("top.category").alias("misconfig_category"),
+        "criticality", "internet_facing", F.col("sensitivity").alias("data_sensitivity"), F.col("top.finding_id").alias("misconfig_id"), F.col("top.category").alias("misconfig_category"), F.col("top.severity").alias("severity"), _epss().alias("epss"),
     )
-    node = F.struct("pos", "asset_id", "asset_name", "asset_type", "asset_zone", "criticality", "internet_facing", "data_sensitivity", "misconfig_id", "misconfig_category")
+    node = F.struct("pos", "asset_id", "asset_name", "asset_type", "asset_zone", "criticality", "internet_facing", "data_sensitivity", "misconfig_id", "misconfig_category", "severity", "epss")
     nodes = steps.join(info, "asset_id").groupBy("path_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
     ends = F.transform(
         F.col("techniques"),
@@ -72,5 +72,11 @@ def as_paths(found: DataFrame, inv: DataFrame, profile: str) -> DataFrame:
     return rows.select("path_id", F.lit(profile).alias("profile"), "entry", ends.alias("edges"), F.col("p").alias("path_probability")).join(nodes, "path_id")
 
 
+def _epss():
+    """The largest exploit score among an asset's findings; missing ones by severity."""
+    known = lambda f: F.coalesce(f["epss"], F.when((f["severity"] == "critical") & f["exploit_available"], 0.7).when(f["severity"] == "critical", 0.3).when(f["severity"] == "high", 0.15).otherwise(0.05))
+    return F.coalesce(F.array_max(F.transform("findings", known)), F.lit(0.05))
+
+
 def technique_label(c):
     return fixed.switch(c, {t: label for t, _, label in fixed.techniques()}, "unknown")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import edges, path_scores as ps, path_search, targets
+from ..operators import edges, path_scores as ps, path_search, scenario, targets
 from ..operators.inventory import findings_of, top_finding
 from ..session import materialise, table
 from . import sql
@@ -95,8 +95,8 @@ def exposure_report(spark, sf_dir):
     """The best searched path of each pattern with all its scores, as one JSON document a row."""
     i, entries, goals, walkable = _search(spark, sf_dir)
     paths = ps.scored(path_search.as_paths(path_search.search(walkable, entries, goals), i, "apt"))
-    best = ps.best_per_pattern(paths, "path_probability", 5)
-    return best.select("rank", "path_id", F.to_json(F.struct("entry", "nodes", "edges", "path_probability", "effort", "impact", "phases", "label")).alias("document"))
+    best = ps.best_per_pattern(paths.withColumns({"realism": F.round(ps.realism(), 6), "reward": F.round(ps.reward(), 6)}), "realism", 5)
+    return best.select("rank", "path_id", F.to_json(F.struct("entry", "nodes", "edges", "path_probability", "realism", "reward", "effort", "impact", "phases", "label")).alias("document"))
 
 
 QUERIES["exposure_report"] = exposure_report
@@ -234,3 +234,28 @@ def epss_geometric_mean(spark, sf_dir):
     s = F.coalesce("epss", F.when((F.col("severity") == "critical") & F.col("exploit_available"), 0.7).when(F.col("severity") == "critical", 0.3).when(F.col("severity") == "high", 0.15).otherwise(0.05))
     g = f.groupBy("asset_id").agg(F.exp(F.avg(F.log(F.greatest(s, F.lit(0.01))))).alias("e"))
     return inv(spark, sf_dir).select("id").join(g, F.col("id") == F.col("asset_id"), "left").select("id", F.round(F.coalesce("e", F.lit(0.01)), 6).alias("epss"))
+
+
+_sc_aff = "(CASE " + " ".join(
+    [f"WHEN technique = '{r.split()[0]}' AND b.type IN ({_in(' '.join(r.split()[2:]))}) THEN {r.split()[1]}::DOUBLE" for r in scenario.AFFINITY_TYPES.strip().splitlines()]
+    + [f"WHEN technique = '{scenario.AFFINITY_ZONES.split()[0]}' AND b.zone IN ({_in(' '.join(scenario.AFFINITY_ZONES.split()[2:]))}) THEN {scenario.AFFINITY_ZONES.split()[1]}::DOUBLE"]
+) + " ELSE 1::DOUBLE END)"
+_cut = lambda p: f"round(least(greatest({p} * 0.3::DOUBLE + lk * 0.7::DOUBLE, 0.05::DOUBLE), 0.98::DOUBLE), 9)"
+
+
+@query(sql.with_(sql.INV, sql.FND, sql.TECH, sql.PROFILE, sql.CATTECH) + f""", lk AS (
+  SELECT i.id, t.ti, CASE WHEN count(f.finding_id) = 0 THEN 0.3::DOUBLE ELSE least(count(f.finding_id) * 0.15::DOUBLE + count(*) FILTER (f.severity = 'critical' AND f.exploit_available) * 0.25::DOUBLE + count(*) FILTER (f.severity = 'high') * 0.1::DOUBLE, 0.95::DOUBLE) END AS lk
+  FROM inv i CROSS JOIN tech t LEFT JOIN (SELECT fnd.*, c.technique FROM fnd JOIN cattech c ON c.category = fnd.category) f ON f.asset_id = i.id AND f.technique = t.technique GROUP BY i.id, t.ti),
+x AS (SELECT asset_id, count(*) FILTER (severity = 'critical' AND exploit_available) AS n FROM fnd GROUP BY asset_id),
+c AS (SELECT a.id AS src, b.id AS tgt, t.ti, technique, lk.lk, least(t.base * (1 + b.criticality * 0.08::DOUBLE) * (1 + coalesce(x.n, 0) * 0.15::DOUBLE) * {_sc_aff}
+    * (pow(0.6::DOUBLE, r.dist) * (CASE WHEN a.internet_facing THEN 1.4::DOUBLE ELSE 1::DOUBLE END) * (CASE WHEN a.domain_joined AND b.domain_joined THEN 1.2::DOUBLE ELSE 1::DOUBLE END)), 0.95::DOUBLE) AS prior
+  FROM inv a JOIN {fixed.values(scenario.reach(), 'r', 'rs, rt, dist')} ON a.zone = r.rs JOIN inv b ON b.zone = r.rt AND b.id <> a.id CROSS JOIN tech t JOIN lk ON lk.id = b.id AND lk.ti = t.ti LEFT JOIN x ON x.asset_id = b.id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {_cut('prior')} DESC, tgt, ti) AS rn FROM c WHERE {_cut('prior')} >= 0.5) WHERE rn <= 20)
+SELECT * FROM (SELECT profile, src, tgt, technique, round({_cut('least(prior * mult, 0.95::DOUBLE)')}, 6) AS posterior FROM k JOIN prof USING (technique)) WHERE posterior >= 0.5""")
+def scenario_transitions(spark, sf_dir):
+    return scenario.transitions(inv(spark, sf_dir)).withColumn("posterior", F.round("posterior", 6))
+
+
+@query(sql.with_(*sql.BASE) + "SELECT i.id, round(max(coalesce(f.epss, 0)) * 10 + (CASE WHEN internet_facing THEN 3 ELSE 0 END) + (CASE WHEN zone = 'dmz' THEN 2 ELSE 1 END), 6) AS score FROM inv i JOIN fnd f ON f.asset_id = i.id GROUP BY i.id, internet_facing, zone")
+def scenario_entry_scores(spark, sf_dir):
+    return scenario.entry_score(inv(spark, sf_dir))
