@@ -272,12 +272,12 @@ def tumbling_counts(spark, sf_dir):
     return ntz(st.tumbling(ev(spark, sf_dir)))
 
 
-@query(EV + "SELECT h - INTERVAL (k) HOUR AS start, sum(n) AS n, sum(e) AS errors FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n, count(*) FILTER (kind = 'target_error') AS e FROM ev GROUP BY 1), (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY 1")
+@query(EV + "SELECT h - INTERVAL (k) HOUR AS start, CAST(sum(n) AS BIGINT) AS n, CAST(sum(e) AS BIGINT) AS errors FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n, count(*) FILTER (kind = 'target_error') AS e FROM ev GROUP BY 1), (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY 1")
 def sliding_rates(spark, sf_dir):
     return ntz(st.sliding(ev(spark, sf_dir)))
 
 
-@query(EV + "SELECT start, n, sum(n) OVER (ORDER BY start RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS trailing FROM (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM ev GROUP BY 1)")
+@query(EV + "SELECT start, n, CAST(sum(n) OVER (ORDER BY start RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing FROM (SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM ev GROUP BY 1)")
 def trailing_counts(spark, sf_dir):
     """Each hour with the five hours up to it. The hours are spread by day; each day's windows see the day before."""
     h = st.tumbling(ev(spark, sf_dir)).select("start", "n")
