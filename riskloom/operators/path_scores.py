@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,9 +149,9 @@ def chokepoints(paths: DataFrame, top: int = 5) -> DataFrame:
     return c.select("asset_id", "paths_through", F.floor(F.col("paths_through") * 100 / F.greatest("total", F.lit(1)) + 0.5).alias("blocking_impact")).orderBy(F.desc("paths_through"), "asset_id").limit(top)
 
 
-def best_per_pattern(paths: DataFrame, score: str, top: int) -> DataFrame:
-    """The best path of every pattern, ranked; patterns are keyed by ``signature``, ties by path id."""
+def best_per_pattern(paths: DataFrame, score: str, top: int, ties: Sequence[str | Column] = ("path_id",)) -> DataFrame:
+    """The best path of every pattern, ranked; patterns are keyed by ``signature``, ties by path id unless given."""
     rows = paths.where(F.col("signature").isNotNull() & F.col(score).isNotNull())
-    w = Window.partitionBy("signature").orderBy(F.desc(score), "path_id")
-    best = rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").orderBy(F.desc(score), "path_id").limit(top)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "path_id")))  # ``top`` rows only
+    w = Window.partitionBy("signature").orderBy(F.desc(score), *ties)
+    best = rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").orderBy(F.desc(score), *ties).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), *ties)))  # ``top`` rows only

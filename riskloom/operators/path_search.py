@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,33 +14,34 @@ from ..session import materialise
 MIN_NODES, MAX_DEPTH, BEAM = 4, 7, 3
 
 
-def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: int = BEAM, max_depth: int = MAX_DEPTH, min_nodes: int = MIN_NODES) -> DataFrame:
-    """``entry, node, path, techniques, probs, p``: simple paths of at least ``min_nodes`` nodes that end in a target.
+def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: int = BEAM, max_depth: int = MAX_DEPTH, min_nodes: int = MIN_NODES, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, entry, node, path, techniques, probs, p``: simple paths of at least ``min_nodes`` nodes that end in a target.
 
     ``adjacency``: src, tgt, technique, posterior of one profile, targets of transitions that may be entered only.
+    ``by``: columns of transitions and entries that keep several graphs apart (the profile), searched side by side.
     Level by level every kept path is joined with the transitions of its last node; of the paths that reach the
     same node from the same entry the ``beam`` likeliest are kept (ties by the path as text). Paths aren't led
     past a target. With a beam as large as the number of simple paths the search is exhaustive. What is kept is
     at most entries x nodes x beam per level; every level is written, so plans stay small and a lost executor
     costs one level.
     """
-    adj = materialise(adjacency.select("src", "tgt", "technique", "posterior"), "adjacency")
+    adj = materialise(adjacency.select(*by, "src", "tgt", "technique", "posterior"), "adjacency")
     stop = materialise(targets.select(F.col("id").alias("node")).distinct().withColumn("hit", F.lit(True)), "targets")
-    level = entries.select(F.col("id").alias("entry"), F.col("id").alias("node")).distinct()
+    level = entries.select(*by, F.col("id").alias("entry"), F.col("id").alias("node")).distinct()
     level = level.select(
-        "entry", "node", F.array("node").alias("path"), F.array().cast("array<string>").alias("techniques"), F.array().cast("array<double>").alias("probs"), F.lit(1.0).alias("p")
+        *by, "entry", "node", F.array("node").alias("path"), F.array().cast("array<string>").alias("techniques"), F.array().cast("array<double>").alias("probs"), F.lit(1.0).alias("p")
     ).join(stop, "node", "left")
     level = materialise(level, "level")
     found = None
-    w = Window.partitionBy("entry", "tgt").orderBy(F.desc("q"), F.array_join("longer", ">"))
+    w = Window.partitionBy(*by, "entry", "tgt").orderBy(F.desc("q"), F.array_join("longer", ">"))
     for depth in range(1, max_depth + 1):
-        steps = level.where("hit IS NULL").join(adj, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("tgt")))
+        steps = level.where("hit IS NULL").join(adj.withColumnRenamed("src", "node"), [*by, "node"]).where(~F.array_contains("path", F.col("tgt")))
         steps = steps.select(
-            "entry", "tgt", F.array_append("path", F.col("tgt")).alias("longer"), F.array_append("techniques", F.col("technique")).alias("techniques"),
+            *by, "entry", "tgt", F.array_append("path", F.col("tgt")).alias("longer"), F.array_append("techniques", F.col("technique")).alias("techniques"),
             F.array_append("probs", F.col("posterior")).alias("probs"), F.round(F.col("p") * F.col("posterior"), 12).alias("q"),
         )
         best = steps.withColumn("r", F.row_number().over(w)).where(F.col("r") <= beam)
-        level = best.select("entry", F.col("tgt").alias("node"), F.col("longer").alias("path"), "techniques", "probs", F.col("q").alias("p")).join(stop, "node", "left")
+        level = best.select(*by, "entry", F.col("tgt").alias("node"), F.col("longer").alias("path"), "techniques", "probs", F.col("q").alias("p")).join(stop, "node", "left")
         level = materialise(level, "level")
         if level.isEmpty():
             break
@@ -48,7 +51,7 @@ def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: i
     return level.drop("hit").limit(0) if found is None else found
 
 
-def as_paths(found: DataFrame, inv: DataFrame, profile: str) -> DataFrame:
+def as_paths(found: DataFrame, inv: DataFrame, profile: str | Column) -> DataFrame:
     """Found paths in the shape of stored ones: path_id, profile, nodes, edges, path_probability.
 
     The path's own nodes are joined with the inventory by id and put back in order; the id is the hash of the

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..session import materialise
@@ -17,17 +20,23 @@ def is_target() -> Column:
     return sure | (F.col("type").isin(*fixed.TARGETS_LIKELY.split()) & (F.col("criticality") == 5))
 
 
-def target_distances(adjacency: DataFrame, targets: DataFrame, max_hops: int = 8) -> DataFrame:
-    """``id, dist``: hops from every node to its nearest target along ``adjacency`` (src, tgt), up to ``max_hops``.
+def each_profile(df: DataFrame, names: Sequence[str] = ("apt", "ransomware", "insider")) -> DataFrame:
+    """Every row once per profile."""
+    return df.withColumn("profile", F.explode(F.array(*[F.lit(n) for n in names])))
+
+
+def target_distances(adjacency: DataFrame, targets: DataFrame, max_hops: int = 8, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, id, dist``: hops from every node to its nearest target along ``adjacency`` (src, tgt), up to ``max_hops``.
 
     Breadth first from all targets at once over the reversed edges. Each round joins the frontier only, drops
-    what is known and is written, so the plan never grows; it stops when nothing new is reached.
+    what is known and is written, so the plan never grows; it stops when nothing new is reached. ``by``: columns of
+    both inputs that keep several graphs apart (the profile).
     """
-    known = materialise(targets.select("id").distinct().withColumn("dist", F.lit(0)), "reached")
+    known = materialise(targets.select(*by, "id").distinct().withColumn("dist", F.lit(0)), "reached")
     frontier = known
     for hop in range(1, max_hops + 1):
-        step = adjacency.join(frontier.select(F.col("id").alias("tgt")), "tgt", "left_semi").select(F.col("src").alias("id")).distinct()
-        fresh = materialise(step.join(known.select("id"), "id", "left_anti").withColumn("dist", F.lit(hop)), "frontier")
+        step = adjacency.join(frontier.select(*by, F.col("id").alias("tgt")), [*by, "tgt"], "left_semi").select(*by, F.col("src").alias("id")).distinct()
+        fresh = materialise(step.join(known.select(*by, "id"), [*by, "id"], "left_anti").withColumn("dist", F.lit(hop)), "frontier")
         if fresh.isEmpty():
             break
         known, frontier = known.unionByName(fresh), fresh
@@ -42,10 +51,19 @@ def entry_candidates(inv: DataFrame) -> DataFrame:
     return rows.select("id", "zone", "criticality", "internet_facing", "f.finding_id", "f.severity", "f.epss", (F.col("criticality") * weight).alias("base"))
 
 
-def entry_points(inv: DataFrame, distances: DataFrame, top: int = 10) -> DataFrame:
-    """``id, finding_id, score, rerank``: the ``top`` entry points; ties by asset, then finding."""
-    c = entry_candidates(inv).join(distances, "id", "left").withColumn("dist", F.coalesce("dist", F.lit(FAR)))
+def entry_points(inv: DataFrame, distances: DataFrame, top: int = 10, profiles: Sequence[str] = ()) -> DataFrame:
+    """``id, finding_id, score, rerank``: the ``top`` entry points; ties by asset, then finding.
+
+    With ``profiles``, ``distances`` has a profile column and so has the result: the ``top`` of each profile.
+    """
+    c = entry_candidates(inv)
+    c = each_profile(c, profiles).join(distances, ["profile", "id"], "left") if profiles else c.join(distances, "id", "left")
+    c = c.withColumn("dist", F.coalesce("dist", F.lit(FAR)))
     near = F.when(F.col("dist") <= 1, 8).when(F.col("dist") <= 2, 5).when(F.col("dist") <= 3, 2).otherwise(0)
     plus = F.when(F.col("internet_facing"), 5).otherwise(0) + F.coalesce("epss", F.lit(0.0)) * 3
     score, again = F.col("base") + plus + near, F.col("base") + plus + F.when(F.col("dist") <= 2, 5).otherwise(0)
-    return c.select("id", "finding_id", F.round(score, 9).alias("score"), F.round(again, 9).alias("rerank")).orderBy(F.desc("score"), "id", "finding_id").limit(top)
+    by = ["profile"] if profiles else []
+    out, order = c.select(*by, "id", "finding_id", F.round(score, 9).alias("score"), F.round(again, 9).alias("rerank")), [F.desc("score"), "id", "finding_id"]
+    if profiles:
+        return out.withColumn("r", F.row_number().over(Window.partitionBy("profile").orderBy(*order))).where(F.col("r") <= top).drop("r")
+    return out.orderBy(*order).limit(top)

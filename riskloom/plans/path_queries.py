@@ -64,6 +64,7 @@ def _apt(i):
 
 @query(GRAPH.rstrip() + f",\n{TGT},\n{APT},\n{DIST}\nSELECT id, dist FROM dist")
 def target_distance(spark, sf_dir):
+    """Under the apt profile, as its SQL has it; ``profile_target_distance`` has all three."""
     i = materialise(inv(spark, sf_dir), "inventory")
     adj = materialise(_apt(i).select("src", "tgt"), "adjacency")
     return targets.target_distances(adj, i.where(targets.is_target()))
@@ -80,23 +81,96 @@ def _search(spark, sf_dir):
 
 @query(GRAPH.rstrip() + f",\n{TGT},\n{APT},\n{DIST},\n{ENTRY}\nSELECT id, finding_id, round(score, 6) AS score, round(rerank, 6) AS rerank FROM entry")
 def entry_points(spark, sf_dir):
+    """Under the apt profile, as its SQL has it; ``profile_entry_points`` has all three."""
     return _search(spark, sf_dir)[1].select("id", "finding_id", F.round("score", 6).alias("score"), F.round("rerank", 6).alias("rerank"))
 
 
 @query(GRAPH.rstrip() + f",\n{TGT},\n{APT},\n{DIST},\n{ENTRY},\n{_beam()}\nSELECT array_to_string(path, '>') AS path, array_to_string(techniques, '+') AS techniques, round(p, 6) AS p FROM found")
 def exposure_paths(spark, sf_dir):
-    """The whole analysis: transitions, targets, distances, entry points and the beam search between them."""
+    """The analysis under the apt profile, as its SQL has it; ``profile_exposure_paths`` runs all three profiles."""
     _, entries, goals, walkable = _search(spark, sf_dir)
     found = path_search.search(walkable, entries, goals)
     return found.select(F.array_join("path", ">").alias("path"), F.array_join("techniques", "+").alias("techniques"), F.round("p", 6).alias("p"))
 
 
+PROFILES = tuple(fixed.profiles())
+APT3 = "apt3 AS MATERIALIZED (SELECT profile, src, tgt, technique, posterior FROM adj),\nprofs AS (SELECT DISTINCT profile FROM prof)"
+DIST3 = """walk3(profile, id, d) USING KEY (profile, id) AS (SELECT profile, id, 0 FROM tgt, profs
+  UNION SELECT a.profile, a.src, min(w.d + 1) FROM walk3 w JOIN apt3 a ON a.tgt = w.id AND a.profile = w.profile
+    LEFT JOIN recurring.walk3 k ON k.profile = a.profile AND k.id = a.src WHERE k.id IS NULL GROUP BY ALL),
+dist3 AS (SELECT profile, id, d AS dist FROM walk3)"""
+ENTRY3 = """entry3 AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, id, finding_id) AS rn FROM (
+  SELECT profile, id, finding_id, round(base + plus + (CASE WHEN d <= 1 THEN 8 WHEN d <= 2 THEN 5 WHEN d <= 3 THEN 2 ELSE 0 END), 9) AS score,
+    round(base + plus + (CASE WHEN d <= 2 THEN 5 ELSE 0 END), 9) AS rerank FROM (
+    SELECT profs.profile, i.id, f.finding_id, i.criticality * (CASE f.severity WHEN 'critical' THEN 4 ELSE 3 END) AS base, coalesce(dist3.dist, 99) AS d,
+      (CASE WHEN internet_facing THEN 5 ELSE 0 END) + coalesce(f.epss, 0) * 3::DOUBLE AS plus
+    FROM inv i JOIN fnd f ON f.asset_id = i.id CROSS JOIN profs LEFT JOIN dist3 ON dist3.id = i.id AND dist3.profile = profs.profile
+    WHERE f.severity IN ('critical', 'high') AND (internet_facing OR zone IN ('dmz', 'mgmt') OR (criticality >= 4 AND zone IN ('corp', 'staging')))))) WHERE rn <= 10)"""
+
+
+def _beam3() -> str:
+    out = ["lv0 AS MATERIALIZED (SELECT DISTINCT profile, id AS entry, id AS node, [id] AS path, []::VARCHAR[] AS techniques, 1.0::DOUBLE AS p, id IN (SELECT id FROM tgt) AS hit FROM entry3)"]
+    for d in range(1, path_search.MAX_DEPTH + 1):
+        out.append(
+            f"""lv{d} AS MATERIALIZED (SELECT profile, entry, tgt AS node, path, techniques, p, tgt IN (SELECT id FROM tgt) AS hit FROM (
+  SELECT *, row_number() OVER (PARTITION BY profile, entry, tgt ORDER BY p DESC, array_to_string(path, '>')) AS rn FROM (
+    SELECT l.profile, entry, a.tgt, list_append(path, a.tgt) AS path, list_append(techniques, a.technique) AS techniques, round(p * a.posterior, 12) AS p
+    FROM lv{d - 1} l JOIN apt3 a ON a.src = l.node AND a.profile = l.profile WHERE NOT hit AND NOT list_contains(l.path, a.tgt)
+      AND a.tgt IN (SELECT asset_id FROM fnd))) WHERE rn <= {path_search.BEAM})"""
+        )
+    hits = " UNION ALL ".join(f"SELECT profile, entry, node, path, techniques, p FROM lv{d} WHERE hit" for d in range(path_search.MIN_NODES - 1, path_search.MAX_DEPTH + 1))
+    return ",\n".join(out) + f",\nfound AS ({hits})"
+
+
+def _search_all(spark, sf_dir):
+    """``_search`` for every profile: one pass over the transitions, distances and entries of each profile's own graph."""
+    i = materialise(top_finding(inv(spark, sf_dir)), "inventory")
+    adj = materialise(edges.adjacency(i, PROFILES), "adjacency")
+    goals = i.where(targets.is_target()).select("id")
+    dist = targets.target_distances(adj, targets.each_profile(goals, PROFILES), by=["profile"])
+    entries = targets.entry_points(i, dist, profiles=PROFILES)
+    walkable = adj.join(i.where("top IS NOT NULL").select(F.col("id").alias("tgt")), "tgt", "left_semi")
+    return i, materialise(entries, "entries"), goals, walkable
+
+
+@query(GRAPH.rstrip() + f",\n{TGT},\n{APT3},\n{DIST3}\nSELECT profile, id, dist FROM dist3")
+def profile_target_distance(spark, sf_dir):
+    """``target_distance`` on the graphs of all three profiles."""
+    i = materialise(inv(spark, sf_dir), "inventory")
+    adj = materialise(edges.adjacency(i, PROFILES).select("profile", "src", "tgt"), "adjacency")
+    return targets.target_distances(adj, targets.each_profile(i.where(targets.is_target()), PROFILES), by=["profile"])
+
+
+@query(GRAPH.rstrip() + f",\n{TGT},\n{APT3},\n{DIST3},\n{ENTRY3}\nSELECT profile, id, finding_id, round(score, 6) AS score, round(rerank, 6) AS rerank FROM entry3")
+def profile_entry_points(spark, sf_dir):
+    """``entry_points`` of all three profiles, ten each."""
+    return _search_all(spark, sf_dir)[1].select("profile", "id", "finding_id", F.round("score", 6).alias("score"), F.round("rerank", 6).alias("rerank"))
+
+
+@query(GRAPH.rstrip() + f",\n{TGT},\n{APT3},\n{DIST3},\n{ENTRY3},\n{_beam3()}\nSELECT profile, array_to_string(path, '>') AS path, array_to_string(techniques, '+') AS techniques, round(p, 6) AS p FROM found")
+def profile_exposure_paths(spark, sf_dir):
+    """``exposure_paths`` of all three profiles, each searched from its own entry points on its own graph."""
+    _, entries, goals, walkable = _search_all(spark, sf_dir)
+    found = path_search.search(walkable, entries, goals, by=["profile"])
+    return found.select("profile", F.array_join("path", ">").alias("path"), F.array_join("techniques", "+").alias("techniques"), F.round("p", 6).alias("p"))
+
+
+TAGS = {"apt": "APT", "ransomware": "RANSOM", "insider": "INSIDER"}
+
+
+def merged_report(found, i):
+    """The best path of each pattern over all profiles, labelled with its profile; equal ones in the order of ``PROFILES``."""
+    paths = ps.scored(path_search.as_paths(found, i, F.col("profile")))
+    paths = paths.withColumns({"realism": F.round(ps.realism(), 6), "reward": F.round(ps.reward(), 6), "label": F.concat(F.lit("["), fixed.switch(F.col("profile"), TAGS, "?"), F.lit("] "), F.col("label"))})
+    first = F.array_position(F.array(*[F.lit(p) for p in PROFILES]), F.col("profile"))
+    return ps.best_per_pattern(paths, "realism", 5, (first, "path_id"))
+
+
 def exposure_report(spark, sf_dir):
-    """The best searched path of each pattern with all its scores, as one JSON document a row."""
-    i, entries, goals, walkable = _search(spark, sf_dir)
-    paths = ps.scored(path_search.as_paths(path_search.search(walkable, entries, goals), i, "apt"))
-    best = ps.best_per_pattern(paths.withColumns({"realism": F.round(ps.realism(), 6), "reward": F.round(ps.reward(), 6)}), "realism", 5)
-    return best.select("rank", "path_id", F.to_json(F.struct("entry", "nodes", "edges", "path_probability", "realism", "reward", "effort", "impact", "phases", "label")).alias("document"))
+    """The best searched path of each pattern over all profiles with all its scores, as one JSON document a row."""
+    i, entries, goals, walkable = _search_all(spark, sf_dir)
+    best = merged_report(path_search.search(walkable, entries, goals, by=["profile"]), i)
+    return best.select("rank", "path_id", F.to_json(F.struct("profile", "entry", "nodes", "edges", "path_probability", "realism", "reward", "effort", "impact", "phases", "label")).alias("document"))
 
 
 QUERIES["exposure_report"] = exposure_report
