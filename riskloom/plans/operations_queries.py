@@ -326,10 +326,23 @@ r AS (SELECT DISTINCT u, 0::BIGINT AS i, 2.0::DOUBLE AS lft, NULL::DOUBLE AS see
     SELECT r.u, q.i, q.t, r.ok, r.no, least(2.0::DOUBLE, r.lft + coalesce(q.t - r.seen, 0) * 0.00001::DOUBLE) AS have FROM r JOIN q ON q.u = r.u AND q.i = r.i + 1))
 SELECT u AS user_id, ok AS granted, no AS refused FROM r QUALIFY row_number() OVER (PARTITION BY u ORDER BY i DESC) = 1""").replace("WITH ev", "WITH RECURSIVE ev"))
 def token_buckets(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    """Error events only, as its SQL has it; ``request_buckets`` rations every event."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return buckets(e)
+
+
+def buckets(events):
+    """Every row of ``events`` takes a token of its user's bucket."""
+    e = events.select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return jobs.token_bucket(e, "user_id", "t", 0.00001, 2)
 
 
+@query(ORACLE["token_buckets"].replace(" FROM events WHERE event_type = 'error')", " FROM events)"))
+def request_buckets(spark, sf_dir):
+    """Every event of a user against the user's bucket, whatever its type."""
+    return buckets(table(spark, sf_dir, "events"))
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def latest_states(spark, sf_dir):
     return jobs.latest_state(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "ts"])
