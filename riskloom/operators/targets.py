@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def each_profile(df: DataFrame, names: Sequence[str] = ("apt", "ransomware", "in
     return df.withColumn("profile", F.explode(F.array(*[F.lit(n) for n in names])))
 
 
-def target_distances(adjacency: DataFrame, targets: DataFrame, max_hops: int = 8, by: Sequence[str] = ()) -> DataFrame:
-    """``*by, id, dist``: hops from every node to its nearest target along ``adjacency`` (src, tgt), up to ``max_hops``.
+def target_distances(adjacency: DataFrame, targets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``*by, id, dist``: hops from every node to its nearest target along ``adjacency`` (src, tgt).
 
     Breadth first from all targets at once over the reversed edges. Each round joins the frontier only, drops
     what is known and is written, so the plan never grows; it stops when nothing new is reached. ``by``: columns of
@@ -34,7 +35,7 @@ def target_distances(adjacency: DataFrame, targets: DataFrame, max_hops: int = 8
     """
     known = materialise(targets.select(*by, "id").distinct().withColumn("dist", F.lit(0)), "reached")
     frontier = known
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = adjacency.join(frontier.select(*by, F.col("id").alias("tgt")), [*by, "tgt"], "left_semi").select(*by, F.col("src").alias("id")).distinct()
         fresh = materialise(step.join(known.select(*by, "id"), [*by, "id"], "left_anti").withColumn("dist", F.lit(hop)), "frontier")
         if fresh.isEmpty():
