@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -138,13 +139,16 @@ class Model:
 
     def _number(self, w: str) -> int:
         """The row of a word's log scores (0 for its best language); unseen words get one by backing off."""
+        key = w if len(w) <= 64 else blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest()  # bounds what is remembered, not what is scored
+        if key is not w and key in self.row:
+            return self.row[key]
         n = len(self.row)
         if n == len(self.words) + self.room:
             self.row, n = dict(self.words), len(self.words)
         if n == len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros((max(1_000, n // 4), len(self.langs)), np.float32)))
-        self.rows[n] = self._backoff(w[:64])
-        self.row[w] = n
+        self.rows[n] = self._backoff(w)
+        self.row[key] = n
         return n
 
     def emissions(self, lines: list[list[str]]) -> np.ndarray:
@@ -211,7 +215,8 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_0
 
     First every line counts for its document's label; then, ``rounds`` times, for the language the model before
     gives the line, so that wrong labels and mixed texts lose their say. Words are counted in the tasks and
-    combined map-side; the driver gets at most the ``fit_words`` most frequent (language, word) pairs.
+    combined map-side; the driver gets at most the ``fit_words`` most frequent (language, word) pairs. Words of 40
+    characters or more aren't learnt; where they occur, detection scores all their n-grams.
     """
     spark = docs.sparkSession
     sample = _share(docs, doc_id, lang, fit_docs).select(text, lang)
