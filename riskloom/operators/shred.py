@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ADJACENCY = "doc {doc}, node int, parent int, label string, ordinal int, kind string, scalar string"
+_SPACE = re.compile(r"[ \t\n\r]*")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
@@ -32,14 +33,80 @@ def parse(text: str | None):
     if text is None:
         return None
     try:
-        return (json.loads(text, parse_constant=_strict),)
-    except (ValueError, RecursionError):
+        return (json.loads(text, parse_constant=_strict, parse_int=_int),)
+    except RecursionError:
+        pass
+    except ValueError:
         return None
+    try:
+        return (_deep(text),)
+    except ValueError:
+        return None
+
+
+def _int(digits: str):
+    """An integer; one too long for Python's conversion stays text."""
+    return int(digits) if len(digits) < 4_000 else digits
+
+
+def _deep(text: str):
+    """What ``json.loads`` gives, for texts nested too deeply for it: no recursion."""
+    scalar, end = json.JSONDecoder(parse_constant=_strict, parse_int=_int).raw_decode, len(text)
+    skip = lambda i: _SPACE.match(text, i).end()
+    top: list = []
+    stack: list[list] = [[top, None]]  # open containers, each with the key that waits for its value
+
+    def put(value):
+        into, key = stack[-1]
+        if isinstance(into, list):
+            into.append(value)
+        else:
+            into[key] = value
+
+    def key(i):
+        if text[i : i + 1] != '"':
+            raise ValueError("no key")
+        stack[-1][1], i = json.decoder.scanstring(text, i + 1)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon")
+        return skip(i + 1)
+
+    i = skip(0)
+    while True:
+        c = text[i : i + 1]
+        if c == "[" or c == "{":
+            new: list | dict = [] if c == "[" else {}
+            put(new)
+            stack.append([new, None])
+            i = skip(i + 1)
+            if text[i : i + 1] != ("]" if c == "[" else "}"):
+                i = i if c == "[" else key(i)
+                continue
+        else:
+            value, i = scalar(text, i)
+            put(value)
+            i = skip(i)
+        while len(stack) > 1:
+            c, inside = text[i : i + 1], isinstance(stack[-1][0], list)
+            if c == ("]" if inside else "}"):
+                stack.pop()
+                i = skip(i + 1)
+            elif c == ",":
+                i = skip(i + 1)
+                i = i if inside else key(i)
+                break
+            else:
+                raise ValueError("no end")
+        else:
+            if i != end:
+                raise ValueError("more than one value")
+            return top[0]
 
 
 def _decoded(value):
     """Lists and objects that were delivered as JSON text count as what they hold."""
-    if isinstance(value, str) and value[:64].lstrip()[:1] in ("[", "{"):
+    if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
         inner = parse(value)
         if inner is not None and isinstance(inner[0], (list, dict)):
             return inner[0]
