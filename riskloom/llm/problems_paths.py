@@ -40,7 +40,8 @@ def p2_found(spark, sf_dir):
     ids = F.transform("misconfigurations", lambda x: finding_id(x["id"]))
     assets = latest_delivery(table(spark, sf_dir, "assets"), "id", "ingested_at", {"items": ids})
     pairs = item_pairs(assets, "id", "items", share=0.008, floor=5)
-    return pairs.where("n_ab * n >= 2 * n_a * n_b").select(F.col("a").alias("misconfig_a"), F.col("b").alias("misconfig_b"))
+    big = lambda c: F.col(c).cast("decimal(18,0)")  # noqa: E731 - a product of two counts is beyond bigint from 3 billion records on
+    return pairs.where(big("n_ab") * big("n") >= 2 * (big("n_a") * big("n_b"))).select(F.col("a").alias("misconfig_a"), F.col("b").alias("misconfig_b"))
 
 
 def p5_found(spark, sf_dir):

@@ -56,6 +56,26 @@ class Chunk:
         keep = np.isin(self.codes, steps)
         self._load(self.codes[keep], self.seq[keep])
 
+    def keep(self, names: set[str]) -> None:
+        """Drop all steps but those of these names."""
+        self.only(np.array([i for i, s in enumerate(self.names) if s in names], np.int64))
+
+    def copy(self) -> Chunk:
+        out = object.__new__(Chunk)
+        out.names, out.codes, out.seq, out.end, out.before = self.names, self.codes, self.seq, self.end, self.before
+        return out
+
+    def matrix(self, pairs: set[tuple[str, str]] | None) -> np.ndarray | None:
+        """Which step may come after which, by number; None if nothing is known."""
+        if pairs is None:
+            return None
+        code = {s: i for i, s in enumerate(self.names)}
+        out = np.zeros((len(code), len(code)), bool)
+        for a, b in pairs:
+            if a in code and b in code:
+                out[code[a], code[b]] = True
+        return out
+
     def firsts(self) -> np.ndarray:
         """The first place of every step in every sequence."""
         return np.flatnonzero(self.before < 0)
@@ -79,8 +99,11 @@ def _split(at: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]
         yield int(codes[part[0]]), at[part]
 
 
-def mine(chunk: Chunk, least: int, min_len: int, max_len: int, distinct: bool) -> Iterator[tuple[tuple[int, ...], int]]:
-    """All patterns of ``min_len..max_len`` steps in at least ``least`` of the chunk's sequences."""
+def mine(chunk: Chunk, least: int, min_len: int, max_len: int, distinct: bool, follows: np.ndarray | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """All patterns of ``min_len..max_len`` steps in at least ``least`` of the chunk's sequences.
+
+    With ``follows`` only patterns whose every step may come after every step before it.
+    """
     width = len(chunk.names)
     first = chunk.firsts()
     counts = np.bincount(chunk.codes[first], minlength=width)
@@ -93,6 +116,9 @@ def mine(chunk: Chunk, least: int, min_len: int, max_len: int, distinct: bool) -
         counts[counts < least] = 0
         if distinct and prefix:
             counts[list(prefix)] = 0
+        if follows is not None:
+            for c in prefix:
+                counts[~follows[c]] = 0
         size = len(prefix) + 1
         if size >= min_len:
             for c in np.flatnonzero(counts):
@@ -156,6 +182,27 @@ def _chunks(batches, rows: int, steps: int) -> Iterator[Chunk]:
         yield Chunk(held)
 
 
+LOCAL = 32  # the local support a chunk should have at least: below it chance patterns of single sequences get in
+FEW_STEPS = 2_000  # up to so many frequent steps all their ordered pairs are counted before longer patterns are mined
+
+
+def _frequent(spark, lists: DataFrame, least: int, most: int, size: int, known, rows: int, steps: int):
+    """The frequent patterns of ``size`` (1 or 2) steps, exactly, as a list, or None if there are more than ``most``."""
+    given = None if known is None else spark.sparkContext.broadcast(known)
+
+    def local(batches):
+        for chunk in _chunks(batches, rows, steps):
+            if given is not None:
+                chunk.keep(given.value)
+            yield from _pages(((chunk.names[c] for c in p), n) for p, n in mine(chunk, 1, size, size, False))
+
+    found = lists.mapInArrow(local, PATTERN).groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = [tuple(r[0]) for r in found.select("pattern").limit(most + 1).collect()]
+    if given is not None:
+        given.destroy()
+    return got if len(got) <= most else None
+
+
 def frequent_subsequences(
     seqs: DataFrame,
     seq: str,
@@ -167,6 +214,8 @@ def frequent_subsequences(
     chunk_rows: int = 20_000,
     chunk_steps: int = 400_000,
     block: int = 100_000,
+    blocks_at_once: int = 10,
+    most_steps: int = 1_000_000,
 ) -> DataFrame:
     """``pattern array<string>, support bigint``: the ordered patterns, gaps allowed, of many sequences.
 
@@ -176,47 +225,73 @@ def frequent_subsequences(
     in several ways counts once. Repeated rows are different entities. An empty table gives no patterns. Only
     ``seq`` is read, other columns don't matter.
 
-    Chunks bound what a task holds. The local support of a chunk is the proportional one, so small chunks only
-    make more candidates. Candidates go to the tasks in blocks of at most ``block`` patterns, each counted over
-    every sequence, so neither the driver nor a task ever holds more than a block.
+    Before phase one the frequent single steps are counted, and where they are few their ordered pairs: no
+    frequent pattern holds any other, so a chunk grows its patterns inside them only. Small partitions are put
+    together and chunks are made so large that the proportional local support is ``LOCAL`` or more; where
+    ``chunk_steps`` (what a task holds) doesn't allow that, or ``floor`` is less than a chunk's share, the counted
+    steps and pairs keep chance patterns out. All of this only spares candidates; the count of phase two decides.
+
+    Candidates are counted over every sequence in blocks of ``block`` patterns, ``blocks_at_once`` blocks to a pass
+    over the sequences. Driver and tasks hold no more than one pass's patterns: what a pass was sent is destroyed
+    before the next is read.
     """
     spark = seqs.sparkSession
+    none = spark.createDataFrame([], "pattern array<string>, support bigint")
     lists = seqs.select(F.col(seq).alias("seq"))
     total = lists.count()
     least = least_count(share, total, floor)
     if not total or least > total:
-        return spark.createDataFrame([], "pattern array<string>, support bigint")
+        return none
     local = Fraction(least, total)
+    lists = lists.where(F.size("seq") >= max(1, min_len))
+    enough = math.ceil(LOCAL / local)
+    rows = max(chunk_rows, enough)
+    lists = lists.coalesce(max(1, total // (4 * enough)))  # joins small partitions where they lie, no shuffle; never makes more
+
+    steps = _frequent(spark, lists, least, most_steps, 1, None, chunk_rows, chunk_steps)
+    singles = None if steps is None else {p[0] for p in steps}
+    if singles is not None and not singles:
+        return none
+    pairs = None
+    if singles is not None and len(singles) <= FEW_STEPS and max_len > 2:
+        two = _frequent(spark, lists, least, FEW_STEPS**2, 2, singles, chunk_rows, chunk_steps)
+        pairs = None if two is None else set(two)
+    hints = spark.sparkContext.broadcast((singles, pairs))
 
     def phase_one(batches):
-        for chunk in _chunks(batches, chunk_rows, chunk_steps):
+        wanted, together = hints.value
+        for chunk in _chunks(batches, rows, chunk_steps):
             here = len(np.unique(chunk.seq)) if len(chunk.seq) else 0
             if not here:
                 continue
+            if wanted is not None:
+                chunk.keep(wanted)
             # sequences without steps can't hold a pattern, so the share is taken of those that have some
-            found = mine(chunk, max(1, math.ceil(local * here)), min_len, max_len, distinct)
+            found = mine(chunk, max(1, math.ceil(local * here)), min_len, max_len, distinct, chunk.matrix(together))
             yield from _pages(((chunk.names[c] for c in p), n) for p, n in found)
 
-    mined = lists.where(F.size("seq") > 0).mapInArrow(phase_one, PATTERN).groupBy("pattern").agg(F.lit(0).alias("block"))
+    mined = lists.mapInArrow(phase_one, PATTERN).groupBy("pattern").agg(F.lit(0).alias("block"))
     candidates = materialise(mined, "candidates")
-    blocks = -(-candidates.count() // block)
-    if not blocks:
-        return spark.createDataFrame([], "pattern array<string>, support bigint")
-    part = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
+    passes = -(-candidates.count() // (block * blocks_at_once))
+    part = F.pmod(F.xxhash64("pattern"), F.lit(passes))
     out = None
-    for b in range(blocks):
-        rows = candidates.where(part == b).select("pattern").collect()
-        shared = spark.sparkContext.broadcast(sorted(tuple(r[0]) for r in rows))
+    for b in range(passes):
+        patterns = sorted(tuple(r[0]) for r in (candidates.where(part == b) if passes > 1 else candidates).select("pattern").collect())
+        shared = spark.sparkContext.broadcast([patterns[i : i + block] for i in range(0, len(patterns), block)])
+        del patterns
 
         def phase_two(batches, shared=shared):
-            patterns = shared.value
             for chunk in _chunks(batches, chunk_rows, chunk_steps):
-                yield from _pages((patterns[i], n) for i, n in count(chunk, patterns))
+                for some in shared.value:
+                    yield from _pages((some[i], n) for i, n in count(chunk.copy(), some))
 
-        counted = lists.where(F.size("seq") >= min_len).mapInArrow(phase_two, PATTERN).groupBy("pattern").agg(F.sum("n").alias("support"))
+        counted = lists.mapInArrow(phase_two, PATTERN).groupBy("pattern").agg(F.sum("n").alias("support"))
         counted = counted.where(F.col("support") >= least)
+        if passes > 1:
+            counted = materialise(counted, "counted")
+            shared.destroy()
         out = counted if out is None else out.unionByName(counted)
-    return out
+    return none if out is None else out
 
 
 def _pages(found, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
