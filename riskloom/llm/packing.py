@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # splits text before merging; a fixed value
 _loaded: dict = {}
+EVEN = 0.5
 
 
 def encoder(path: str):
@@ -37,10 +38,11 @@ class Limits:
 
 
 def token_sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens, n_head``: tokens of the whole text and of its head line, which bears no loss.
+    """``doc_id, n_tokens, n_head``: tokens of the whole text and of its head, which bears no loss.
 
-    The head line is a first line of at most 32 characters that holds a digit (a ticket or report number).
-    A null text has no tokens. Map-only, whole texts, in Arrow batches.
+    The head is the first line of a text of several lines (its title, subject or instruction); a text of one line
+    bears loss as a whole. A null text has no tokens. Map-only, whole texts, in Arrow batches. ``tokenizer`` is the
+    path of a rank file that every executor can read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -48,13 +50,13 @@ def token_sizes(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENI
         enc = encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            heads = []
+            sizes, heads = [], []
             for t in texts:
-                line, end, _ = t.partition("\n")
-                heads.append(line + end if end and len(line) <= 32 and any(c.isdigit() for c in line) else "")
-            sizes = [len(enc.encode_ordinary(t)) for t in texts]
-            head = [min(n, len(enc.encode_ordinary(h))) if h else 0 for n, h in zip(sizes, heads)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(head, pa.int64())], names=[doc_id, "n_tokens", "n_head"])
+                line, end, rest = t.partition("\n")
+                n = len(enc.encode_ordinary(t))
+                sizes.append(n)
+                heads.append(min(n, len(enc.encode_ordinary(line + end))) if rest else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(heads, pa.int64())], names=[doc_id, "n_tokens", "n_head"])
 
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens bigint, n_head bigint")
 
@@ -64,38 +66,46 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
     One container is open at a time. Of the items that still fit, the one comes next whose size has the largest
     product with what is left of the container, both measured in capacities and weighted by how scarce each
-    limit is; equal items are taken in order. When nothing fits, the container is closed.
+    limit is for the items still unplaced, less ``EVEN`` times how far the container would then use its limits
+    out of the proportion in which those items need them: so short and long items are mixed, and no limit runs
+    out while another is idle. Equal items are taken in order. When nothing fits, the container is closed.
     """
     n, out, number = len(sizes), np.full(len(sizes), -1), 0
     order = np.lexsort((np.arange(n), *(-sizes[:, d] for d in range(sizes.shape[1] - 1, -1, -1))))
     share = sizes[order] / limits
-    kinds, first, which = np.unique(-share, axis=0, return_index=True, return_inverse=True)  # equal items as one kind
+    kinds, which = np.unique(-share, axis=0, return_inverse=True)  # equal items as one kind
     which = which.reshape(-1)
     stock = np.bincount(which, minlength=len(kinds))
     queue = np.argsort(which, kind="stable")
     start = np.concatenate(([0], np.cumsum(stock)[:-1]))
     kinds = -kinds
-    weight = share.sum(0) / max(1e-12, share.sum())
-    wanted = kinds * weight
+    rest = share.sum(0)
     left_items = n
     while left_items:
         left = np.ones(len(limits))
         live = np.flatnonzero(stock)
+        weight = rest / max(1e-12, rest.sum())
+        goal = rest / max(1e-12, rest.max())
+        scale = max(1e-12, goal @ weight)
         while len(live):
             live = live[(kinds[live] <= left + 1e-12).all(1) & (stock[live] > 0)]
             if not len(live):
                 break
-            k = live[np.argmax(wanted[live] @ left)]
+            some = kinds[live]
+            used = (1 - left) + some
+            uneven = np.abs(used - (used @ weight / scale)[:, None] * goal) @ weight
+            k = live[np.argmax((some * weight) @ left - EVEN * uneven)]
             out[order[queue[start[k]]]] = number
             start[k] += 1
             stock[k] -= 1
             left_items -= 1
             left = left - kinds[k]
+            rest = rest - kinds[k]
         number += 1
     return out
 
 
-def pack(items: DataFrame, item: str, tokens: str, head: str, limits: Limits = Limits(), group_items: int = 10_000) -> DataFrame:
+def pack(items: DataFrame, item: str, tokens: str, head: str, limits: Limits = Limits(), group_items: int = 4_000) -> DataFrame:
     """``item, piece, first_token, last_token, n_tokens, n_loss, container, place, fill``: every item in a container.
 
     An item longer than a container is cut into pieces of full containers and a rest, no other item is. Each
@@ -134,3 +144,19 @@ def pack(items: DataFrame, item: str, tokens: str, head: str, limits: Limits = L
     return dealt.groupBy("g").applyInPandas(
         fill, f"`{item}` {kind}, piece int, first_token bigint, last_token bigint, n_tokens bigint, n_loss bigint, container string, place int, fill double"
     )
+
+
+def fullness(packed: DataFrame, limits: Limits) -> DataFrame:
+    """One row: containers, the least number any packing needs, and the mean share of each limit that is used.
+
+    ``least`` is the largest of the sums over the three limits, rounded up; no packing can do with fewer containers.
+    Nothing packed gives one row of zeros and null shares.
+    """
+    per = packed.groupBy("container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("s"), F.sum("n_loss").alias("l"))
+    zero = F.lit(0).cast("bigint")
+    need = lambda c, cap: F.ceil(F.coalesce(F.sum(c), zero) / cap)
+    return per.agg(
+        F.count(F.lit(1)).alias("containers"), F.greatest(need("t", limits.tokens), need("s", limits.segments), need("l", limits.loss)).alias("least"),
+        F.avg(F.col("t") / limits.tokens).alias("tokens_used"), F.avg(F.col("s") / limits.segments).alias("segments_used"), F.avg(F.col("l") / limits.loss).alias("loss_used"),
+        F.count_if(F.col("t") > limits.tokens - 16).alias("bound_by_tokens"), F.count_if(F.col("s") >= limits.segments).alias("bound_by_segments"), F.count_if(F.col("l") > limits.loss - 16).alias("bound_by_loss"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.language import Model, detect_languages, fit, label_code, segments
 from riskloom.llm.leakage import Automaton, leaked_items
-from riskloom.llm.packing import Limits, encoder, pack, place, token_sizes
+from riskloom.llm.packing import Limits, encoder, fullness, pack, place, token_sizes
 from riskloom.llm.textnorm import plain, words
 
 ITEM = "Not until 115 spare tiles doubted the borrowed compass did Ruoth count the northern beacon beyond Ruhesk"
@@ -148,6 +148,19 @@ def test_place_is_tight():
     assert len(set(place(sizes, np.array([100.0, 10, 100])))) == 3
 
 
+def test_fullness(spark):
+    rng = random.Random(2)
+    limits = Limits(100, 5, 90)
+    df = spark.createDataFrame([(i, rng.choice([3, 5, 8, 40, 60]), rng.randrange(0, 3)) for i in range(600)], "id int, n int, h int")
+    packed = pack(df, "id", "n", "h", limits).cache()
+    f = fullness(packed, limits).first()
+    rows = packed.collect()
+    assert f.containers == len({r.container for r in rows}) >= f.least
+    assert f.least == max(-(-sum(r.n_tokens for r in rows) // 100), -(-len(rows) // 5), -(-sum(r.n_loss for r in rows) // 90))
+    assert min(f.bound_by_tokens, f.bound_by_segments, f.bound_by_loss) > 0 and abs(f.tokens_used - sum(r.n_tokens for r in rows) / 100 / f.containers) < 1e-9
+    assert fullness(packed.limit(0), limits).first().containers == 0
+
+
 def test_token_sizes(spark):
     texts = [(1, "T-123\nSome text here"), (2, ""), (3, None), (4, "naïve 東京 " * 3_000), (5, "no head line at all")]
     df = spark.createDataFrame(texts, "doc_id int, text string").withColumn("n_tokens", F.lit(-1))
