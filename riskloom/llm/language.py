@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .textnorm import folded, plain
 
 # Two-letter code, three-letter codes, English and own names of languages that labels may name.
@@ -66,11 +67,14 @@ ru и в на не что с для как но из по это был от т
 
 @lru_cache(10_000)
 def label_code(label: str | None) -> str | None:
-    """The two-letter code of a language label: a code, a name, with or without a region; None if it names none."""
+    """The two-letter code of a language label: a code, a name, with or without a region; None if it names none.
+
+    A region stands behind '-', '_', '.' or '@', or in brackets; words of a longer text aren't codes ('no language').
+    """
     if not label:
         return None
-    clean = folded(label).strip()
-    return _CODES.get(clean) or _CODES.get(re.split(r"[-_.@\s(/]", clean, maxsplit=1)[0])
+    clean = re.sub(r"\s*\([^()]*\)$", "", folded(label).strip())
+    return _CODES.get(clean) or _CODES.get(re.split(r"[-_.@]", clean, maxsplit=1)[0])
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -93,6 +97,7 @@ class Model:
     smooth = 0.5
     reach = 7.0  # one word tells languages apart by no more than this (natural log)
     switch = 6.0  # what a change of language costs
+    temperature = 2.0  # log scores are divided by it before they count as confidence; ``fit`` calibrates it
 
     def __init__(self, counts: dict[tuple[str, str], float]):
         for row in SEEDS.strip().splitlines():
@@ -200,26 +205,44 @@ class Model:
         return out, em
 
 
-def _share(docs: DataFrame, doc_id: str, lang: str, fit_docs: int) -> DataFrame:
-    """About ``fit_docs`` of the documents whose label names a language, taken by a hash of their id."""
+def _share(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int, fit_chars: int) -> DataFrame:
+    """About ``fit_docs`` documents and ``fit_chars`` characters of those whose label names a language, by a hash of the id."""
     labelled = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & (F.length(F.trim(lang)) > 1))
-    n = labelled.count()
-    scale = 1 << 30
-    if n > fit_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(doc_id), F.lit(scale)) < math.ceil(scale * fit_docs / n))
+    n, chars = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    scale, part = 1 << 30, max(n / fit_docs, chars / fit_chars)
+    if part > 1:
+        labelled = labelled.where(F.pmod(F.xxhash64(doc_id), F.lit(scale)) < math.ceil(scale / part))
     return labelled
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_000, fit_words: int = 200_000, rounds: int = 1) -> Model:
-    """The word model, fitted on a bounded sample of labelled documents (about ``fit_docs``).
+HEAT = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0)  # temperatures tried
+
 
-    First every line counts for its document's label; then, ``rounds`` times, for the language the model before
-    gives the line, so that wrong labels and mixed texts lose their say. Words are counted in the tasks and
-    combined map-side; the driver gets at most the ``fit_words`` most frequent (language, word) pairs. Words of 40
-    characters or more aren't learnt; where they occur, detection scores all their n-grams.
+def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_000, fit_chars: int = 200_000_000, rounds: int = 1) -> Model:
+    """The word model, fitted on a bounded sample of labelled documents (about ``fit_docs``, ``fit_chars`` characters).
+
+    The sample is normalised once and kept as words. First every line counts for its document's label; then,
+    ``rounds`` times, for the language the model before gives the line, so that wrong labels and mixed texts lose
+    their say. Words are counted in the tasks and combined map-side; the driver gets all counts of the sample, whose
+    bound is theirs. A tenth of the sample is held out of the counts: on its lines (of documents in one language that
+    their label agrees with) the temperature is chosen that makes the confidence of a line fit how often it is right.
     """
     spark = docs.sparkSession
-    sample = _share(docs, doc_id, lang, fit_docs).select(text, lang)
+    sample = _share(docs, doc_id, text, lang, fit_docs, fit_chars)
+    tenth = F.pmod(F.xxhash64(doc_id, F.lit("held")), F.lit(10)) == 0
+
+    def normalise(batches):
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for t, label, held in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                t = t.as_py()
+                if t:
+                    for c, x in zip(cols, (label_code(label), held, line_words(t))):
+                        c.append(x)
+            types = (pa.string(), pa.bool_(), pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["label", "held", "rows"])
+
+    kept = materialise(sample.select(text, lang, tenth).mapInArrow(normalise, "label string, held boolean, rows array<array<string>>"), "sample")
     model: Model | None = None
     for _ in range(rounds + 1):
         shared = spark.sparkContext.broadcast(model)
@@ -227,24 +250,48 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_0
         def count(batches, shared=shared):
             m, by = shared.value, {}
             for batch in batches:
-                for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    code = label_code(label)
-                    if not t or (m is None and code is None):
+                for code, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if m is None and code is None:
                         continue
-                    rows = line_words(t)
-                    tags = [code] * len(rows) if m is None else [m.langs[k] if k >= 0 else None for k in m.score(t, rows)[0]]
+                    rows = rows.as_py()
+                    tags = [code] * len(rows) if m is None else [m.langs[k] if k >= 0 else None for k in m.score("", rows)[0]]
                     for tag, ws in zip(tags, rows):
                         if tag and ws:
                             by.setdefault(tag, Counter()).update(ws)
-            cols = list(zip(*[(tag, w, n) for tag, c in by.items() for w, n in c.items() if len(w) < 40])) or [[], [], []]
+            cols = list(zip(*[(tag, w, n) for tag, c in by.items() for w, n in c.items()])) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-        found = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        rows = found.orderBy(F.desc("n"), "word", "lang").limit(fit_words).collect()
-        model = Model({(r[0], r[1]): float(r[2]) for r in rows})
+        found = kept.where("NOT held").select("label", "rows").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        model = Model({(r[0], r[1]): float(r[2]) for r in found.collect()})
+        shared.destroy()
+    model.temperature = _temperature(spark, kept.where("held").select("label", "rows"), model)
     return model
 
 
+def _temperature(spark, held: DataFrame, model: Model) -> float:
+    """The temperature of ``HEAT`` under which held-out lines' labels are likeliest; the default where there are none."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def losses(batches):
+        m, sums = shared.value, np.zeros(len(HEAT))
+        for batch in batches:
+            for code, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if code not in m.langs:
+                    continue
+                tags, em = m.score("", rows.as_py())
+                k = m.langs.index(code)
+                if len(em) and all(t in (-1, k) for t in tags):
+                    for i, heat in enumerate(HEAT):
+                        z = em / heat
+                        z = z - z.max(1, keepdims=True)
+                        sums[i] += float((np.log(np.exp(z).sum(1)) - z[:, k]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(HEAT, pa.float64()), pa.array(sums, pa.float64())], names=["heat", "loss"])
+
+    rows = held.mapInArrow(losses, "heat double, loss double").groupBy("heat").agg(F.sum("loss").alias("loss")).where("loss > 0").collect()
+    shared.destroy()
+    return min(rows, key=lambda r: (r["loss"], r["heat"]))["heat"] if rows else model.temperature
+
+
 SCHEMA = "seg_no int, lang string, confidence double, chars bigint, first_line int, last_line int, label string, langs int"
 
 
@@ -255,7 +302,7 @@ def detect_languages(docs: DataFrame, doc_id: str, text: str, lang: str, model:
     ``seg_no`` 1, 2, ... are its segments in reading order: the longest runs of lines in one language; lines
     without language neither form nor break one. ``langs`` counts the document's languages, ``label`` is the code
     its label names (null if none), ``confidence`` of a segment is the share of its language in the
-    posterior of all its words, damped; of a document the share of its characters in the language, weighted so. Null and empty texts and texts without any language
+    posterior of all its words, at the calibrated temperature; of a document the share of its characters in the language, weighted so. Null and empty texts and texts without any language
     give no rows; rows with a null id are left out; repeated rows come out repeatedly. One pass over whole
     texts, map-only; other columns aren't read.
     """
@@ -300,7 +347,7 @@ def segments(m: Model, text: str):
         run[3], run[5] = i, k
         k += 1
     best = max(sorted(chars), key=chars.__getitem__)
-    sure = [_confidence(em[r[4] : r[5] + 1].sum(0), r[0]) for r in runs]
+    sure = [_confidence(em[r[4] : r[5] + 1].sum(0), r[0], m.temperature) for r in runs]
     total = sum(chars.values())
     share = sum(c * r[1] for c, r in zip(sure, runs) if r[0] == best) / total
     yield 0, m.langs[best], share, total, runs[0][2], runs[-1][3], len(chars)
@@ -308,6 +355,6 @@ def segments(m: Model, text: str):
         yield n, m.langs[run[0]], c, run[1], run[2], run[3], len(chars)
 
 
-def _confidence(logs: np.ndarray, tag: int) -> float:
-    p = np.exp(np.maximum((logs - logs.max()) / 2, -60))
+def _confidence(logs: np.ndarray, tag: int, temperature: float) -> float:
+    p = np.exp(np.maximum((logs - logs.max()) / temperature, -60))
     return float(p[tag] / p.sum())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, table
 from .language import detect_languages, fit
-from .leakage import leaked_items
+from .leakage import leak_spans, leaked_items, remove_leaks
 from .packing import Limits, fullness, pack, token_sizes
 
 # Containers of one capacity, only longer texts cut: a loss limit below the token limit would cut shorter ones.
@@ -42,6 +42,15 @@ def p8_found(spark, sf_dir):
     return found.select("doc_id", "item_id").distinct()
 
 
+def p8_spans(spark, sf_dir):
+    return leak_spans(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
+def p8_clean(spark, sf_dir):
+    """Every document without the spans of evaluation items."""
+    return remove_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
 def p9_segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return detect_languages(docs, "doc_id", "text", "lang", fit(docs, "doc_id", "text", "lang"))
@@ -52,5 +61,5 @@ def p9_found(spark, sf_dir):
     return found.where("CASE WHEN seg_no = 0 THEN label IS NULL OR label <> lang ELSE langs > 1 END").select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_instruction": p7_instruction, "p7_fullness": p7_fullness, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p7_containers": p7_containers, "p7_instruction": p7_instruction, "p7_fullness": p7_fullness, "p8_found": p8_found, "p8_spans": p8_spans, "p8_clean": p8_clean, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}

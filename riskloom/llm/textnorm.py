@@ -83,3 +83,62 @@ def words(text: str) -> list[str]:
     if not text.isascii() and _OTHER.search(text):
         found = [w.translate(_LOOK) if _OTHER.search(w) and _LATIN.search(w) else w for w in found]
     return found
+
+
+# --- the same, with places --------------------------------------------------------------------------------------
+
+_ENTITY = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+
+
+class _Traced:
+    """A text under rewriting, with the first and the end place in the original of each of its characters."""
+
+    def __init__(self, text: str):
+        self.text, self.a, self.b = text, list(range(len(text))), list(range(1, len(text) + 1))
+
+    def sub(self, pattern: re.Pattern, new) -> None:
+        """``pattern.sub``; all characters of a replacement stand for the whole of what was replaced."""
+        out, a, b, at = [], [], [], 0
+        for m in pattern.finditer(self.text):
+            i, j = m.span()
+            r = new(m)
+            if r == m.group():
+                continue
+            out += [self.text[at:i], r]
+            a += self.a[at:i] + [self.a[i]] * len(r)
+            b += self.b[at:i] + [self.b[j - 1]] * len(r)
+            at = j
+        if at:
+            self.text, self.a, self.b = "".join(out) + self.text[at:], a + self.a[at:], b + self.b[at:]
+
+    def each(self, new) -> None:
+        """Every character by itself."""
+        parts = [new(c) for c in self.text]
+        self.a = [x for x, p in zip(self.a, parts) for _ in p]
+        self.b = [x for x, p in zip(self.b, parts) for _ in p]
+        self.text = "".join(parts)
+
+
+def word_places(text: str) -> list[tuple[int, int]]:
+    """Where each of ``words(text)`` stands in ``text``: its first character and the one after its last."""
+    t = _Traced(text)
+    gone = lambda m: ""
+    t.sub(_ENTITY, lambda m: html.unescape(m.group()))
+    t.sub(_INLINE, gone)
+    t.sub(_TAG, lambda m: " ")
+    t.sub(_INVISIBLE, gone)
+    for _ in range(2):
+        if not _BROKEN.search(t.text):
+            break
+        t.sub(_RUN, _unbroken)
+    t.sub(_INVISIBLE, gone)
+    t.sub(_SPLIT, gone)
+    t.sub(_ODD, lambda m: _SAME[m.group()])
+    t.each(lambda c: c if c < "\x80" else unicodedata.normalize("NFKD", c))
+    lower = t.text.lower()
+    if len(lower) == len(t.text):
+        t.text = lower
+    else:
+        t.each(str.lower)
+    t.sub(_COMBINING, gone)
+    return [(t.a[m.start()], max(t.b[m.start() : m.end()])) for m in _WORD.finditer(t.text)]

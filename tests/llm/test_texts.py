@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm.language import Model, detect_languages, fit, label_code, segments
-from riskloom.llm.leakage import Automaton, leaked_items
+from riskloom.llm.leakage import Automaton, leak_spans, leaked_items, remove_leaks
 from riskloom.llm.packing import Limits, encoder, fullness, pack, place, token_sizes
-from riskloom.llm.textnorm import plain, words
+from riskloom.llm.textnorm import plain, word_places, words
 
 ITEM = "Not until 115 spare tiles doubted the borrowed compass did Ruoth count the northern beacon beyond Ruhesk"
 
@@ -70,9 +70,48 @@ def test_leaked_items(spark):
     assert leaked_items(d.limit(0), "doc_id", "text", items, "item_id", "item_text").count() == 0
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_remove_leaks(spark, block):
+    marked = ITEM.replace("tiles", "<b>ti</b>les").replace("compass", "com-\npass").replace(" the ", "&nbsp;the ")
+    half = " ".join(ITEM.split()[:8])
+    docs = [(1, f"before {marked} after"), (2, f"a {half} b"), (3, None), (4, ""), (5, "nothing here"), (None, ITEM), (6, f"{ITEM} und {ITEM.upper()}!"), (7, "é <i>x</i> " + ITEM)]
+    d = spark.createDataFrame(docs, "doc_id int, text string").withColumn("start", F.lit("clash"))
+    items = spark.createDataFrame([(1, ITEM), (2, "too short"), (None, ITEM)], "item_id int, item_text string")
+    args = (d, "doc_id", "text", items, "item_id", "item_text")
+    got = {r.doc_id: (r.text, r.removed) for r in remove_leaks(*args, block_words=block).collect()}
+    want = {1: "before  after", 2: docs[1][1], 3: None, 4: "", 5: "nothing here", 6: " und !", 7: "é <i>x</i> "}
+    assert got == {i: (want[i], len(t or "") - len(want[i] or "")) for i, t in docs if i}
+    spans = leak_spans(*args, block_words=block).collect()
+    assert {(r.doc_id, r.item_id, r.n_words) for r in spans} == {(1, 1, 17), (6, 1, 17), (7, 1, 17)}
+    assert all(words(docs[[x[0] for x in docs].index(r.doc_id)][1][r.start : r.stop]) == words(ITEM) for r in spans)
+    short = remove_leaks(*args, longest=8, block_words=block).where("doc_id = 2").first()
+    assert short.text == "a  b"
+
+
+def test_places_of_words():
+    rng = random.Random(3)
+    bits = [*"aZ9 \n-<>&;", "<b>", "</b>", "<td a='1'>", "&amp;", "&eacute;", "&#1078;", "\u00ad", "ü", "Ã¼", "É", "ß", "ﬁ", "İ", "Σ", "日本", "-\n", "<!-- x\ny -->", "wort", "а", "e\u0301", "Â ", "ℌ"]
+    for _ in range(3_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 25)))
+        ws, at = words(t), word_places(t)
+        assert len(ws) == len(at) and all(0 <= a < b <= len(t) for a, b in at), t
+        assert [words(t[a:b])[:1] for a, b in at] == [[w] for w in ws] or any(c in t for c in "<&Ã\u00adÂ-Σа"), t
+
+
+def test_shared_instruction_is_cheap():
+    """Many items that share a closing: a text with the closing alone marks none of them."""
+    closing = "answer with the letter of the one right option only please".split()
+    items = [(n, [f"w{n}x{k}" for k in range(40)] + closing) for n in range(2_000)]
+    auto = Automaton(items, 6)
+    assert len(auto.end_item) == sum(len(ws) for _, ws in items)
+    assert auto.covered(["x", *closing, "y"], 0.5) == {}
+    leaked = {i for i, places in auto.covered(["x", *items[7][1][:30], *closing], 0.5).items() if len(places) >= 26}
+    assert leaked == {7} and len(auto.covered(["x", *closing], 0.0)) == 2_000
+
+
 def test_labels():
-    assert [label_code(x) for x in ("en", "EN-gb", "English", "deu", "ger", "pl_PL", "pt-BR", "русский", "Français", "xx", "und", "", None, "unknown", "de_AT.UTF-8")] == [
-        "en", "en", "en", "de", "de", "pl", "pt", "ru", "fr", None, None, None, None, None, "de"]
+    assert [label_code(x) for x in ("en", "EN-gb", "English", "deu", "ger", "pl_PL", "pt-BR", "русский", "Français", "xx", "und", "", None, "unknown", "de_AT.UTF-8", "no language", "el texto", "English (US)", "no", "de-de(x)")] == [
+        "en", "en", "en", "de", "de", "pl", "pt", "ru", "fr", None, None, None, None, None, "de", None, None, "en", "no", "de"]
 
 
 def test_languages(spark, sf):
@@ -99,8 +138,24 @@ def test_held_out_accuracy(spark, sf):
     for lang in ("de", "fr", "es", "pl", "nl", "it"):
         mine = [r for r in rows if r.label == lang]
         own = Counter(r.lang for r in mine)
-        assert own.most_common(1)[0][0] in (lang, "en"), (lang, own)
-    assert np.mean([r.lang == r.label for r in rows]) > 0.85
+        assert own.most_common(1)[0][0] == lang, (lang, own)
+    assert np.mean([r.lang == r.label for r in rows]) > 0.88  # about a tenth of the labels is wrong
+
+
+def test_confidence_is_calibrated(spark, sf):
+    """Of short held-out lines, those of a confidence near c are right about c of the time."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    model = fit(docs.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
+    whole = detect_languages(docs.where("doc_id % 2 = 1"), "doc_id", "text", "lang", model).where("seg_no = 0 AND langs = 1 AND lang = label AND chars > 200").select("doc_id", "label")
+    some = docs.join(whole, "doc_id").select(F.col("doc_id"), F.explode(F.split("text", "\n")).alias("line"), "label")
+    parts = some.select(F.monotonically_increasing_id().alias("i"), "label", F.array_join(F.slice(F.split("line", " "), 1, 2), " ").alias("text")).where("text <> ''").cache()
+    rows = detect_languages(parts.withColumnRenamed("label", "lang"), "i", "text", "lang", model).where("seg_no = 1").select("lang", "label", "confidence").collect()
+    for lo, hi in ((0.3, 0.6), (0.6, 0.85), (0.85, 0.97), (0.97, 1.01)):
+        mine = [r for r in rows if lo <= r.confidence < hi]
+        if len(mine) >= 40:
+            right, said = np.mean([r.lang == r.label for r in mine]), np.mean([r.confidence for r in mine])
+            assert abs(right - said) < 0.2, (lo, len(mine), right, said)
+    assert len(rows) > 300
 
 
 def test_backoff_for_unseen_words():
