@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,13 +144,11 @@ class Model:
         return [s[i : i + n] for i in range(len(s) - n + 1)]
 
     def _number(self, w: str) -> int:
-        """The row of a word's log scores (0 for its best language); unseen words get one by backing off."""
+        """The row of an unseen word's log scores (0 for its best language), found by backing off."""
         key = w if len(w) <= 64 else blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest()  # bounds what is remembered, not what is scored
-        if key is not w and key in self.row:
+        if key in self.row:
             return self.row[key]
         n = len(self.row)
-        if n == len(self.words) + self.room:
-            self.row, n = dict(self.words), len(self.words)
         if n == len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros((max(1_000, n // 4), len(self.langs)), np.float32)))
         self.rows[n] = self._backoff(w)
@@ -158,14 +157,13 @@ class Model:
 
     def emissions(self, lines: list[list[str]]) -> np.ndarray:
         """One row of log scores per line that has words."""
-        get, ids = self.row.get, []
-        for ws in lines:
-            for w in ws:
-                k = get(w)
-                if k is None:
-                    k = self._number(w)
-                    get = self.row.get
-                ids.append(k)
+        flat = list(chain.from_iterable(lines))
+        ids = list(map(self.row.get, flat))
+        if None in ids:
+            if len(self.row) > len(self.words) + self.room:  # between texts only: numbers of this text stay valid
+                self.row, self.rows = dict(self.words), self.rows[: len(self.words)]
+                ids = list(map(self.row.get, flat))
+            ids = [self._number(w) if k is None else k for k, w in zip(ids, flat)]
         sizes = [len(ws) for ws in lines if ws]
         starts = np.cumsum([0, *sizes[:-1]])
         return np.add.reduceat(self.rows[ids], starts, axis=0, dtype=np.float64)
@@ -237,12 +235,13 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_0
             for t, label, held in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 t = t.as_py()
                 if t:
-                    for c, x in zip(cols, (label_code(label), held, line_words(t))):
+                    for c, x in zip(cols, (label_code(label), held, "\n".join(map(" ".join, line_words(t))))):
                         c.append(x)
-            types = (pa.string(), pa.bool_(), pa.list_(pa.list_(pa.string())))
+            types = (pa.string(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["label", "held", "rows"])
 
-    kept = materialise(sample.select(text, lang, tenth).mapInArrow(normalise, "label string, held boolean, rows array<array<string>>"), "sample")
+    spread = sample.select(text, lang, tenth).repartition(spark.sparkContext.defaultParallelism)  # a bounded sample
+    kept = materialise(spread.mapInArrow(normalise, "label string, held boolean, rows string"), "sample")
     model: Model | None = None
     for _ in range(rounds + 1):
         shared = spark.sparkContext.broadcast(model)
@@ -253,7 +252,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_0
                 for code, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                     if m is None and code is None:
                         continue
-                    rows = rows.as_py()
+                    rows = _rows(rows.as_py())
                     tags = [code] * len(rows) if m is None else [m.langs[k] if k >= 0 else None for k in m.score("", rows)[0]]
                     for tag, ws in zip(tags, rows):
                         if tag and ws:
@@ -268,6 +267,10 @@ def fit(docs: DataFrame, doc_id: str, text: str, lang: str, fit_docs: int = 20_0
     return model
 
 
+def _rows(text: str) -> list[list[str]]:
+    return [line.split(" ") if line else [] for line in text.split("\n")]
+
+
 def _temperature(spark, held: DataFrame, model: Model) -> float:
     """The temperature of ``HEAT`` under which held-out lines' labels are likeliest; the default where there are none."""
     shared = spark.sparkContext.broadcast(model)
@@ -278,7 +281,7 @@ def _temperature(spark, held: DataFrame, model: Model) -> float:
             for code, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if code not in m.langs:
                     continue
-                tags, em = m.score("", rows.as_py())
+                tags, em = m.score("", _rows(rows.as_py()))
                 k = m.langs.index(code)
                 if len(em) and all(t in (-1, k) for t in tags):
                     for i, heat in enumerate(HEAT):
