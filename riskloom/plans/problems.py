@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.findings import fill_findings
+from ..operators.findings import BY_GROUP, fill_findings, masked_accuracy
 from ..operators.records import child_links
 from ..session import table
 
@@ -14,11 +14,22 @@ def p4_found(spark, sf_dir):
 
 
 def p6_found(spark, sf_dir):
-    cells = fill_findings(table(spark, sf_dir, "findings"))
-    return cells.where("level = 2").select("finding_id", F.col("field").alias("field_name"), F.col("label").alias("fill_label"))
+    """The label is that of the value copied from the donors; the label wanted is the group's, so the group alone predicts."""
+    cells = fill_findings(table(spark, sf_dir, "findings"), BY_GROUP, back_off=False)
+    return cells.where("label IS NOT NULL").select("finding_id", F.col("field").alias("field_name"), F.col("label").alias("fill_label"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
+def p6_filled(spark, sf_dir):
+    """Every missing cell with its donors and the value copied from them, cvss and epss predicted from one another as well."""
+    return fill_findings(table(spark, sf_dir, "findings"))
+
+
+def p6_accuracy(spark, sf_dir):
+    """Fills of hidden known cells against what was hidden."""
+    return masked_accuracy(table(spark, sf_dir, "findings"))
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_filled": p6_filled, "p6_accuracy": p6_accuracy}
 
 _KNOWN = """
 WITH latest AS (

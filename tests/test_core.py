@@ -1,6 +1,7 @@
 """Core operators on small fixtures: brute force, edge cases, hand-computed values."""
 
 import json
+import math
 import random
 import statistics
 from datetime import datetime
@@ -133,6 +134,22 @@ def test_fill_missing_against_brute_force(spark):
     by = {r[0]: r for r in data}
     cells = {(i, f) for i, _, k in data for f in SPEC if k[f] is None}
     assert set(got) == cells
+    steps = lambda v, hi: max(0, min(255, math.floor(v / hi * 256)))
+    pairs: dict = {}
+    for _, g, k in data:
+        if k["x"] is not None and k["y"] is not None:
+            pairs.setdefault(g[0], []).append((k["y"], k["x"]))
+    top = sum(sum(a * b for a, b in p) - sum(a for a, _ in p) * sum(b for _, b in p) / len(p) for p in pairs.values())
+    low = sum(sum(a * a for a, _ in p) - sum(a for a, _ in p) ** 2 / len(p) for p in pairs.values())
+
+    def own(k, g):
+        """The prediction of x: the finest group's median and the slope on y."""
+        xs = [j["x"] for _, h, j in data if h == g and None not in g and j["x"] is not None]
+        ys = [j["y"] for _, h, j in data if h == g and None not in g and j["y"] is not None]
+        if not xs:
+            return None
+        return statistics.median(xs) + (top / low * (k["y"] - statistics.mean(ys)) if k["y"] is not None else 0.0)
+
     for (i, f), r in got.items():
         g = by[i][1]
         for level in (2, 1, 0):
@@ -142,21 +159,29 @@ def test_fill_missing_against_brute_force(spark):
             if pool:
                 break
         assert r.level == level
-        donor = by[r.donor_id]
-        assert donor[1][:level] == g[:level]
+        donors = [by[d] for d in (r.donor_id, r.donor_id_2) if d is not None]
+        assert all(d[1][:level] == g[:level] and d[2][f] is not None for d in donors)
         if f == "sev":
             best = max(("hi", "lo"), key=lambda s: (pool.count(s), s == "hi"))
-            assert r.predicted == best == r.filled == r.label == donor[2]["sev"]
+            assert r.predicted == best == r.filled == r.label == donors[0][2]["sev"] and len(donors) == 1
+        elif f == "y":
+            assert abs(float(r.predicted) - statistics.median(pool)) < 1e-9 and abs(float(r.filled) - statistics.median(pool)) < 1e-9
+            assert abs(statistics.mean(d[2]["y"] for d in donors) - statistics.median(pool)) < 1e-9
+            assert all(d[0] == min(j for j, h, k in data if h[:level] == g[:level] and k["y"] == d[2]["y"]) for d in donors)
         else:
-            assert abs(float(r.predicted) - statistics.median(pool)) < 1e-9
-            assert float(r.filled) == donor[2][f]
-            if f == "x":
-                assert r.label == ("low" if statistics.median(pool) < 5 else "high")
+            assert float(r.filled) == donors[0][2]["x"] and len(donors) == 1 and r.label == ("low" if float(r.filled) < 5 else "high")
+            mine = own(by[i][2], g)
+            mine = statistics.median(pool) if mine is None else mine
+            assert abs(float(r.predicted) - mine) < 1e-9
+            far = {j: abs(steps(own(k, h), 10) - steps(mine, 10)) for j, h, k in data if h[:level] == g[:level] and k["x"] is not None and own(k, h) is not None}
+            assert far[r.donor_id] == min(far.values())
 
 
 def test_fill_missing_edges(spark):
     schema = "id bigint, g string, m string, sev string, x double, y double"
     assert fill_missing(spark.createDataFrame([], schema), "id", ("g", "m"), SPEC).count() == 0
+    one = fill_missing(spark.createDataFrame([(1, "A", "1", None, None, None), (2, "A", "1", "hi", 1.0, 0.5), (3, "A", "1", None, 4.0, 0.5)], schema), "id", ("g", "m"), {"x": Numeric(0.0, 10.0)}, back_off=False)
+    assert [(r.id, r.donor_id, r.donor_id_2, r.filled) for r in one.collect()] == [(1, 2, 3, "2.5")]
     none = fill_missing(spark.createDataFrame([(1, "A", "1", None, None, None), (None, "A", "1", "hi", 1.0, 1.0)], schema), "id", ("g", "m"), SPEC)
     assert {(r.field, r.level, r.filled, r.label) for r in none.collect()} == {(f, None, None, None) for f in SPEC}
 
