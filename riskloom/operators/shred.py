@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ _SPACE = re.compile(r"[ \t\n\r]*")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
+@lru_cache(10_000)
 def snake(name: str) -> str:
     return _HUMP.sub("_", name.strip()).replace("-", "_").replace(" ", "_").lower()
 
@@ -106,7 +108,7 @@ def _deep(text: str):
 
 def _decoded(value):
     """Lists and objects that were delivered as JSON text count as what they hold."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
+    if isinstance(value, str) and (value[:1] in ("[", "{") or (value[:1].isspace() and value.lstrip()[:1] in ("[", "{"))):
         inner = parse(value)
         if inner is not None and isinstance(inner[0], (list, dict)):
             return inner[0]
@@ -206,3 +208,79 @@ def entities(adjacency: DataFrame, fields: Sequence[str]) -> DataFrame:
         .where("o IS NOT NULL")
         .select("doc", "node", "o.parent", "o.label", F.col("o.ordinal").alias("ordinal"), *[F.col(x)["scalar"].alias(x) for x in fields])
     )
+
+
+def objects_of(root, fields: dict[str, int], lists: dict[str, int]) -> Iterator[list]:
+    """[node, parent, label, ordinal, fields..., lists...] of the objects of one parsed value, parents first.
+
+    The object nodes of ``nodes_of`` joined with their scalar children on the spot: an object's scalars are at hand
+    when it is met, so they needn't become rows first. ``fields`` and ``lists`` give the place of each label without
+    underscores; a field takes the first scalar of its label, a list all of them in order.
+    """
+    width = 4 + len(fields) + len(lists)
+    stack, n = [(None, "", place, entry) for place, entry in reversed(_entries(_decoded(root)))], 0
+    while stack:
+        parent, label, ordinal, value = stack.pop()
+        value = _decoded(value)
+        if isinstance(value, list):  # a list in a list
+            own, n = n, n + 1
+            stack += [(own, label, place, entry) for place, entry in reversed(list(enumerate(value)))]
+            continue
+        if not isinstance(value, dict):
+            continue
+        own, n = n, n + 1
+        row = [own, parent, label, ordinal] + [None] * (width - 4)
+        below = []
+        for key, child in value.items():
+            name, child = snake(key), _decoded(child)
+            flat = name.replace("_", "")
+            at, many = fields.get(flat), lists.get(flat)
+            for place, entry in _entries(child):
+                inner = _decoded(entry)
+                if isinstance(inner, (dict, list)):
+                    below.append((own, name, place, inner))
+                elif inner is not None and (at is not None or many is not None):
+                    text = inner if isinstance(inner, str) else json.dumps(inner)
+                    if at is not None and row[at] is None:
+                        row[at] = text
+                    if many is not None:
+                        row[many] = [text] if row[many] is None else [*row[many], text]
+        yield row
+        stack += reversed(below)
+
+
+def shred_objects(df: DataFrame, doc: str, payload: str, fields: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
+    """``doc, node, parent, label, ordinal, *fields, *lists``: what ``entities(shred(...), fields)`` gives, in one step.
+
+    Objects are joined with their scalar children where their text is parsed, so scalars aren't shuffled. ``lists``
+    are labels whose scalars are kept as an array. Node numbers count objects and lists only. Texts that are null or
+    not valid JSON give no rows; nothing is gathered but one text's own objects.
+    """
+    kind = df.schema[doc].dataType.simpleString()
+    at = {f.replace("_", ""): 4 + i for i, f in enumerate(fields)}
+    many = {f.replace("_", ""): 4 + len(fields) + i for i, f in enumerate(lists)}
+    text_list = pa.list_(pa.string())
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * len(fields), *[text_list] * len(lists)]
+    names = ["doc", "node", "parent", "label", "ordinal", *fields, *lists]
+
+    def run(batches):
+        for batch in batches:
+            rows, docs = [], []
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                value = parse(text.as_py())
+                if value is None:
+                    continue
+                for row in objects_of(value[0], at, many):
+                    rows.append(row)
+                    docs.append(d)
+                    if len(rows) >= 100_000:
+                        yield whole(batch, docs, rows)
+                        rows, docs = [], []
+            if rows:
+                yield whole(batch, docs, rows)
+
+    def whole(batch, docs, rows):
+        return pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
+
+    schema = ", ".join([f"doc {kind}, node int, parent int, label string, ordinal int", *[f"`{f}` string" for f in fields], *[f"`{f}` array<string>" for f in lists]])
+    return df.select(F.col(doc), F.col(payload)).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.findings import BY_GROUP, fill_findings, masked_accuracy
-from ..operators.records import child_links
+from ..operators.records import SCALARS, child_links, entity_table
 from ..session import table
 
 
@@ -31,6 +31,19 @@ def p6_accuracy(spark, sf_dir):
 
 QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_filled": p6_filled, "p6_accuracy": p6_accuracy}
 
+
+
+def _entities(kind):
+    def run(spark, sf_dir):
+        return entity_table(table(spark, sf_dir, "analysis_records"), kind)
+
+    run.__doc__ = f"The flat table of kind {kind!r} with its scalars, tied to its parents."
+    return run
+
+
+for _kind in SCALARS:
+    QUERIES[f"p4_{_kind}_table"] = _entities(_kind)
+
 _KNOWN = """
 WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC) AS rn FROM findings) WHERE rn = 1

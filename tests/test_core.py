@@ -14,8 +14,8 @@ from riskloom.operators.delivery import latest_delivery
 from riskloom.operators.impute import Category, Numeric, fill_missing
 from riskloom.operators.inventory import inventory, top_finding
 from riskloom.operators.ordering import chunked, numbered
-from riskloom.operators.records import child_links
-from riskloom.operators.shred import entities, nodes_of, parse, shred, snake
+from riskloom.operators.records import child_links, entity_table
+from riskloom.operators.shred import entities, nodes_of, parse, shred, shred_objects, snake
 
 DAY = lambda d: datetime(2025, 1, d)
 
@@ -66,6 +66,21 @@ def test_child_links(spark):
     assert child_links(df.limit(0)).count() == 0
 
 
+def test_entity_tables(spark):
+    payload = {"assets": [{"id": "a1", "criticality": 4, "internetFacing": True, "services": ["ssh", None, "http"], "misconfigurations": [{"id": "m", "cvss": 7.5, "severity": "high", "references": [{"kind": "note", "ref": "kb"}, None]}],
+                           "evidence": {"siemAlerts": {"confidence": 0.5, "lastUpdated": 12}}}, {"id": "a2", "criticality": "many", "services": []}],
+               "attack_paths": [{"path_id": "p", "kill_chain": ["x", "y"], "nodes": [{"asset_id": "n", "misconfig_id": "q"}], "edges": {"3": {"source_id": "n", "target_id": "o", "technique": "lateral", "probability": 0.25, "confidence_interval": [0.1, 0.4]}}}]}
+    df = spark.createDataFrame([(1, DAY(1), json.dumps(payload)), (2, DAY(1), None), (3, DAY(1), "{")], "record_id bigint, received_at timestamp, payload string")
+    rows = lambda kind, *cols: sorted(tuple(r[c] for c in ("record_id", "parent_key", "pos", "child_key", *cols)) for r in entity_table(df, kind).collect())
+    assert rows("asset", "criticality", "internet_facing", "services") == [(1, "1", 0, "a1", 4, True, ["ssh", "http"]), (1, "1", 1, "a2", None, None, None)]
+    assert rows("finding", "cvss", "severity", "epss") == [(1, "a1", 0, "M", 7.5, "high", None)]
+    assert rows("evidence", "confidence", "last_updated") == [(1, "a1", 0, "siem_alerts", 0.5, 12)]
+    assert rows("path", "kill_chain") == [(1, "1", 0, "p", ["x", "y"])] and rows("node", "misconfig_id") == [(1, "p", 0, "n", "q")]
+    assert rows("edge", "technique", "probability", "confidence_interval") == [(1, "p", 3, "n>o", "lateral", 0.25, [0.1, 0.4])]
+    assert rows("reference", "kind") == [(1, "M", 0, "kb", "note")]
+    assert all(entity_table(df.limit(0), k).count() == 0 for k in ("asset", "reference"))
+
+
 def brute(value, out, parent=None, label="", at=0, count=None):
     """Adjacency by plain recursion."""
     count = [0] if count is None else count
@@ -103,6 +118,21 @@ def test_shred_is_complete(spark):
     assert entities(adj, ["k"]).count() == objects
 
 
+def test_objects_in_one_step(spark):
+    """The join on the spot gives what the adjacency table joined with itself gives, node numbers apart."""
+    rng = random.Random(12)
+    trees = [{"root": tree(rng)} for _ in range(80)] + [[{"aB0": 1}, [{"aB0": "in a list"}]], '[{"aB0": "text"}]']
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)] + [(999, None), (998, "{")], "d int, p string")
+    names = ["k", "a_b0", "efg1", "c_d2"]
+    both = []
+    for e in (entities(shred(df, "d", "p"), names), shred_objects(df, "d", "p", names)):
+        out: dict = {}
+        for r in sorted(e.collect(), key=lambda r: (r.doc, r.node)):
+            out.setdefault(r.doc, []).append((r.parent is None, r.label, r.ordinal, r.k, r.a_b0, r.efg1, r.c_d2))
+        both.append(out)
+    assert both[0] == both[1] and len(both[0]) > 60
+
+
 def test_entities_pivot(spark):
     df = spark.createDataFrame([("x", '{"id": 7, "child": [{"id": "c0", "note": null}, {"other": 1}]}')], "d string, p string")
     rows = sorted((r.node, r.parent, r.label, r.ordinal, r.id) for r in entities(shred(df, "d", "p"), ["id"]).collect())
