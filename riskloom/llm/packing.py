@@ -81,20 +81,25 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     kinds = -kinds
     rest = share.sum(0)
     left_items = n
+    dims = range(len(limits))
     while left_items:
         left = np.ones(len(limits))
         live = np.flatnonzero(stock)
+        cols = [kinds[live, d] for d in dims]
         weight = rest / max(1e-12, rest.sum())
         goal = rest / max(1e-12, rest.max())
-        scale = max(1e-12, goal @ weight)
+        goal = goal / max(1e-12, goal @ weight)
+        heavy = sum(cols[d] * weight[d] for d in dims)
         while len(live):
-            live = live[(kinds[live] <= left + 1e-12).all(1) & (stock[live] > 0)]
+            fits = stock[live] > 0
+            for d in dims:
+                fits &= cols[d] <= left[d] + 1e-12
+            live, cols, heavy = live[fits], [c[fits] for c in cols], heavy[fits]
             if not len(live):
                 break
-            some = kinds[live]
-            used = (1 - left) + some
-            uneven = np.abs(used - (used @ weight / scale)[:, None] * goal) @ weight
-            k = live[np.argmax((some * weight) @ left - EVEN * uneven)]
+            used = heavy + (1 - left) @ weight
+            score = sum(cols[d] * (weight[d] * left[d]) - (EVEN * weight[d]) * np.abs(cols[d] + (1 - left[d]) - used * goal[d]) for d in dims)
+            k = live[np.argmax(score)]
             out[order[queue[start[k]]]] = number
             start[k] += 1
             stock[k] -= 1
