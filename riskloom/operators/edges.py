@@ -1,9 +1,9 @@
 """Transitions between assets: prior x evidence, thresholds, and the strongest neighbours of every asset.
 
-A transition's score depends on the source only through its zone and two flags. So sources are grouped into
-classes, every class is scored against the targets its zone reaches, the best targets are ranked once per class,
-and the members share the ranking. That is exact and linear in the number of assets; no pair of assets is built
-but those that are kept.
+A transition's score depends on the source only through its zone and two flags. So every target is scored in the few
+situations a source can be in, the best targets are ranked once per zone and situation, and all sources of a class
+(zone and flags) share the merged ranking of the zones they reach. That is exact and linear in the number of assets;
+no pair of assets is built but those that are kept.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 
 K = 20
+PROFILES = ("apt", "ransomware", "insider")
 
 
 def threshold(criticality: Column, zone: Column, dist: Column) -> Column:
@@ -73,23 +74,16 @@ def classes(inv: DataFrame) -> DataFrame:
     return inv.groupBy(F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain")).agg(F.count(F.lit(1)).alias("members"))
 
 
-def class_candidates(inv: DataFrame) -> DataFrame:
-    """Every source class with every target its zone reaches: distance and both scores of all techniques.
+def reached_zones(c: DataFrame) -> DataFrame:
+    """Every class with every zone it reaches: ``*c, tgt_zone, dist``.
 
-    Joins on the target zone. A zone that isn't in the reach table (misspelt, unknown) reaches itself only.
+    A zone that isn't in the reach table (misspelt, unknown) reaches itself only.
     """
-    spark = inv.sparkSession
-    known = [z for z, _ in fixed.groups(fixed.ZONE_REACH)]
     hops = fixed.zone_distances()
-    near = fixed.small_table(spark, [(a, b, hops.get((a, b), 99)) for a, b in fixed.reach()], "rs string, tgt_zone string, dist int")
-    c = classes(inv)
-    reached = c.join(near, F.col("src_zone") == F.col("rs")).drop("rs")
-    alone = c.where(~F.col("src_zone").isin(*known)).withColumn("tgt_zone", F.col("src_zone")).withColumn("dist", F.lit(0))
-    pairs = reached.unionByName(alone).join(_targets(inv), "tgt_zone")
-    far = F.when(F.col("dist") == 0, 1.0).otherwise(F.pow(F.lit(0.6), F.col("dist")))
-    common = far * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("src_domain") & F.col("tgt_domain"), 1.2).otherwise(1.0)
-    pairs = pairs.withColumn("common", common)
-    return pairs
+    near = fixed.small_table(c.sparkSession, [(a, b, hops.get((a, b), 99)) for a, b in fixed.reach()], "src_zone string, tgt_zone string, dist int")
+    known = [z for z, _ in fixed.groups(fixed.ZONE_REACH)]
+    alone = c.where(~F.col("src_zone").isin(*known)).withColumns({"tgt_zone": F.col("src_zone"), "dist": F.lit(0)})
+    return c.join(near, "src_zone").unionByName(alone)
 
 
 def _score(prior: Column, i: int) -> Column:
@@ -98,58 +92,89 @@ def _score(prior: Column, i: int) -> Column:
     return F.rint(raw * 1e9) / 1e9
 
 
-def class_edges(inv: DataFrame, names: tuple[str, ...] = ("apt", "ransomware", "insider")) -> DataFrame:
-    """Per profile, class and target the best technique (the first on ties) that passes both thresholds.
+SITUATION = ["tgt_zone", "tgt_domain", "dist", "src_internet", "both"]
+
+
+def situations(inv: DataFrame, names: tuple[str, ...] = PROFILES) -> DataFrame:
+    """``profile, tgt, *SITUATION, technique, posterior``: the best technique against a target in each situation.
 
-    The first threshold doesn't depend on the profile: what fails it for every technique (most pairs) is dropped
-    before any profile is looked at.
+    What a score needs to know of its source is how far its zone is (zones that reach one another are 0 or 1 hops
+    apart), whether it faces the internet, and whether both assets are joined to the domain: at most eight situations
+    a target, whatever the number of sources. Techniques that fail the first threshold are out before any profile is
+    looked at; of the rest the best under the profile counts (the first on ties), if it passes the second threshold.
     """
+    table, techniques = fixed.profiles(), fixed.techniques()
+    n = range(len(techniques))
+    ways = [F.struct(F.lit(d).alias("dist"), F.lit(i).alias("src_internet"), F.lit(b).alias("both")) for b in (False, True) for d in (0, 1) for i in (False, True)]
+    plain = F.slice(F.array(*ways), 1, 4)
+    t = _targets(inv)
+    rows = t.select(*t.columns, F.explode(F.when(F.col("tgt_domain"), F.array(*ways)).otherwise(plain)).alias("w")).select(*t.columns, "w.*")
+    common = F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("both"), 1.2).otherwise(1.0)
     first = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9
     second = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.lit(0)) - 1e-9
-    table, techniques = fixed.profiles(), fixed.techniques()
-    pairs = class_candidates(inv).withColumns({f"prior{i}": F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95)) for i in range(len(techniques))})
-    pairs = pairs.withColumns({f"ok{i}": _score(F.col(f"prior{i}"), i) >= first for i in range(len(techniques))} | {"second": second})
-    alive = F.lit(False)
-    for i in range(len(techniques)):
-        alive = alive | F.col(f"ok{i}")
-    pairs = pairs.where(alive)
+    rows = rows.withColumns({"common": common, "first": first, "second": second})
+    rows = rows.withColumns({f"prior{i}": F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95)) for i in n})
+    rows = rows.withColumns({f"ok{i}": _score(F.col(f"prior{i}"), i) >= F.col("first") for i in n})
+    posts = {f"{p}{i}": F.when(F.col(f"ok{i}"), _score(F.least(F.col(f"prior{i}") * table[p].get(t_, 1.0), F.lit(0.95)), i)) for p in names for i, (t_, _, _) in enumerate(techniques)}
+    rows = rows.select("tgt", *SITUATION, "second", *[c.alias(k) for k, c in posts.items()])
+    rows = rows.withColumns({f"{p}_top": F.greatest(*[F.col(f"{p}{i}") for i in n]) for p in names})
     each = []
-    for name in names:
-        options = []
-        for i, (t, _, _) in enumerate(techniques):
-            post = _score(F.least(F.col(f"prior{i}") * table[name].get(t, 1.0), F.lit(0.95)), i)
-            options.append(F.when(F.col(f"ok{i}"), F.struct(post.alias("posterior"), F.lit(-i).alias("rank"), F.lit(t).alias("technique"))))
-        best = F.array_max(F.array(*options))
-        each.append(F.struct(F.lit(name).alias("profile"), best.alias("e")))
-    rows = pairs.select("src_zone", "src_internet", "src_domain", "members", "tgt", "second", F.explode(F.array(*each)).alias("p"))
-    return rows.where("p.e.posterior >= second").select("src_zone", "src_internet", "src_domain", "members", "tgt", "p.profile", "p.e.technique", "p.e.posterior")
-
-
-def adjacency(inv: DataFrame, names: tuple[str, ...] = ("apt", "ransomware", "insider"), k: int = K) -> DataFrame:
+    for p in names:
+        which = F.coalesce(*[F.when(F.col(f"{p}{i}") == F.col(f"{p}_top"), t_) for i, (t_, _, _) in enumerate(techniques)])
+        each.append(F.struct(F.lit(p).alias("profile"), which.alias("technique"), F.col(f"{p}_top").alias("posterior")))
+    return rows.select("tgt", *SITUATION, "second", F.explode(F.array(*each)).alias("p")).where("p.posterior >= second").select("p.profile", "tgt", *SITUATION, "p.technique", "p.posterior")
+
+
+def _both() -> Column:
+    return F.col("src_domain") & F.col("tgt_domain")
+
+
+def adjacency(inv: DataFrame, names: tuple[str, ...] = PROFILES, k: int = K) -> DataFrame:
     """``profile, src, tgt, technique, posterior, k``: the ``k`` strongest neighbours of every asset.
 
-    Ties by target id. Ranked once per class to ``k + 1`` (a member may be its own target), then shared out to
-    the members. The ranking window keeps only the first rows before its shuffle.
+    Ties by target id. Ranked to ``k + 1`` (an asset may be its own target) once per target zone and situation, with
+    a window that keeps only the first rows before its shuffle; a class merges the rankings of the zones it reaches
+    and shares the result among its members.
     """
-    at = Window.partitionBy("profile", "src_zone", "src_internet", "src_domain").orderBy(F.desc("posterior"), "tgt")
-    best = class_edges(inv, names).withColumn("r", F.row_number().over(at)).where(F.col("r") <= k + 1)
-    ranked = best.groupBy("profile", "src_zone", "src_internet", "src_domain").agg(F.array_sort(F.collect_list(F.struct("r", "tgt", "technique", "posterior"))).alias("best"))
+    order = [F.desc("posterior"), "tgt"]
+    best = situations(inv, names).withColumn("r", F.row_number().over(Window.partitionBy("profile", *SITUATION).orderBy(*order))).where(F.col("r") <= k + 1)
+    c = reached_zones(classes(inv).drop("members")).withColumn("tgt_domain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("both", _both())
+    flags = ["src_zone", "src_internet", "src_domain"]
+    mine = c.join(best, SITUATION).select("profile", *flags, "tgt", "technique", "posterior")
+    mine = mine.withColumn("r", F.row_number().over(Window.partitionBy("profile", *flags).orderBy(*order))).where(F.col("r") <= k + 1)
+    ranked = mine.groupBy("profile", *flags).agg(F.array_sort(F.collect_list(F.struct("r", "tgt", "technique", "posterior"))).alias("best"))
+    ranked = ranked.withColumn("tgts", F.col("best.tgt"))
     members = inv.select(F.col("id").alias("src"), F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain"))
-    own = members.join(ranked, ["src_zone", "src_internet", "src_domain"])
-    kept = own.select("profile", "src", F.posexplode(F.slice(F.filter("best", lambda b: b["tgt"] != F.col("src")), 1, k)).alias("i", "b"))
-    return kept.select("profile", "src", "b.tgt", "b.technique", "b.posterior", (F.col("i") + 1).alias("k"))
+    own = members.join(ranked, flags).select("profile", "src", F.array_position("tgts", F.col("src")).alias("own"), F.explode("best").alias("b"))
+    place = F.col("b.r") - F.when((F.col("own") > 0) & (F.col("own") < F.col("b.r")), 1).otherwise(0)
+    return own.where("b.tgt <> src").select("profile", "src", "b.tgt", "b.technique", "b.posterior", place.alias("k")).where(F.col("k") <= k)
+
+
+def all_transitions(inv: DataFrame, names: tuple[str, ...] = PROFILES) -> DataFrame:
+    """``profile, src, tgt, technique, posterior``: every transition that passes, not the strongest alone.
+
+    An equi-join of sources with the situations of the zones they reach; the result itself is quadratic in the
+    members of a zone, so it is for listings of a part; ``edge_statistics`` counts without building it.
+    """
+    s = inv.select(F.col("id").alias("src"), F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain"))
+    s = reached_zones(s).withColumn("tgt_domain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("both", _both())
+    return s.join(situations(inv, names), SITUATION).where("src <> tgt").select("profile", "src", "tgt", "technique", "posterior")
 
 
-def edge_statistics(inv: DataFrame, names: tuple[str, ...] = ("apt", "ransomware", "insider")) -> DataFrame:
+def edge_statistics(inv: DataFrame, names: tuple[str, ...] = PROFILES) -> DataFrame:
     """``profile, nodes, edges, avg_posterior, branching``: all edges that pass, counted without building them.
 
-    A class edge stands for as many edges as the class has members, less one if the target is a member itself.
+    The targets that pass are counted per zone and situation; a class has them once per member, and every asset that
+    would be its own target is taken off again.
     """
-    own = inv.select(F.col("id").alias("tgt"), F.col("zone").alias("z"), F.col("internet_facing").alias("i"), F.col("domain_joined").alias("d"))
-    e = class_edges(inv, names).join(own, "tgt")
-    inside = (F.col("z") == F.col("src_zone")) & (F.col("i") == F.col("src_internet")) & (F.col("d") == F.col("src_domain"))
-    n = F.col("members") - F.when(inside, 1).otherwise(0)
-    per = e.groupBy("profile").agg(F.sum(n).alias("edges"), F.sum(n * F.col("posterior")).alias("mass"))
+    s = situations(inv, names)
+    per = s.groupBy("profile", *SITUATION).agg(F.count(F.lit(1)).alias("n"), F.sum("posterior").alias("mass"))
+    c = reached_zones(classes(inv)).withColumn("tgt_domain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("both", _both())
+    all_ = c.join(per, SITUATION).groupBy("profile").agg(F.sum(F.col("members") * F.col("n")).alias("edges"), F.sum(F.col("members") * F.col("mass")).alias("mass"))
+    me = inv.select(F.col("id").alias("tgt"), F.col("internet_facing").alias("mine"))
+    own = s.where("dist = 0 AND both = tgt_domain").join(me, "tgt").where("src_internet = mine").groupBy("profile").agg(F.count(F.lit(1)).alias("less"), F.sum("posterior").alias("less_mass"))
+    both = all_.join(own, "profile", "left")
     nodes = inv.agg(F.count(F.lit(1)).alias("nodes"))
-    out = per.crossJoin(nodes)  # one row beside three
-    return out.select("profile", "nodes", "edges", F.round(F.try_divide("mass", F.col("edges")), 6).alias("avg_posterior"), F.round(F.col("edges") / F.greatest("nodes", F.lit(1)), 6).alias("branching"))
+    n, mass = F.col("edges") - F.coalesce("less", F.lit(0)), F.col("mass") - F.coalesce("less_mass", F.lit(0.0))
+    out = both.crossJoin(nodes).withColumns({"n": n, "m": mass}).where("n > 0")  # one row beside three
+    return out.select("profile", "nodes", F.col("n").alias("edges"), F.round(F.try_divide("m", F.col("n")), 6).alias("avg_posterior"), F.round(F.col("n") / F.greatest("nodes", F.lit(1)), 6).alias("branching"))

@@ -151,6 +151,12 @@ def edge_statistics(spark, sf_dir):
     return edges.edge_statistics(inv(spark, sf_dir))
 
 
+@query(GRAPH + "SELECT profile, src, tgt, technique, round(posterior, 6) AS posterior FROM edges")
+def transition_list(spark, sf_dir):
+    """Every transition that passes, not the strongest of each asset alone."""
+    return edges.all_transitions(inv(spark, sf_dir)).withColumn("posterior", F.round("posterior", 6))
+
+
 @query(GRAPH + """SELECT profile, technique, count(*) AS n, round(avg(posterior), 6) AS avg_posterior, round(avg(least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE)), 6) AS ci_width,
 count(*) FILTER (least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE) < 0.3) AS high_confidence FROM adj GROUP BY ALL""")
 def edge_confidence(spark, sf_dir):
