@@ -31,6 +31,16 @@ dr: dr restricted prod-db
 internal: internal restricted dmz prod-web prod-app prod-db corp
 """
 
+# The short list of zone kinds.
+ZONE_REACH_COARSE = """
+dmz: internal dmz
+internal: internal restricted dmz
+restricted: restricted internal
+airgap: airgap
+cloud: cloud dmz internal
+unknown: unknown dmz internal
+"""
+
 # Techniques in order: edge type, base prior, display name.
 TECHNIQUES = """
 exploit 0.30 Initial Access
@@ -68,6 +78,7 @@ data_exfiltration 1.3 database_server backup_server file_server
 AFFINITY_ZONES = "lateral 1.3 restricted security mgmt"
 SENSITIVE_ZONES = "restricted mgmt security pci hipaa dr"
 TARGETS_SURE = "domain_controller identity_server pki_server ca_server key_management"
+TARGETS_POSSIBLE = "backup_server file_server jump_server bastion secrets_manager hsm privileged_access_workstation"
 TARGETS_LIKELY = "backup_server secrets_manager hsm bastion"
 
 # Tiers of asset types; other types are of tier 2.

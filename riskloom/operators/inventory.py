@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import switch, tiers
 from .delivery import latest_delivery
 
+SOURCES = ("vulnerability_scanner", "siem_alerts", "threat_intelligence", "historical_attacks", "network_flow")
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 FINDING = "array<struct<pos:int,finding_id:string,title:string,category:string,severity:string,cvss:double,epss:double,exploit_available:boolean>>"
@@ -28,25 +31,57 @@ def _findings(c: Column) -> Column:
     return F.coalesce(once, F.array().cast(FINDING))
 
 
-def inventory(assets: DataFrame) -> DataFrame:
+def name_key(c: Column) -> Column:
+    """A typed name in its comparable form: lower case, without outer blanks, '_', '.' and blanks as '-'."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"[_\s.]+", "-")
+
+
+def reference_names(ref: DataFrame) -> DataFrame:
+    """``field_name, key, canonical``: every way the reference list writes an entry; a way two entries share is none."""
+    ways = F.concat(F.array("canonical", "display_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = ref.select("field_name", "canonical", F.explode(ways).alias("way")).select("field_name", "canonical", name_key(F.col("way")).alias("key")).where("key <> ''")
+    return rows.groupBy("field_name", "key").agg(F.min("canonical").alias("canonical"), F.max("canonical").alias("other")).where("canonical = other").drop("other")
+
+
+def inventory(assets: DataFrame, ref: DataFrame | None = None, need: Sequence[str] = ()) -> DataFrame:
     """One row per asset id (latest delivery), defaults for what is missing, findings as a normalised list.
 
-    Missing criticality is 0, missing flags are false, missing zone and type 'unknown', missing sensitivity
-    'user_data', missing evidence confidence 0. One shuffle, by the asset id.
+    Missing criticality is 0, missing flags are false, missing or blank zone and type 'unknown', missing sensitivity
+    'user_data', missing evidence confidence 0. With ``ref`` (the reference list of names) a typed zone or type that
+    is an entry's name, display name or alias but for case, blanks, '_' and '.' counts as the entry; others stay as
+    typed (``unmapped_names`` lists them). ``need`` names the columns wanted besides ``id``, all by default: only they
+    are read and shuffled, once, by the asset id. The reference list's names are joined after that; Spark broadcasts
+    them while they are small.
     """
     no = F.lit(False)
     evidence = lambda s: F.coalesce(F.col(f"evidence.{s}.confidence"), F.lit(0.0))
-    return latest_delivery(
-        assets, "id", "ingested_at",
-        {
-            "name": "name", "ip": "ip", "type": F.coalesce("type", F.lit("unknown")), "zone": F.coalesce("zone", F.lit("unknown")),
-            "criticality": F.coalesce("criticality", F.lit(0)), "internet_facing": F.coalesce("internet_facing", no),
-            "domain_joined": F.coalesce("domain_joined", no), "services": F.coalesce("services", F.array().cast("array<string>")),
-            "sensitivity": F.coalesce("data_sensitivity", F.lit("user_data")), "findings": _findings(F.col("misconfigurations")),
-            "siem": evidence("siem_alerts"), "intel": evidence("threat_intelligence"),
-            "business_unit": "business_unit", "revenue": "annual_revenue_exposure",
-        },
-    )
+    known = lambda s: F.when(evidence(s) > 0, 1).otherwise(0)
+    typed = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown"))
+    columns = {
+        "name": F.col("name"), "ip": F.col("ip"), "type": typed(F.col("type")), "zone": typed(F.col("zone")),
+        "criticality": F.coalesce("criticality", F.lit(0)), "internet_facing": F.coalesce("internet_facing", no),
+        "domain_joined": F.coalesce("domain_joined", no), "services": F.coalesce("services", F.array().cast("array<string>")),
+        "sensitivity": F.coalesce("data_sensitivity", F.lit("user_data")), "findings": _findings(F.col("misconfigurations")),
+        "siem": evidence("siem_alerts"), "intel": evidence("threat_intelligence"), "sources": sum((known(s) for s in SOURCES[1:]), known(SOURCES[0])),
+        "business_unit": F.col("business_unit"), "revenue": F.col("annual_revenue_exposure"),
+    }
+    if need:
+        columns = {c: x for c, x in columns.items() if c in need}
+    latest = latest_delivery(assets, "id", "ingested_at", columns)
+    for c in ("zone", "type"):
+        if ref is not None and c in columns:
+            names = reference_names(ref).where(F.col("field_name") == c).select(F.col("key").alias("__k"), F.col("canonical").alias("__c"))
+            latest = latest.join(names, name_key(F.col(c)) == F.col("__k"), "left").withColumn(c, F.coalesce("__c", c)).drop("__k", "__c")
+    return latest
+
+
+def unmapped_names(assets: DataFrame, ref: DataFrame) -> DataFrame:
+    """``field_name, value, n``: the typed zones and types that name no entry of the reference list, with their assets."""
+    latest = latest_delivery(assets, "id", "ingested_at", {"zone": "zone", "type": "type"})
+    parts = [F.struct(F.lit(c).alias("field_name"), F.coalesce(F.trim(c), F.lit("")).alias("value")) for c in ("zone", "type")]
+    values = latest.select(F.explode(F.array(*parts)).alias("p")).select("p.*").groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = reference_names(ref).select("field_name", F.col("key").alias("__k"))
+    return values.withColumn("__k", name_key(F.col("value"))).join(names, ["field_name", "__k"], "left_anti").select("field_name", "value", "n")
 
 
 def findings_of(inv: DataFrame) -> DataFrame:

@@ -13,15 +13,24 @@ from .delivery import latest_delivery
 from .inventory import tier
 
 
-def paths_of(attack_paths: DataFrame) -> DataFrame:
-    """Stored paths, the latest delivery of each id; null lists are empty, NaN scores null."""
+def paths_of(attack_paths: DataFrame, need: Sequence[str] = (), nodes: Sequence[str] = (), edges: Sequence[str] = ()) -> DataFrame:
+    """Stored paths, the latest delivery of each id; null lists are empty, NaN scores null.
+
+    ``need`` names the columns wanted besides ``path_id``, all by default; ``nodes`` and ``edges`` the fields of the list
+    entries, all by default. What isn't named is neither read from the file nor shuffled.
+    """
     num = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    return latest_delivery(
-        attack_paths, "path_id", "ingested_at",
-        {c: c for c in ("job_id", "profile", "pattern_signature", "pattern_label")}
-        | {c: F.coalesce(c, F.array().cast(attack_paths.schema[c].dataType)) for c in ("nodes", "edges", "kill_chain")}
-        | {c: num(c) for c in ("path_probability", "realism_score", "impact_score", "final_risk_score")},
-    )
+    part = {"nodes": nodes, "edges": edges}
+
+    def whole(c):
+        names = part.get(c, ())
+        got = F.arrays_zip(*[F.col(f"{c}.{n}") for n in names]) if names else F.col(c)
+        kind = attack_paths.select(got).schema[0].dataType
+        return F.coalesce(got, F.array().cast(kind))
+
+    columns = {c: F.col(c) for c in ("job_id", "profile", "pattern_signature", "pattern_label")} | {c: whole(c) for c in ("nodes", "edges", "kill_chain")}
+    columns |= {c: num(c) for c in ("path_probability", "realism_score", "impact_score", "final_risk_score")}
+    return latest_delivery(attack_paths, "path_id", "ingested_at", {c: x for c, x in columns.items() if not need or c in need})
 
 
 def nodes_of(paths: DataFrame) -> DataFrame:
@@ -105,12 +114,14 @@ def scored(paths: DataFrame) -> DataFrame:
 
 def realism() -> Column:
     """How plausible a scored path is: probability, exploit scores of its nodes (``epss`` of each, geometric mean),
-    evidence, narrow intervals, a length near five; the share for search visits counts as full."""
+    evidence (up to three kinds of it on the target, ``sources``), narrow intervals, a length near five; the share for
+    search visits counts as full, as a search without rollouts has none."""
     n = F.greatest(F.size("nodes"), F.lit(1))
     logs = F.aggregate(F.transform("nodes", lambda x: F.log(F.greatest(F.coalesce(x["epss"], F.lit(0.05)), F.lit(0.01)))), F.lit(0.0), lambda a, x: a + x)
     wide = F.aggregate(F.transform("edges", lambda e: F.get(e["confidence_interval"], F.lit(1)) - F.get(e["confidence_interval"], F.lit(0))), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.2)))
     narrow = 1 - wide / F.greatest(F.size("edges"), F.lit(1))
-    evidence = F.when(F.size("edges") > 0, 1 / 3).otherwise(0.0)
+    seen = F.coalesce(F.try_element_at("nodes", F.lit(-1))["sources"], F.lit(0))
+    evidence = F.when(F.size("edges") > 0, F.least(seen / 3, F.lit(1.0))).otherwise(0.0)
     return F.col("probability") * 0.25 + F.exp(logs / n) * 0.20 + evidence * 0.20 + narrow * 0.15 + F.greatest(F.lit(0.0), 1 - F.abs(n - 5) * 0.05) * 0.10 + 0.10
 
 

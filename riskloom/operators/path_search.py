@@ -20,7 +20,7 @@ def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: i
     ``adjacency``: src, tgt, technique, posterior of one profile, targets of transitions that may be entered only.
     ``by``: columns of transitions and entries that keep several graphs apart (the profile), searched side by side.
     Level by level every kept path is joined with the transitions of its last node; of the paths that reach the
-    same node from the same entry the ``beam`` likeliest are kept (ties by the path as text). Paths aren't led
+    same node from the same entry the ``beam`` likeliest are kept (ties by the path as text, then the techniques). Paths aren't led
     past a target. With a beam as large as the number of simple paths the search is exhaustive. What is kept is
     at most entries x nodes x beam per level; every level is written, so plans stay small and a lost executor
     costs one level.
@@ -33,7 +33,7 @@ def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: i
     ).join(stop, "node", "left")
     level = materialise(level, "level")
     found = None
-    w = Window.partitionBy(*by, "entry", "tgt").orderBy(F.desc("q"), F.array_join("longer", ">"))
+    w = Window.partitionBy(*by, "entry", "tgt").orderBy(F.desc("q"), F.array_join("longer", ">"), F.array_join("techniques", "+"))
     for depth in range(1, max_depth + 1):
         steps = level.where("hit IS NULL").join(adj.withColumnRenamed("src", "node"), [*by, "node"]).where(~F.array_contains("path", F.col("tgt")))
         steps = steps.select(
@@ -61,9 +61,11 @@ def as_paths(found: DataFrame, inv: DataFrame, profile: str | Column) -> DataFra
     steps = rows.select("path_id", F.posexplode("path").alias("pos", "asset_id"))
     info = inv.select(
         F.col("id").alias("asset_id"), F.col("name").alias("asset_name"), F.col("type").alias("asset_type"), F.col("zone").alias("asset_zone"),
-        "criticality", "internet_facing", F.col("sensitivity").alias("data_sensitivity"), F.col("top.finding_id").alias("misconfig_id"), F.col("top.category").alias("misconfig_category"), F.col("top.severity").alias("severity"), _epss().alias("epss"),
+        "criticality", "internet_facing", F.col("sensitivity").alias("data_sensitivity"), F.col("top.finding_id").alias("misconfig_id"), F.col("top.category").alias("misconfig_category"), F.col("top.severity").alias("severity"), F.col("top.title").alias("misconfig_title"), _epss().alias("epss"), "sources",
+    )
+    node = F.struct(
+        "pos", "asset_id", "asset_name", "asset_type", "asset_zone", "criticality", "internet_facing", "data_sensitivity", "misconfig_id", "misconfig_title", "misconfig_category", "severity", "epss", "sources"
     )
-    node = F.struct("pos", "asset_id", "asset_name", "asset_type", "asset_zone", "criticality", "internet_facing", "data_sensitivity", "misconfig_id", "misconfig_category", "severity", "epss")
     nodes = steps.join(info, "asset_id").groupBy("path_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
     ends = F.transform(
         F.col("techniques"),
@@ -83,3 +85,10 @@ def _epss():
 
 def technique_label(c):
     return fixed.switch(c, {t: label for t, _, label in fixed.techniques()}, "unknown")
+
+
+def statistics(found: DataFrame) -> DataFrame:
+    """``profile, paths, entries, targets, avg_nodes, longest``: what a search found, per profile."""
+    n = F.size("path")
+    per = found.groupBy("profile").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("entry").alias("entries"), F.count_distinct("node").alias("targets"), F.round(F.avg(n), 6).alias("avg_nodes"), F.max(n).alias("longest"))
+    return per

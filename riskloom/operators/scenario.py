@@ -70,7 +70,10 @@ def transitions(inv: DataFrame, k: int = K) -> DataFrame:
     flags = ["src_zone", "src_internet", "src_domain"]
     members = inv.select(F.col("id").alias("src"), F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain"))
     near = fixed.small_table(inv.sparkSession, reach(), "src_zone string, tgt_zone string, dist int")
-    pairs = members.select(*flags).distinct().join(near, "src_zone").join(tgts, "tgt_zone").select(*flags, "tgt", "tgt_domain", "dist", "o.*")
+    own = members.select(*flags).distinct()
+    # a zone that isn't one of the five reaches itself
+    alone = own.where(~F.col("src_zone").isin(*ORDER.split())).withColumns({"tgt_zone": F.col("src_zone"), "dist": F.lit(0)})
+    pairs = own.join(near, "src_zone").unionByName(alone).join(tgts, "tgt_zone").select(*flags, "tgt", "tgt_domain", "dist", "o.*")
     common = F.pow(F.lit(0.6), F.col("dist")) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("src_domain") & F.col("tgt_domain"), 1.2).otherwise(1.0)
     score = lambda p: F.rint(F.least(F.greatest(p * 0.3 + F.col("lk") * 0.7, F.lit(0.05)), F.lit(0.98)) * 1e9) / 1e9
     pairs = pairs.withColumn("prior", F.least(F.col("part") * common, F.lit(0.95))).withColumn("base", score(F.col("prior"))).where(F.col("base") >= THRESHOLD)

@@ -21,6 +21,27 @@ def is_target() -> Column:
     return sure | (F.col("type").isin(*fixed.TARGETS_LIKELY.split()) & (F.col("criticality") == 5))
 
 
+def target_tier() -> Column:
+    """1: sure targets' types from criticality 4; 2: types that may be targets from criticality 4; else null."""
+    high = F.col("criticality") >= 4
+    return F.when(high & F.col("type").isin(*fixed.TARGETS_SURE.split()), 1).when(high & F.col("type").isin(*fixed.TARGETS_POSSIBLE.split()), 2)
+
+
+def classification(inv: DataFrame) -> DataFrame:
+    """``tier, assets, targets``: how many assets each tier of the classification holds, and how many of them are targets.
+
+    The offline rule decides tier 2: of the possible types the likely ones count from criticality 5.
+    """
+    return inv.groupBy(target_tier().alias("tier")).agg(F.count(F.lit(1)).alias("assets"), F.count_if(is_target()).alias("targets"))
+
+
+def partial_reward(criticality: Column, dist: Column) -> Column:
+    """What a path earns that ends short of a target: half the criticality's share, halved with every hop that is left;
+    without a way to a target a little for criticality 4 and more."""
+    share = F.coalesce(criticality, F.lit(1)) / 5
+    return F.when(dist < FAR, share * (0.5 / F.pow(F.lit(2.0), dist))).when(criticality >= 4, share * 0.05).otherwise(0.0)
+
+
 def each_profile(df: DataFrame, names: Sequence[str] = ("apt", "ransomware", "insider")) -> DataFrame:
     """Every row once per profile."""
     return df.withColumn("profile", F.explode(F.array(*[F.lit(n) for n in names])))

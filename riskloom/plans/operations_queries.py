@@ -53,12 +53,12 @@ def zone_distance_matrix(spark, sf_dir):
 
 @query(W + f"SELECT id, {_ip} AS n FROM inv")
 def ip_numbers(spark, sf_dir):
-    return inv(spark, sf_dir).select("id", zones.ip_number(F.col("ip")).alias("n"))
+    return inv(spark, sf_dir, "ip").select("id", zones.ip_number(F.col("ip")).alias("n"))
 
 
 @query(W + f"SELECT id, {_case('cidr', _between, 0)} AS zone, {_case('cidr', _between, 1)} AS confidence FROM (SELECT id, {_ip} AS n FROM inv) WHERE {_case('cidr', _between, 0)} IS NOT NULL")
 def cidr_match(spark, sf_dir):
-    r = inv(spark, sf_dir).select("id", zones.by_cidr(F.col("ip")).alias("r")).where("r IS NOT NULL")
+    r = inv(spark, sf_dir, "ip").select("id", zones.by_cidr(F.col("ip")).alias("r")).where("r IS NOT NULL")
     return r.select("id", "r.zone", "r.confidence")
 
 
@@ -81,13 +81,13 @@ def zone_detection(spark, sf_dir):
             out = F.when(s == k, v).otherwise(out)
         return out
 
-    hosts = inv(spark, sf_dir).select("id", "ip", F.concat(F.lower(F.left("name", F.lit(3))), F.lit("-"), F.lower("name")).alias("host"), F.transform("services", product).alias("services"))
+    hosts = inv(spark, sf_dir, "ip", "name", "services").select("id", "ip", F.concat(F.lower(F.left("name", F.lit(3))), F.lit("-"), F.lower("name")).alias("host"), F.transform("services", product).alias("services"))
     return zones.detect(hosts, "id", "ip", "host", "services").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(W + "SELECT CASE WHEN ip LIKE '192.168.0.%' OR ip LIKE '10.0.0.%' THEN 'dmz' WHEN ip LIKE '10.1.%' OR ip LIKE '10.2.%' OR ip LIKE '172.20.%' THEN 'internal' WHEN ip LIKE '10.10.%' OR ip LIKE '10.100.%' THEN 'restricted' ELSE 'internal' END AS zone, count(*) AS n FROM inv GROUP BY 1")
 def prefix_zones(spark, sf_dir):
-    return inv(spark, sf_dir).groupBy(zones.by_prefix(F.col("ip")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+    return inv(spark, sf_dir, "ip").groupBy(zones.by_prefix(F.col("ip")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- validation -----------------------------------------------------------------------------------------------
@@ -106,7 +106,7 @@ v AS (SELECT asset_id, finding_id, mid, round(greatest(0, least(1, 0.5::DOUBLE
 
 
 def _detections(spark, sf_dir):
-    i = inv(spark, sf_dir)
+    i = inv(spark, sf_dir, "zone", "services", "findings")
     even, agent = F.col("f.pos") % 2 == 0, F.array_contains("services", "agentd")
     row = i.select("id", "zone", "services", F.explode("findings").alias("f"))
     files = F.when(even, "/tmp/a t").otherwise("/opt/a")
@@ -202,7 +202,7 @@ _prio = f"""CAST(floor({fixed.sql_case("sev", jobs.BASE, 0)} + {fixed.sql_case("
 def task_priorities(spark, sf_dir):
     from ..operators.inventory import top_finding
 
-    t = top_finding(inv(spark, sf_dir))
+    t = top_finding(inv(spark, sf_dir, "zone", "criticality", "internet_facing", "revenue", "sensitivity", "findings"))
     data = F.when(F.col("sensitivity") == "pii", "confidential").when(F.col("sensitivity") == "credentials", "restricted").otherwise("public")
     p = jobs.priority(F.col("top.severity"), F.substring_index("zone", "-", 1), F.col("criticality"), F.col("internet_facing"), F.col("revenue"), data, F.lit(0), F.lit(0))
     return t.select("id", p.alias("priority"))
@@ -210,7 +210,7 @@ def task_priorities(spark, sf_dir):
 
 @query(W + "SELECT chunk, count(*) AS n, min(id) AS first, max(id) AS last FROM (SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 50) AS BIGINT) AS chunk FROM inv) GROUP BY chunk")
 def chunk_plan(spark, sf_dir):
-    c = chunked(inv(spark, sf_dir).select("id"), ["id"], 50)
+    c = chunked(inv(spark, sf_dir, "criticality").select("id"), ["id"], 50)
     return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
@@ -230,7 +230,7 @@ def load_balance(spark, sf_dir):
 def cache_validity(spark, sf_dir):
     h = lambda: F.concat_ws(":", F.coalesce("type", F.lit("unknown")), F.coalesce("zone", F.lit("unknown")))
     cached = table(spark, sf_dir, "assets").where("internet_facing").groupBy("id").agg(F.min(h()).alias("hash"), F.min("observed_at").alias("cached_at"))
-    return jobs.cache_state(cached, inv(spark, sf_dir).select("id", h().alias("hash")), "id", F.lit(AS_OF).cast("timestamp"), 90 * 86_400)
+    return jobs.cache_state(cached, inv(spark, sf_dir, "type", "zone").select("id", h().alias("hash")), "id", F.lit(AS_OF).cast("timestamp"), 90 * 86_400)
 
 
 _SLOTS = [h * 60 + m for h in (2, 14) for m in (0, 15, 30, 45)]
@@ -385,7 +385,7 @@ def feature_vectors(spark, sf_dir):
 
 @query(sql.with_(sql.INV, sql.REACH) + ", rep AS (SELECT zone, min(id) AS id FROM inv GROUP BY zone) SELECT a.id AS source, b.id AS target FROM rep a JOIN reach ON rs = a.zone JOIN rep b ON b.zone = rt WHERE rs <> rt")
 def topology_edges(spark, sf_dir):
-    return em.topology(inv(spark, sf_dir))
+    return em.topology(inv(spark, sf_dir, "zone"))
 
 
 def attention_embeddings(spark, sf_dir):
