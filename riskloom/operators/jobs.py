@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,17 +116,74 @@ def aimd(df: DataFrame, key: str, order: Sequence[str], windows: Sequence[str] =
     return rows.select(key, F.aggregate("w", zero, step).alias("s")).select(key, "s.rate", "s.cuts", "s.raises")
 
 
-def token_bucket(df: DataFrame, key: str, seconds: str, rate: float, burst: float) -> DataFrame:
-    """``key, granted, refused``: arrivals (their times in seconds) against a token bucket, folded in order."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.col(seconds).cast("double"))).alias("t"))
-    zero = F.struct(F.lit(float(burst)).alias("left"), F.lit(None).cast("double").alias("at"), F.lit(0).alias("ok"), F.lit(0).alias("no"))
+def controlled_rates(windows: DataFrame, controls: DataFrame, key: str, t: str, start: int = 20, low: int = 1, high: int = 100, keep: int = 100) -> DataFrame:
+    """``key, rate, paused, history``: adaptive rates with control events, and the last ``keep`` changes of each key.
+
+    ``windows``: key, t, n, e, o, one row per key and bucket; ``controls``: key, t, control ('pause', 'resume', 'set',
+    'reset'), value. In one bucket controls come before the counts, in the order named. While a key is paused its
+    windows change nothing. ``set`` takes ``value`` within ``low..high``, ``reset`` goes back to ``start`` and forgets
+    the last error and change. ``history`` holds (t, rate, why), the latest last. What one key folds is a row per bucket.
+    """
+    turn = {"pause": 0, "resume": 1, "set": 2, "reset": 3}
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    row = lambda *cs: F.struct(*[c.alias(n) for c, n in zip(cs, ("t", "turn", "what", "value", "n", "e", "o"))])
+    a = windows.select(key, row(F.col(t), F.lit(9), none, zero, F.col("n").cast("bigint"), F.col("e").cast("bigint"), F.col("o").cast("bigint")).alias("x"))
+    b = controls.select(key, row(F.col(t), fixed.switch(F.col("control"), turn, 8), F.col("control"), F.col("value").cast("bigint"), zero, zero, zero).alias("x"))
+    rows = a.unionByName(b).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    past = F.lit(-(10**9)).cast("bigint")
+    first = F.struct(F.lit(start).cast("bigint").alias("rate"), past.alias("err"), past.alias("adj"), F.lit(False).alias("paused"), F.array().cast("array<struct<t:bigint,rate:bigint,why:string>>").alias("history"))
+
+    def step(s: Column, x: Column) -> Column:
+        act = x["what"].isNull() & ~s["paused"]
+        enough = act & (x["n"] >= 10)
+        err = F.when(x["what"] == "reset", past).when(act & (x["e"] > 0), x["t"]).otherwise(s["err"])
+        cut = enough & ((x["e"] / x["n"] > 0.1) | (x["o"] / x["n"] > 0.05))
+        up = enough & ~cut & (x["t"] - err > 5) & (x["t"] - s["adj"] > 5)
+        bounded = F.least(F.lit(high).cast("bigint"), F.greatest(F.lit(low).cast("bigint"), x["value"]))
+        rate = (
+            F.when(x["what"] == "set", bounded).when(x["what"] == "reset", F.lit(start).cast("bigint"))
+            .when(cut, F.greatest(F.lit(low).cast("bigint"), F.floor(s["rate"] * 0.5))).when(up, F.least(F.lit(high).cast("bigint"), s["rate"] + 2)).otherwise(s["rate"])
+        )
+        paused = F.when(x["what"] == "pause", True).when(x["what"] == "resume", False).otherwise(s["paused"])
+        why = F.when(x["what"].isNotNull(), x["what"]).when(cut, "cut").when(up, "raise")
+        more = F.concat(s["history"], F.array(F.struct(x["t"].cast("bigint").alias("t"), rate.alias("rate"), why.alias("why"))))
+        history = F.when(why.isNull(), s["history"]).otherwise(F.slice(more, F.greatest(F.size(more) - (keep - 1), F.lit(1)), F.lit(keep)))
+        adj = F.when(x["what"] == "reset", past).when(cut | up | (x["what"] == "set"), x["t"]).otherwise(s["adj"])
+        return F.struct(rate.alias("rate"), err.alias("err"), adj.alias("adj"), paused.alias("paused"), history.alias("history"))
+
+    return rows.select(key, F.aggregate("xs", first, step).alias("s")).select(key, "s.rate", "s.paused", "s.history")
 
-    def step(a: Column, t: Column) -> Column:
-        have = F.least(F.lit(float(burst)), a["left"] + F.coalesce(t - a["at"], F.lit(0.0)) * rate)
-        ok = have >= 1.0
-        return F.struct(F.when(ok, have - 1.0).otherwise(have).alias("left"), t.alias("at"), (a["ok"] + F.when(ok, 1).otherwise(0)).alias("ok"), (a["no"] + F.when(ok, 0).otherwise(1)).alias("no"))
 
-    return rows.select(key, F.aggregate("t", zero, step).alias("s")).select(key, F.col("s.ok").alias("granted"), F.col("s.no").alias("refused"))
+def token_bucket(df: DataFrame, key: str, seconds: str, rate: float, burst: float) -> DataFrame:
+    """``key, granted, refused``: arrivals (their times in seconds) against a token bucket, in order.
+
+    Arrivals of one instant are counted before the shuffle. Each key's instants then pass through its task in order
+    with three numbers of state, so a key of any length needs no list. Null keys and times are left out.
+    """
+    counted = df.where(F.col(key).isNotNull() & F.col(seconds).isNotNull()).groupBy(F.col(key), F.col(seconds).cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.repartition(key).sortWithinPartitions(key, "t")
+    kind = df.schema[key].dataType.simpleString()
+
+    def fold(batches):
+        who, left, at, ok, no = None, 0.0, 0.0, 0, 0
+        for batch in batches:
+            done: list[list] = [[], [], []]
+            for k, t, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != who:
+                    if who is not None:
+                        for c, x in zip(done, (who, ok, no)):
+                            c.append(x)
+                    who, left, at, ok, no = k, float(burst), t, 0, 0
+                left, at = min(float(burst), left + (t - at) * rate), t
+                take = min(n, int(left))
+                left, ok, no = left - take, ok + take, no + n - take
+            if done[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(done[0], batch.schema.field(0).type), pa.array(done[1], pa.int64()), pa.array(done[2], pa.int64())], names=[key, "granted", "refused"])
+            own = batch.schema.field(0).type
+        if who is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([who], own), pa.array([ok], pa.int64()), pa.array([no], pa.int64())], names=[key, "granted", "refused"])
+
+    return rows.mapInArrow(fold, f"`{key}` {kind}, granted bigint, refused bigint")
 
 
 def latest_state(events: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:

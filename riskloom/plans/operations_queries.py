@@ -365,7 +365,43 @@ def stream_job_zones(spark, sf_dir):
 
 @query(_AIMD.replace("WITH ev", "WITH RECURSIVE ev").replace("SELECT job, rate, cuts, raises", "SELECT job, rate"))
 def stream_adaptive_rate(spark, sf_dir):
-    return st.run(st.adaptive_rate(st.scan_events(st.read(spark, sf_dir))), "update", "rate")
+    return st.run(st.adaptive_rate(st.scan_events(st.read(spark, sf_dir))), "update", "rate", ["job"])
+
+
+@query(ORACLE["sliding_rates"])
+def stream_sliding_rates(spark, sf_dir):
+    return ntz(st.run(st.sliding(st.scan_events(st.read(spark, sf_dir))), "update", "sliding", ["start"]))
+
+
+@query(EV + """, m AS (SELECT max(ts) - INTERVAL 10 HOUR AS mark FROM ev WHERE event_id % 3 = 1)
+SELECT date_trunc('hour', ts) AS start, count(*) AS n, count(*) FILTER (kind = 'target_error') AS errors, count(*) FILTER (kind = 'timeout') AS timeouts FROM ev, m
+WHERE event_id % 3 > 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY 1""")
+def stream_late_events(spark, sf_dir):
+    """All events in three deliveries: what the last brings for windows closed ten hours before the latest event of the first is too late."""
+    return ntz(st.run(st.tumbling(st.scan_events(st.deliveries(spark, sf_dir))), "update", "late", ["start"]))
+
+
+@query(EV + "SELECT job, zone, count(*) AS scanned, count(*) FILTER (kind = 'target_error') AS findings, round(avg(event_id % 5 + 1), 6) AS avg_criticality FROM ev WHERE kind IN ('target_complete', 'target_error') GROUP BY ALL")
+def job_zone_findings(spark, sf_dir):
+    """Per job and zone: targets scanned, findings and the mean criticality of the targets."""
+    return st.job_zone_findings(ev(spark, sf_dir))
+
+
+@query(ORACLE["job_zone_findings"])
+def stream_job_zone_findings(spark, sf_dir):
+    return st.run(st.job_zone_findings(st.scan_events(st.read(spark, sf_dir))), "complete", "zone-findings")
+
+
+def rate_histories(spark, sf_dir):
+    """Adaptive rates under control events (a signup pauses, resumes, sets or resets by its value), the last 100 changes of each job."""
+    e = ev(spark, sf_dir).withColumn("t", F.floor(F.unix_seconds("ts") / 3600).cast("bigint"))
+    w = e.where("kind <> 'job_start'").groupBy("job", "t").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "target_error").alias("e"), F.count_if(F.col("kind") == "timeout").alias("o"))
+    what = F.floor(F.col("duration") * 7).cast("int") % 40
+    c = e.where("kind = 'job_start'").select("job", "t", F.when(what == 0, "pause").when(what == 1, "resume").when(what == 2, "set").when(what == 3, "reset").alias("control"), F.lit(50).alias("value"))
+    return jobs.controlled_rates(w, c.where("control IS NOT NULL").distinct(), "job", "t")
+
+
+QUERIES["rate_histories"] = rate_histories
 
 
 # --- embeddings -----------------------------------------------------------------------------------------------
