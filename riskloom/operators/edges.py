@@ -8,6 +8,8 @@ no pair of assets is built but those that are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,26 +105,79 @@ def situations(inv: DataFrame, names: tuple[str, ...] = PROFILES) -> DataFrame:
     a target, whatever the number of sources. Techniques that fail the first threshold are out before any profile is
     looked at; of the rest the best under the profile counts (the first on ties), if it passes the second threshold.
     """
-    table, techniques = fixed.profiles(), fixed.techniques()
-    n = range(len(techniques))
+    return _best(_in_situations(inv).withColumn("common", _common()), names, ["tgt", *SITUATION])
+
+
+def _in_situations(inv: DataFrame) -> DataFrame:
     ways = [F.struct(F.lit(d).alias("dist"), F.lit(i).alias("src_internet"), F.lit(b).alias("both")) for b in (False, True) for d in (0, 1) for i in (False, True)]
     plain = F.slice(F.array(*ways), 1, 4)
     t = _targets(inv)
-    rows = t.select(*t.columns, F.explode(F.when(F.col("tgt_domain"), F.array(*ways)).otherwise(plain)).alias("w")).select(*t.columns, "w.*")
-    common = F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("both"), 1.2).otherwise(1.0)
+    return t.select(*t.columns, F.explode(F.when(F.col("tgt_domain"), F.array(*ways)).otherwise(plain)).alias("w")).select(*t.columns, "w.*")
+
+
+def _common() -> Column:
+    return F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("both"), 1.2).otherwise(1.0)
+
+
+def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """``profile, *keep, technique, posterior``: both thresholds, and the best technique of each row under each profile."""
+    table, techniques = fixed.profiles(), fixed.techniques()
+    n = range(len(techniques))
     first = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9
     second = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.lit(0)) - 1e-9
-    rows = rows.withColumns({"common": common, "first": first, "second": second})
+    rows = rows.withColumns({"first": first, "second": second})
     rows = rows.withColumns({f"prior{i}": F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95)) for i in n})
     rows = rows.withColumns({f"ok{i}": _score(F.col(f"prior{i}"), i) >= F.col("first") for i in n})
     posts = {f"{p}{i}": F.when(F.col(f"ok{i}"), _score(F.least(F.col(f"prior{i}") * table[p].get(t_, 1.0), F.lit(0.95)), i)) for p in names for i, (t_, _, _) in enumerate(techniques)}
-    rows = rows.select("tgt", *SITUATION, "second", *[c.alias(k) for k, c in posts.items()])
+    rows = rows.select(*keep, "second", *[c.alias(k) for k, c in posts.items()])
     rows = rows.withColumns({f"{p}_top": F.greatest(*[F.col(f"{p}{i}") for i in n]) for p in names})
     each = []
     for p in names:
         which = F.coalesce(*[F.when(F.col(f"{p}{i}") == F.col(f"{p}_top"), t_) for i, (t_, _, _) in enumerate(techniques)])
         each.append(F.struct(F.lit(p).alias("profile"), which.alias("technique"), F.col(f"{p}_top").alias("posterior")))
-    return rows.select("tgt", *SITUATION, "second", F.explode(F.array(*each)).alias("p")).where("p.posterior >= second").select("p.profile", "tgt", *SITUATION, "p.technique", "p.posterior")
+    return rows.select(*keep, "second", F.explode(F.array(*each)).alias("p")).where("p.posterior >= second").select("p.profile", *keep, "p.technique", "p.posterior")
+
+
+def similar_adjacency(inv: DataFrame, vectors: DataFrame, names: tuple[str, ...] = PROFILES, k: int = K) -> DataFrame:
+    """``adjacency`` with the similarity of both assets in the prior: times 1 + 0.3 x cosine, where that is above 0.
+
+    ``vectors``: ``id, v``, one array of doubles of one length per asset; without one the similarity is 0. Similarity
+    belongs to the pair, so unlike ``adjacency`` this scores every pair of assets whose zones reach one another, by an
+    equi-join on the zone: for inventories, or parts of them, whose zones have thousands of members, not millions.
+    """
+    v = vectors.select(F.col("id").alias("__id"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
+    size = vectors.select(F.max(F.size("v"))).first()[0] or 0
+    s = inv.select(F.col("id").alias("src"), F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain"))
+    s = reached_zones(s.join(v, F.col("src") == F.col("__id"), "left").withColumnsRenamed({"v": "sv", "n": "sn"}).drop("__id"))
+    t = _targets(inv).join(v, F.col("tgt") == F.col("__id"), "left").withColumnsRenamed({"v": "tv", "n": "tn"}).drop("__id")
+    pairs = s.join(t, "tgt_zone").where("src <> tgt")
+    dot = reduce(lambda a, x: a + x, [F.get("sv", F.lit(i)) * F.get("tv", F.lit(i)) for i in range(size)], F.lit(0.0))
+    cosine = F.round(F.greatest(F.coalesce(dot / (F.col("sn") * F.col("tn") + 1e-8), F.lit(0.0)), F.lit(0.0)), 9)
+    common = F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("src_domain") & F.col("tgt_domain"), 1.2).otherwise(1.0)
+    scored = _best(pairs.withColumn("common", common * (1 + cosine * 0.3)), names, ["src", "tgt"])
+    place = F.row_number().over(Window.partitionBy("profile", "src").orderBy(F.desc("posterior"), "tgt"))
+    return scored.select("profile", "src", "tgt", "technique", "posterior", place.alias("k")).where(F.col("k") <= k)
+
+
+def pruned(inv: DataFrame) -> DataFrame:
+    """One row: ``candidates`` (pairs that reach one another, times techniques), ``passed`` the first threshold, ``pruned``.
+
+    Counted by zone and situation like ``edge_statistics``; no pair is built.
+    """
+    techniques = fixed.techniques()
+    rows = _in_situations(inv)
+    first = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9
+    ok = sum((F.when(_score(F.least(F.col(f"part{i}") * _common(), F.lit(0.95)), i) >= first, 1).otherwise(0) for i in range(1, len(techniques))), F.when(_score(F.least(F.col("part0") * _common(), F.lit(0.95)), 0) >= first, 1).otherwise(0))
+    s = rows.select("tgt", *SITUATION, ok.alias("ok"))
+    per = s.groupBy(*SITUATION).agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"))
+    c = reached_zones(classes(inv)).withColumn("tgt_domain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("both", _both())
+    all_ = c.join(per, SITUATION).agg(F.sum(F.col("members") * F.col("n")).alias("n"), F.sum(F.col("members") * F.col("ok")).alias("ok"))
+    me = inv.select(F.col("id").alias("tgt"), F.col("internet_facing").alias("mine"))
+    own = s.where("dist = 0 AND both = tgt_domain").join(me, "tgt").where("src_internet = mine").agg(F.count(F.lit(1)).alias("n1"), F.sum("ok").alias("ok1"))
+    out = all_.crossJoin(own)  # one row each
+    zero = F.lit(0)
+    total, passed = (F.coalesce("n", zero) - F.coalesce("n1", zero)) * len(techniques), F.coalesce("ok", zero) - F.coalesce("ok1", zero)
+    return out.select(total.alias("candidates"), passed.alias("passed"), (total - passed).alias("pruned"))
 
 
 def _both() -> Column:

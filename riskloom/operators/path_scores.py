@@ -29,7 +29,7 @@ def paths_of(attack_paths: DataFrame, need: Sequence[str] = (), nodes: Sequence[
         return F.coalesce(got, F.array().cast(kind))
 
     columns = {c: F.col(c) for c in ("job_id", "profile", "pattern_signature", "pattern_label")} | {c: whole(c) for c in ("nodes", "edges", "kill_chain")}
-    columns |= {c: num(c) for c in ("path_probability", "realism_score", "impact_score", "final_risk_score")}
+    columns |= {c: num(c) for c in ("path_probability", "realism_score", "impact_score", "detection_risk", "final_risk_score")}
     return latest_delivery(attack_paths, "path_id", "ingested_at", {c: x for c, x in columns.items() if not need or c in need})
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,50 @@ from ..session import materialise
 MIN_NODES, MAX_DEPTH, BEAM = 4, 7, 3
 
 
+@dataclass(frozen=True)
+class Options:
+    """What an analysis can be asked for; see ``analyse``."""
+
+    profiles: tuple[str, ...] = ("apt", "ransomware", "insider")
+    neighbours: int = 20
+    entry_points: int = 10
+    beam: int = BEAM
+    max_depth: int = MAX_DEPTH
+    min_nodes: int = MIN_NODES
+    #: A model's verdict on targets: takes the inventory, gives ``id`` of the targets; the offline rule by default.
+    target_model: Callable[[DataFrame], DataFrame] | None = None
+    #: A model's view of entry points: takes ``profile, id, finding_id, score, rerank``, gives them with ``score`` changed.
+    entry_model: Callable[[DataFrame], DataFrame] | None = None
+    #: A model's account of paths: takes the scored paths, gives ``path_id, narrative``; a template by default.
+    narrator: Callable[[DataFrame], DataFrame] | None = None
+
+
+def template_narrative(paths: DataFrame) -> DataFrame:
+    """``path_id, narrative``: one sentence from the path's label, length and timeline."""
+    text = F.format_string("%s, %d hosts, %s, likelihood %.0f%%.", F.col("label"), F.size("nodes"), F.col("timeline"), F.col("path_probability") * 100)
+    return paths.select("path_id", text.alias("narrative"))
+
+
+def analyse(inv: DataFrame, options: Options = Options()) -> DataFrame:
+    """Scored paths of an inventory (with ``top`` findings), with ``realism``, ``reward`` and ``narrative``.
+
+    Transitions, targets, entry points, search and scores under ``options``; models are functions from DataFrame to
+    DataFrame (``mapInPandas`` inside, if they are remote), so they run in the tasks.
+    """
+    from . import edges, path_scores, targets
+
+    adj = materialise(edges.adjacency(inv, options.profiles, options.neighbours), "adjacency")
+    goals = options.target_model(inv) if options.target_model else inv.where(targets.is_target()).select("id")
+    dist = targets.target_distances(adj, targets.each_profile(goals, options.profiles), by=["profile"])
+    starts = targets.entry_points(inv, dist, options.entry_points, options.profiles)
+    starts = materialise(options.entry_model(starts) if options.entry_model else starts, "entries")
+    walkable = adj.join(inv.where("top IS NOT NULL").select(F.col("id").alias("tgt")), "tgt", "left_semi")
+    found = search(walkable, starts, goals, options.beam, options.max_depth, options.min_nodes, by=["profile"])
+    paths = path_scores.scored(as_paths(found, inv, F.col("profile"))).withColumns({"realism": F.round(path_scores.realism(), 6), "reward": F.round(path_scores.reward(), 6)})
+    told = (options.narrator or template_narrative)(paths).select(F.col("path_id").alias("__p"), "narrative")
+    return paths.join(told, F.col("path_id") == F.col("__p"), "left").drop("__p")
+
+
 def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: int = BEAM, max_depth: int = MAX_DEPTH, min_nodes: int = MIN_NODES, by: Sequence[str] = ()) -> DataFrame:
     """``*by, entry, node, path, techniques, probs, p``: simple paths of at least ``min_nodes`` nodes that end in a target.
 
@@ -54,10 +99,10 @@ def search(adjacency: DataFrame, entries: DataFrame, targets: DataFrame, beam: i
 def as_paths(found: DataFrame, inv: DataFrame, profile: str | Column) -> DataFrame:
     """Found paths in the shape of stored ones: path_id, profile, nodes, edges, path_probability.
 
-    The path's own nodes are joined with the inventory by id and put back in order; the id is the hash of the
-    node list, so it doesn't change between runs.
+    The path's own nodes are joined with the inventory by id and put back in order; the id is the hash of profile,
+    node list and techniques, so it doesn't change between runs.
     """
-    rows = found.withColumn("path_id", F.concat(F.lit("path-"), F.substring(F.sha2(F.concat_ws(">", F.lit(profile), F.array_join("path", ">")), 256), 1, 12)))
+    rows = found.withColumn("path_id", F.concat(F.lit("path-"), F.substring(F.sha2(F.concat_ws(">", F.lit(profile), F.array_join("path", ">"), F.array_join("techniques", "+")), 256), 1, 12)))
     steps = rows.select("path_id", F.posexplode("path").alias("pos", "asset_id"))
     info = inv.select(
         F.col("id").alias("asset_id"), F.col("name").alias("asset_name"), F.col("type").alias("asset_type"), F.col("zone").alias("asset_zone"),

@@ -29,6 +29,8 @@ data_exfiltration 1.3 database_server file_server backup_server
 """
 AFFINITY_ZONES = "lateral 1.3 restricted mgmt"
 THRESHOLD, K = 0.5, 20
+MAX_DEPTH = 8
+PHASES = {"exploit": "Initial Access", "lateral": "Lateral Movement", "credential_theft": "Credential Access", "privilege_escalation": "Privilege Escalation", "data_exfiltration": "Exfiltration"}
 
 
 def reach() -> list[tuple[str, str, int]]:
@@ -105,3 +107,34 @@ def realism(n: Column, criticality: Column, phases: Column, probability: Column,
     """Without a search there are no visits; their part counts as full."""
     depth = F.when(n >= 6, 1.6).when(n >= 4, 1.3).when(n >= 3, 0.4).otherwise(0.1)
     return F.least(probability * 0.25 + epss * 0.20 + phases / 5 * 0.20 + depth * 0.10 + 0.10 + criticality / 5 * 0.15, F.lit(1.0))
+
+
+def entries(inv: DataFrame, top: int = 10) -> DataFrame:
+    """``id, score``: the best entry points among exposed assets and those in the dmz; ties by id."""
+    exposed = inv.where(F.col("internet_facing") | (F.col("zone") == "dmz"))
+    return entry_score(exposed).orderBy(F.desc("score"), "id").limit(top)
+
+
+def search(adjacency: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
+    """Paths of the scenario model under each profile: the beam of ``path_search`` with its own depth."""
+    from .path_search import search as beam
+    from .targets import each_profile
+
+    return beam(adjacency, each_profile(starts.select("id")), targets, max_depth=MAX_DEPTH, by=["profile"])
+
+
+def judged(paths: DataFrame) -> DataFrame:
+    """Searched paths (``path_search.as_paths``, scored) with the scenario's scores: phases, realism, detection, effort, impact, reward."""
+    n, techs = F.size("nodes"), F.transform("edges", lambda e: e["technique"])
+    last = F.try_element_at("nodes", F.lit(-1))["criticality"]
+    phases = F.array_distinct(F.transform(techs, lambda t: fixed.switch(t, PHASES, "Exfiltration")))
+    logs = F.aggregate(F.transform("nodes", lambda x: F.log(F.greatest(F.coalesce(x["epss"], F.lit(0.0)), F.lit(0.01)))), F.lit(0.0), lambda a, x: a + x)
+    count = lambda t: F.size(F.filter("edges", lambda e: e["technique"] == t))
+    kinds = F.size(F.array_compact(F.array_distinct(F.transform("nodes", lambda x: x["misconfig_category"]))))
+    weakest = F.array_min(F.transform("edges", lambda e: e["probability"]))
+    return paths.withColumns(
+        {
+            "kill_chain": phases, "realism": F.round(realism(n, last, F.size(phases), F.col("path_probability"), F.exp(logs / F.greatest(n, F.lit(1)))), 6),
+            "detection": F.least(n * 0.08 + count("exploit") * 0.05, F.lit(0.85)), "effort": n * 0.5 + count("privilege_escalation") * 1.5, "impact": last * 20, "reward": F.round(reward(n, last, kinds, weakest), 6),
+        }
+    )

@@ -124,3 +124,9 @@ def statistics(validated: DataFrame) -> DataFrame:
         F.count_if(c < 0.5).alias("low_confidence"), F.count_if(~F.col("validated")).alias("suppressed"),
     )
     return s.withColumn("fp_rate", F.coalesce(F.round(F.try_divide("low_confidence", F.col("total")), 6), F.lit(0.0)))
+
+
+def kept_and_suppressed(validated: DataFrame, least: float = 0.5) -> DataFrame:
+    """Adds ``kept`` and ``reason``: why a detection is suppressed, null where it is kept."""
+    low = F.col("confidence") < least
+    return validated.withColumns({"kept": ~low, "reason": F.when(low, F.format_string("confidence %.2f is below %.2f (risk of a false positive: %s)", F.col("confidence"), F.lit(least), F.col("risk")))})

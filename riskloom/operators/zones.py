@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,31 +26,56 @@ def _first(rules: list[tuple[Column, str, float]]) -> Column:
     return out
 
 
-def by_cidr(ip: Column) -> Column:
+@dataclass
+class ZoneRules:
+    """Ordered rules of each kind, (pattern, zone, confidence), and VLAN numbers by zone; all can be extended."""
+
+    cidr: list[tuple[str, str, float]] = field(default_factory=lambda: [r[1:] for r in fixed.zone_rules("cidr")])
+    hostname: list[tuple[str, str, float]] = field(default_factory=lambda: [r[1:] for r in fixed.zone_rules("hostname")])
+    service: list[tuple[str, str, float]] = field(default_factory=lambda: [r[1:] for r in fixed.zone_rules("service")])
+    cloud: list[tuple[str, str, float]] = field(default_factory=lambda: [r[1:] for r in fixed.zone_rules("cloud")])
+    vlans: list[tuple[str, list[int]]] = field(default_factory=lambda: [(z, list(map(int, ids))) for z, ids in fixed.groups(fixed.VLANS)])
+
+    def add(self, kind: str, pattern: str, zone: str, confidence: float, first: bool = False) -> None:
+        """A rule of kind 'cidr', 'hostname', 'service' or 'cloud', behind the others or before them."""
+        rules = getattr(self, kind)
+        rules.insert(0 if first else len(rules), (pattern, zone, confidence))
+
+    def add_zone(self, zone: str, blocks: tuple[str, ...] = (), vlans: tuple[int, ...] = (), confidence: float = 0.9) -> None:
+        """A zone with its address blocks and VLANs."""
+        self.cidr += [(b, zone, confidence) for b in blocks]
+        if vlans:
+            self.vlans.append((zone, list(vlans)))
+
+
+DEFAULT = ZoneRules()
+
+
+def by_cidr(ip: Column, rules: ZoneRules = DEFAULT) -> Column:
     """Range test against the ordered blocks: the list is short and fixed, so it is code, not a join."""
     n = ip_number(ip)
-    return _first([(n.between(*fixed.cidr_range(p)), z, c) for _, p, z, c in fixed.zone_rules("cidr")])
+    return _first([(n.between(*fixed.cidr_range(p)), z, c) for p, z, c in rules.cidr])
 
 
-def by_vlan(vlan: Column) -> Column:
-    return _first([(vlan.isin(*map(int, ids)), z, fixed.VLAN_CONFIDENCE) for z, ids in fixed.groups(fixed.VLANS)])
+def by_vlan(vlan: Column, rules: ZoneRules = DEFAULT) -> Column:
+    return _first([(vlan.isin(*ids), z, fixed.VLAN_CONFIDENCE) for z, ids in rules.vlans])
 
 
-def by_hostname(name: Column) -> Column:
-    return _first([(name.rlike(f"(?i){p}"), z, c) for _, p, z, c in fixed.zone_rules("hostname")])
+def by_hostname(name: Column, rules: ZoneRules = DEFAULT) -> Column:
+    return _first([(name.rlike(f"(?i){p}"), z, c) for p, z, c in rules.hostname])
 
 
-def by_cloud(provider: Column) -> Column:
-    return _first([(F.contains(F.lower(provider), F.lit(p)), z, c) for _, p, z, c in fixed.zone_rules("cloud")])
+def by_cloud(provider: Column, rules: ZoneRules = DEFAULT) -> Column:
+    return _first([(F.contains(F.lower(provider), F.lit(p)), z, c) for p, z, c in rules.cloud])
 
 
-def by_services(services: Column) -> Column:
+def by_services(services: Column, rules: ZoneRules = DEFAULT) -> Column:
     """The zone most matches speak for: matches x summed confidence, its mean confidence; row-local."""
-    zones = list(dict.fromkeys(z for _, _, z, _ in fixed.zone_rules("service")))
+    zones = list(dict.fromkeys(z for _, z, _ in rules.service))
     votes = []
     for at, zone in enumerate(zones):
         n, total = F.lit(0), F.lit(0.0)
-        for _, p, z, c in fixed.zone_rules("service"):
+        for p, z, c in rules.service:
             if z == zone:
                 k = F.size(F.filter(services, _holds(p)))
                 n, total = n + k, total + k * c
@@ -61,7 +88,7 @@ def _holds(pattern: str):
     return lambda s: F.contains(F.lower(s), F.lit(pattern))
 
 
-def detect(hosts: DataFrame, key: str, ip: str, hostname: str, services: str, vlan: str | None = None, provider: str | None = None) -> DataFrame:
+def detect(hosts: DataFrame, key: str, ip: str, hostname: str, services: str, vlan: str | None = None, provider: str | None = None, rules: ZoneRules = DEFAULT) -> DataFrame:
     """``key, zone, confidence, evidences``: all evidence combined.
 
     Each kind of evidence names a zone with a confidence; the zone with the largest sum wins (the earlier kind on
@@ -70,7 +97,7 @@ def detect(hosts: DataFrame, key: str, ip: str, hostname: str, services: str, vl
     """
     none = F.lit(None).cast("struct<zone:string,confidence:double>")
     found = F.array_compact(F.array(
-        by_cidr(F.col(ip)), by_vlan(F.col(vlan)) if vlan else none, by_hostname(F.col(hostname)), by_services(F.col(services)), by_cloud(F.col(provider)) if provider else none
+        by_cidr(F.col(ip), rules), by_vlan(F.col(vlan), rules) if vlan else none, by_hostname(F.col(hostname), rules), by_services(F.col(services), rules), by_cloud(F.col(provider), rules) if provider else none
     ))
     sums = F.transform("__e", lambda e, i: F.struct(
         F.round(F.aggregate(F.filter("__e", lambda x: x["zone"] == e["zone"]), F.lit(0.0), lambda a, x: a + x["confidence"]), 9).alias("total"), (-i).alias("turn"), e["zone"].alias("zone")

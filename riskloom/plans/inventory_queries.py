@@ -169,11 +169,28 @@ def transition_list(spark, sf_dir):
     return edges.all_transitions(inv(spark, sf_dir, *SCORED)).withColumn("posterior", F.round("posterior", 6))
 
 
+@query(GRAPH + "SELECT (SELECT count(*) FROM prior) AS candidates, (SELECT count(*) FROM base) AS passed, (SELECT count(*) FROM prior) - (SELECT count(*) FROM base) AS pruned")
+def pruned_candidates(spark, sf_dir):
+    return edges.pruned(inv(spark, sf_dir, *SCORED))
+
+
+@query(GRAPH + """SELECT profile, src, tgt, technique, round(greatest(0, posterior - 0.1::DOUBLE), 6) AS ci_low, round(least(1, posterior + 0.1::DOUBLE), 6) AS ci_high,
+  CASE technique WHEN 'exploit' THEN 'Initial Access' WHEN 'lateral' THEN 'Lateral Movement' WHEN 'credential_theft' THEN 'Credential Theft' WHEN 'privilege_escalation' THEN 'Privilege Escalation' ELSE 'Data Exfiltration' END AS label,
+  'vulnerability_scanner' AS evidence_sources FROM adj""")
+def edge_details(spark, sf_dir):
+    """The kept transitions as they are reported: interval, display name, evidence."""
+    a, p = edges.adjacency(inv(spark, sf_dir, *SCORED)), F.col("posterior")
+    names = fixed.switch(F.col("technique"), {t: label for t, _, label in fixed.techniques()}, "unknown")
+    lo, hi = F.round(F.greatest(F.lit(0.0), p - 0.1), 6), F.round(F.least(F.lit(1.0), p + 0.1), 6)
+    return a.select("profile", "src", "tgt", "technique", lo.alias("ci_low"), hi.alias("ci_high"), names.alias("label"), F.lit("vulnerability_scanner").alias("evidence_sources"))
+
+
 @query(GRAPH + """SELECT profile, technique, count(*) AS n, round(avg(posterior), 6) AS avg_posterior, round(avg(least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE)), 6) AS ci_width,
-count(*) FILTER (least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE) < 0.3) AS high_confidence FROM adj GROUP BY ALL""")
+count(*) FILTER (least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE) < 0.3) AS high_confidence,
+count(*) FILTER (least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE) > 0.5) AS low_confidence FROM adj GROUP BY ALL""")
 def edge_confidence(spark, sf_dir):
     lo, hi = F.greatest(F.lit(0.0), F.col("posterior") - 0.1), F.least(F.lit(1.0), F.col("posterior") + 0.1)
     a = edges.adjacency(inv(spark, sf_dir, *SCORED))
     return a.groupBy("profile", "technique").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("posterior"), 6).alias("avg_posterior"), F.round(F.avg(hi - lo), 6).alias("ci_width"), F.count_if(hi - lo < 0.3).alias("high_confidence")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("posterior"), 6).alias("avg_posterior"), F.round(F.avg(hi - lo), 6).alias("ci_width"), F.count_if(hi - lo < 0.3).alias("high_confidence"), F.count_if(hi - lo > 0.5).alias("low_confidence")
     )

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
-from ..operators import embedding as em, jobs, validation as va, zones
+from ..operators import edges, embedding as em, jobs, validation as va, zones
 from ..operators.delivery import latest_delivery
 from ..operators.ordering import chunked
 from ..session import materialise, table
 from ..streaming import scan_events as st
 from . import sql
-from .inventory_queries import inv
+from .inventory_queries import SCORED, inv
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -90,6 +90,34 @@ def prefix_zones(spark, sf_dir):
     return inv(spark, sf_dir, "ip").groupBy(zones.by_prefix(F.col("ip")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_ADDRESS = {1: "10.0.0.9", 2: "10.1.2.3", 3: "10.100.7.1", 4: "192.168.0.4", 5: "10.255.0.1"}
+_VLAN = {"pii": 20, "credentials": 501, "financial": 101, "user_files": 900}
+_PROVIDER = {"cloud-prod": "AWS eu", "cloud-dev": "Azure"}
+_RULE = """, h AS (SELECT id, {ip} AS n, {vlan} AS vlan, {cloud} AS cloud FROM inv),
+e AS (SELECT id, 0 AS k, {cidr_zone} AS zone, {cidr_c} AS c FROM h
+  UNION ALL SELECT id, 1, CASE {vlans} END, 0.85::DOUBLE FROM h UNION ALL SELECT id, 4, {cloud_zone}, {cloud_c} FROM h),
+t AS (SELECT id, zone, round(sum(c), 9) AS total, min(k) AS k FROM e WHERE zone IS NOT NULL GROUP BY id, zone),
+n AS (SELECT id, count(*) AS evidences FROM e WHERE zone IS NOT NULL GROUP BY id),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY total DESC, k) AS rn FROM t) WHERE rn = 1)
+SELECT i.id, coalesce(b.zone, 'unknown') AS zone, round(CASE WHEN evidences > 0 THEN least(1, b.total / evidences) ELSE 0 END, 6) AS confidence, coalesce(evidences, 0) AS evidences FROM inv i LEFT JOIN b ON b.id = i.id LEFT JOIN n ON n.id = i.id"""
+_hit = lambda p: f"contains(lower(cloud), '{p}')"
+
+
+@query(W + _RULE.format(
+    ip=fixed.sql_case("criticality", {k: fixed.cidr_range(a + "/32")[0] for k, a in _ADDRESS.items()}, 0), vlan=fixed.sql_case("sensitivity", _VLAN, 0), cloud=fixed.sql_case("zone", _PROVIDER, ""),
+    cidr_zone=_case("cidr", _between, 0), cidr_c=_case("cidr", _between, 1), cloud_zone=_case("cloud", _hit, 0), cloud_c=_case("cloud", _hit, 1),
+    vlans=" ".join(f"WHEN vlan IN ({', '.join(ids)}) THEN '{z}'" for z, ids in fixed.groups(fixed.VLANS)),
+))
+def rule_zones(spark, sf_dir):
+    """Zone detection where every kind of rule hits: addresses, VLANs and providers made from an asset's other columns."""
+    i = inv(spark, sf_dir, "criticality", "sensitivity", "zone")
+    hosts = i.select(
+        "id", fixed.switch(F.col("criticality"), _ADDRESS, "0.0.0.0").alias("ip"), F.lit(None).cast("string").alias("host"), F.array().cast("array<string>").alias("services"),
+        fixed.switch(F.col("sensitivity"), _VLAN, 0).alias("vlan"), fixed.switch(F.col("zone"), _PROVIDER, "").alias("cloud"),
+    )
+    return zones.detect(hosts, "id", "ip", "host", "services", "vlan", "cloud").withColumn("confidence", F.round("confidence", 6))
+
+
 # --- validation -----------------------------------------------------------------------------------------------
 
 # findings as detections: every fourth finding of a category stands for one of the validation rules
@@ -132,6 +160,11 @@ def validation_statistics(spark, sf_dir):
     return va.statistics(va.validate(_detections(spark, sf_dir)))
 
 
+@query(_DET + "SELECT asset_id, finding_id, confidence >= 0.5 AS kept, CASE WHEN confidence < 0.5 THEN format('confidence {:.2f} is below 0.50 (risk of a false positive: {})', confidence, CASE WHEN confidence < 0.3 THEN 'high' WHEN confidence < 0.6 THEN 'medium' ELSE 'low' END) END AS reason FROM v")
+def suppressed_detections(spark, sf_dir):
+    return va.kept_and_suppressed(va.validate(_detections(spark, sf_dir))).select("asset_id", "finding_id", "kept", "reason")
+
+
 # --- jobs -----------------------------------------------------------------------------------------------------
 
 
@@ -419,6 +452,21 @@ def feature_vectors(spark, sf_dir):
     return em.features(inv(spark, sf_dir)).select("id", F.array_join(F.transform("f", lambda x: F.format_string("%.4f", x)), ",").alias("f"))
 
 
+_SIMILAR = sql.with_(sql.INV, sql.FND, f"vec AS (SELECT id, {_vec} AS v FROM inv)", *sql.GRAPH[2:]).replace(
+    "AS common\n  FROM inv a", """* (1 + 0.3::DOUBLE * round(greatest(list_dot_product(va.v, vb.v) / 64 / (sqrt(list_dot_product(va.v, va.v)) * sqrt(list_dot_product(vb.v, vb.v)) / 64 + 1e-8), 0), 9)) AS common
+  FROM inv a JOIN vec va ON va.id = a.id"""
+).replace("JOIN inv b ON b.zone = r.rt WHERE a.id <> b.id)", "JOIN inv b ON b.zone = r.rt JOIN vec vb ON vb.id = b.id WHERE a.id <> b.id)")
+
+
+@query(_SIMILAR + "SELECT profile, src, tgt, technique, CAST(round(posterior * 1e9) AS BIGINT) AS posterior_e9, k FROM adj")
+def similar_edge_topk(spark, sf_dir):
+    """The strongest transitions with the assets' similarity in the prior (their first embeddings)."""
+    i = materialise(inv(spark, sf_dir, *SCORED, "sensitivity"), "inventory")
+    vectors = em.initial(em.features(i)).select("id", F.col("e").alias("v"))
+    e = edges.similar_adjacency(i, vectors)
+    return e.select("profile", "src", "tgt", "technique", F.rint(F.col("posterior") * 1e9).cast("bigint").alias("posterior_e9"), "k")
+
+
 @query(sql.with_(sql.INV, sql.REACH) + ", rep AS (SELECT zone, min(id) AS id FROM inv GROUP BY zone) SELECT a.id AS source, b.id AS target FROM rep a JOIN reach ON rs = a.zone JOIN rep b ON b.zone = rt WHERE rs <> rt")
 def topology_edges(spark, sf_dir):
     return em.topology(inv(spark, sf_dir, "zone"))

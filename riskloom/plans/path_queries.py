@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import edges, path_scores as ps, path_search, scenario, targets
-from ..operators.inventory import findings_of, top_finding
+from ..operators.inventory import top_finding
+from ..operators.ordering import numbered
 from ..session import materialise, table
 from . import sql
 from .inventory_queries import GRAPH, SCORED, inv
@@ -48,9 +49,9 @@ ENTRY = """entry AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PART
     WHERE f.severity IN ('critical', 'high') AND (internet_facing OR zone IN ('dmz', 'mgmt') OR (criticality >= 4 AND zone IN ('corp', 'staging')))))) WHERE rn <= 10)"""
 
 
-def _beam() -> str:
+def _beam(depth: int = path_search.MAX_DEPTH) -> str:
     out = ["lv0 AS MATERIALIZED (SELECT DISTINCT profile, id AS entry, id AS node, [id] AS path, []::VARCHAR[] AS techniques, []::DOUBLE[] AS probs, 1.0::DOUBLE AS p, id IN (SELECT id FROM tgt) AS hit FROM entry)"]
-    for d in range(1, path_search.MAX_DEPTH + 1):
+    for d in range(1, depth + 1):
         out.append(
             f"""lv{d} AS MATERIALIZED (SELECT profile, entry, tgt AS node, path, techniques, probs, p, tgt IN (SELECT id FROM tgt) AS hit FROM (
   SELECT *, row_number() OVER (PARTITION BY profile, entry, tgt ORDER BY p DESC, array_to_string(path, '>'), array_to_string(techniques, '+')) AS rn FROM (
@@ -58,7 +59,7 @@ def _beam() -> str:
     FROM lv{d - 1} l JOIN graph a ON a.src = l.node AND a.profile = l.profile WHERE NOT hit AND NOT list_contains(l.path, a.tgt)
       AND a.tgt IN (SELECT asset_id FROM fnd))) WHERE rn <= {path_search.BEAM})"""
         )
-    hits = " UNION ALL ".join(f"SELECT profile, entry, node, path, techniques, probs, p FROM lv{d} WHERE hit" for d in range(path_search.MIN_NODES - 1, path_search.MAX_DEPTH + 1))
+    hits = " UNION ALL ".join(f"SELECT profile, entry, node, path, techniques, probs, p FROM lv{d} WHERE hit" for d in range(path_search.MIN_NODES - 1, depth + 1))
     return ",\n".join(out) + f",\nfound AS ({hits})"
 
 
@@ -113,7 +114,7 @@ ep AS (SELECT asset_id, max(coalesce(epss, CASE WHEN severity = 'critical' AND e
 steps AS (SELECT profile, path, techniques, probs, p, generate_subscripts(path, 1) AS pos, unnest(path) AS id FROM found),
 whole AS (SELECT profile, path, techniques, probs, p, list(i.type ORDER BY pos) AS types, list(i.zone ORDER BY pos) AS zones, list(i.sources ORDER BY pos) AS srcs, exp(avg(ln(greatest(coalesce(e, 0.05), 0.01)))) AS gm
   FROM steps s JOIN inv i ON i.id = s.id LEFT JOIN ep ON ep.asset_id = s.id GROUP BY ALL),
-judged AS (SELECT profile, array_to_string(path, '>') AS path, 'path-' || substr(sha256(profile || '>' || array_to_string(path, '>')), 1, 12) AS path_id,
+judged AS (SELECT profile, array_to_string(path, '>') AS path, 'path-' || substr(sha256(profile || '>' || array_to_string(path, '>') || '>' || array_to_string(techniques, '+')), 1, 12) AS path_id,
   types[1] || ':' || zones[1] || '|' || array_to_string(list_sort(list_distinct(techniques)), '+') || '|' || types[len(types)] || ':' || zones[len(zones)] || '|' || array_to_string({_SEQ}, '→') AS signature,
   round(list_product(probs) * 0.25 + gm * 0.2 + least(srcs[len(srcs)] / 3::DOUBLE, 1) * 0.2 + (1 - list_avg(list_transform(probs, lambda x: least(1, x + 0.1) - greatest(0, x - 0.1)))) * 0.15
     + greatest(0, 1 - abs(len(path) - 5) * 0.05) * 0.1 + 0.1, 6) AS realism FROM whole),
@@ -276,15 +277,34 @@ def pattern_merge(spark, sf_dir):
     return ps.best_per_pattern(p, "final_risk_score", 5).select(F.col("rank").cast("bigint").alias("rank"), "path_id", "pattern_signature", F.col("final_risk_score").alias("score"))
 
 
-@query(P + """SELECT path_id, profile, len(nodes) AS hops, nodes[1].asset_name AS entry, nodes[2].asset_name AS hop2, nodes[3].asset_name AS hop3, nodes[4].asset_name AS hop4,
-  nodes[len(nodes)].asset_name AS target, array_to_string(list_transform(edges, lambda e: e.technique), ' > ') AS techniques FROM p""")
+_pct = lambda c: f"CAST(floor({c} * 100 + 0.5) AS BIGINT)"
+_hop = lambda i: f"nodes[{i}].asset_name AS hop_{i}_asset, nodes[{i}].asset_zone AS hop_{i}_zone, replace(edges[{i - 1}].technique, '_', ' ') AS hop_{i}_technique"
+
+
+@query(P.replace("WITH p", "WITH " + sql.INV + ",\n" + sql.FND + ",\np") + f""", worst AS (SELECT asset_id, max(coalesce(epss, 0)) AS m FROM fnd GROUP BY asset_id)
+SELECT path_id, row_number() OVER (ORDER BY realism_score DESC NULLS LAST, path_id) AS rank, profile, pattern_label, nodes[1].asset_name AS entry_asset, nodes[1].asset_zone AS entry_zone, nodes[1].misconfig_title AS entry_misconfig,
+  {_hop(2)}, {_hop(3)}, {_hop(4)}, nodes[len(nodes)].asset_name AS target_asset, nodes[len(nodes)].asset_zone AS target_zone, replace(nodes[len(nodes)].asset_type, '_', ' ') AS target_type, nodes[len(nodes)].criticality AS target_criticality,
+  len(nodes) AS total_hops, array_to_string(kill_chain, ' → ') AS kill_chain_phases, {_pct('path_probability')} AS path_probability_pct, {_pct('realism_score')} AS realism_score_pct, {_pct('CASE WHEN isnan(detection_risk) THEN NULL ELSE detection_risk END')} AS detection_risk_pct,
+  round(least(len(nodes) * 0.5::DOUBLE + len(list_filter(edges, lambda e: e.technique = 'privilege_escalation')) * 1.5::DOUBLE + len(list_filter(edges, lambda e: e.technique = 'credential_theft'))
+    + (1 - coalesce(list_sum(list_transform(edges, lambda e: e.probability)), 0) / greatest(len(edges), 1)) * 3::DOUBLE, 10), 6) AS attacker_effort,
+  impact_score AS business_impact, nodes[len(nodes)].misconfig_title AS top_misconfig_on_target, round(worst.m, 6) AS target_epss_max
+FROM p LEFT JOIN worst ON worst.asset_id = nodes[len(nodes)].asset_id""")
 def flat_report(spark, sf_dir):
-    """The flat report: one line per path, hops at fixed positions."""
-    at = lambda i: F.try_element_at("nodes", F.lit(i))["asset_name"]
-    return paths(spark, sf_dir).select(
-        "path_id", "profile", F.size("nodes").alias("hops"), at(1).alias("entry"), at(2).alias("hop2"), at(3).alias("hop3"), at(4).alias("hop4"), at(-1).alias("target"),
-        F.array_join(F.transform("edges", lambda e: e["technique"]), " > ").alias("techniques"),
+    """The flat report: one line of 28 columns per path (and its id), hops at fixed positions."""
+    nodes = ("asset_id", "asset_name", "asset_zone", "asset_type", "criticality", "misconfig_title")
+    p = paths(spark, sf_dir, "profile", "pattern_label", "kill_chain", "path_probability", "realism_score", "detection_risk", "impact_score", "nodes", "edges", nodes=nodes, edges=("technique", "probability", "confidence_interval"))
+    at = lambda i, f: F.try_element_at("nodes", F.lit(i))[f]
+    words = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    pct = lambda c: F.floor(F.col(c) * 100 + 0.5)
+    hops = [x for i in (2, 3, 4) for x in (at(i, "asset_name").alias(f"hop_{i}_asset"), at(i, "asset_zone").alias(f"hop_{i}_zone"), words(F.get("edges", F.lit(i - 2))["technique"]).alias(f"hop_{i}_technique"))]
+    rows = ps.scored(p).select(
+        "path_id", "realism_score", "profile", "pattern_label", at(1, "asset_name").alias("entry_asset"), at(1, "asset_zone").alias("entry_zone"), at(1, "misconfig_title").alias("entry_misconfig"), *hops,
+        at(-1, "asset_name").alias("target_asset"), at(-1, "asset_zone").alias("target_zone"), words(at(-1, "asset_type")).alias("target_type"), at(-1, "criticality").alias("target_criticality"), F.size("nodes").alias("total_hops"),
+        F.array_join("kill_chain", " → ").alias("kill_chain_phases"), pct("path_probability").alias("path_probability_pct"), pct("realism_score").alias("realism_score_pct"), pct("detection_risk").alias("detection_risk_pct"),
+        F.round("effort", 6).alias("attacker_effort"), F.col("impact_score").alias("business_impact"), at(-1, "misconfig_title").alias("top_misconfig_on_target"), at(-1, "asset_id").alias("target_id"),
     )
+    worst = inv(spark, sf_dir, "findings").where(F.size("findings") > 0).select(F.col("id").alias("target_id"), F.round(F.array_max(F.transform("findings", lambda f: F.coalesce(f["epss"], F.lit(0.0)))), 6).alias("target_epss_max"))
+    return numbered(rows.join(worst, "target_id", "left"), [F.desc_nulls_last("realism_score"), "path_id"], "rank").drop("target_id", "realism_score")
 
 
 @query(P.replace("WITH p", "WITH " + sql.INV + ",\n" + sql.FND + ",\np") + """, e AS (SELECT asset_id, max(coalesce(epss, CASE WHEN severity = 'critical' AND exploit_available THEN 0.7 WHEN severity = 'critical' THEN 0.3 WHEN severity = 'high' THEN 0.15 ELSE 0.05 END)::DOUBLE) AS s FROM fnd GROUP BY asset_id)
@@ -336,19 +356,53 @@ _sc_aff = "(CASE " + " ".join(
 _cut = lambda p: f"round(least(greatest({p} * 0.3::DOUBLE + lk * 0.7::DOUBLE, 0.05::DOUBLE), 0.98::DOUBLE), 9)"
 
 
-@query(sql.with_(sql.INV, sql.FND, sql.TECH, sql.PROFILE, sql.CATTECH) + f""", lk AS (
+_SCENARIO = sql.with_(sql.INV, sql.FND, sql.TECH, sql.PROFILE, sql.CATTECH).rstrip() + f""", lk AS (
   SELECT i.id, t.ti, CASE WHEN count(f.finding_id) = 0 THEN 0.3::DOUBLE ELSE least(count(f.finding_id) * 0.15::DOUBLE + count(*) FILTER (f.severity = 'critical' AND f.exploit_available) * 0.25::DOUBLE + count(*) FILTER (f.severity = 'high') * 0.1::DOUBLE, 0.95::DOUBLE) END AS lk
   FROM inv i CROSS JOIN tech t LEFT JOIN (SELECT fnd.*, c.technique FROM fnd JOIN cattech c ON c.category = fnd.category) f ON f.asset_id = i.id AND f.technique = t.technique GROUP BY i.id, t.ti),
 x AS (SELECT asset_id, count(*) FILTER (severity = 'critical' AND exploit_available) AS n FROM fnd GROUP BY asset_id),
 c AS (SELECT a.id AS src, b.id AS tgt, t.ti, technique, lk.lk, least(t.base * (1 + b.criticality * 0.08::DOUBLE) * (1 + coalesce(x.n, 0) * 0.15::DOUBLE) * {_sc_aff}
     * (pow(0.6::DOUBLE, r.dist) * (CASE WHEN a.internet_facing THEN 1.4::DOUBLE ELSE 1::DOUBLE END) * (CASE WHEN a.domain_joined AND b.domain_joined THEN 1.2::DOUBLE ELSE 1::DOUBLE END)), 0.95::DOUBLE) AS prior
   FROM inv a JOIN (SELECT * FROM {fixed.values(scenario.reach(), 'v', 'rs, rt, dist')} UNION ALL SELECT DISTINCT zone, zone, 0 FROM inv WHERE zone NOT IN ({_in(scenario.ORDER)})) r ON a.zone = r.rs JOIN inv b ON b.zone = r.rt AND b.id <> a.id CROSS JOIN tech t JOIN lk ON lk.id = b.id AND lk.ti = t.ti LEFT JOIN x ON x.asset_id = b.id),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {_cut('prior')} DESC, tgt, ti) AS rn FROM c WHERE {_cut('prior')} >= 0.5) WHERE rn <= 20)
-SELECT * FROM (SELECT profile, src, tgt, technique, round({_cut('least(prior * mult, 0.95::DOUBLE)')}, 6) AS posterior FROM k JOIN prof USING (technique)) WHERE posterior >= 0.5""")
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY {_cut('prior')} DESC, tgt, ti) AS rn FROM c WHERE {_cut('prior')} >= 0.5) WHERE rn <= 20)"""
+
+
+@query(_SCENARIO + f"""SELECT * FROM (SELECT profile, src, tgt, technique, round({_cut('least(prior * mult, 0.95::DOUBLE)')}, 6) AS posterior FROM k JOIN prof USING (technique)) WHERE posterior >= 0.5""")
 def scenario_transitions(spark, sf_dir):
     return scenario.transitions(inv(spark, sf_dir, *SCORED)).withColumn("posterior", F.round("posterior", 6))
 
 
+_SCENARIO_SEARCH = _SCENARIO + f""",
+{TGT}, graph AS MATERIALIZED (SELECT * FROM (SELECT profile, src, tgt, technique, {_cut('least(prior * mult, 0.95::DOUBLE)')} AS posterior FROM k JOIN prof USING (technique)) WHERE posterior >= 0.5),
+es AS (SELECT i.id, round(max(coalesce(f.epss, 0)) * 10 + (CASE WHEN internet_facing THEN 3 ELSE 0 END) + (CASE WHEN zone = 'dmz' THEN 2 ELSE 1 END), 6) AS score FROM inv i JOIN fnd f ON f.asset_id = i.id WHERE internet_facing OR zone = 'dmz' GROUP BY i.id, internet_facing, zone),
+entry AS (SELECT profile, id FROM (SELECT id FROM es ORDER BY score DESC, id LIMIT 10), (SELECT DISTINCT profile FROM prof)),
+{_beam(scenario.MAX_DEPTH)}"""
+
+
+def _scenario(spark, sf_dir):
+    i = materialise(top_finding(inv(spark, sf_dir, *SCORED, "name", "sensitivity", "sources")), "inventory")
+    adj = scenario.transitions(i).join(i.where("top IS NOT NULL").select(F.col("id").alias("tgt")), "tgt", "left_semi")
+    return i, scenario.search(adj, materialise(scenario.entries(i), "entries"), i.where(targets.is_target()).select("id"))
+
+
+@query(_SCENARIO_SEARCH + "\nSELECT profile, array_to_string(path, '>') AS path, array_to_string(techniques, '+') AS techniques, round(p, 4) AS p FROM found")
+def scenario_paths(spark, sf_dir):
+    """The scenario model's paths under all profiles."""
+    found = _scenario(spark, sf_dir)[1]
+    return found.select("profile", F.array_join("path", ">").alias("path"), F.array_join("techniques", "+").alias("techniques"), F.round("p", 4).alias("p"))
+
+
+def scenario_report(spark, sf_dir):
+    """The ten best patterns of the scenario model, each by its best path over all profiles, with the scenario's scores."""
+    i, found = _scenario(spark, sf_dir)
+    paths = scenario.judged(ps.scored(path_search.as_paths(found, i, F.col("profile"))))
+    first = F.array_position(F.array(*[F.lit(p) for p in PROFILES]), F.col("profile"))
+    best = ps.best_per_pattern(paths, "realism", 10, (first, "path_id"))
+    return best.select("rank", "path_id", "profile", "label", F.array_join("kill_chain", " → ").alias("kill_chain"), "realism", F.round("detection", 6).alias("detection"), "effort", "impact", "reward")
+
+
+QUERIES["scenario_report"] = scenario_report
+
+
 @query(sql.with_(*sql.BASE) + "SELECT i.id, round(max(coalesce(f.epss, 0)) * 10 + (CASE WHEN internet_facing THEN 3 ELSE 0 END) + (CASE WHEN zone = 'dmz' THEN 2 ELSE 1 END), 6) AS score FROM inv i JOIN fnd f ON f.asset_id = i.id GROUP BY i.id, internet_facing, zone")
 def scenario_entry_scores(spark, sf_dir):
     return scenario.entry_score(inv(spark, sf_dir, "findings", "internet_facing", "zone"))

@@ -72,11 +72,54 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def notifications(events: DataFrame, channels: str = "channels") -> DataFrame:
-    """One row per event and channel; events without channels notify nobody."""
-    return events.withColumn("channel", F.explode(channels)).drop(channels)
+def notifications(events: DataFrame, channels: str = "channels", only: tuple[str, ...] = ()) -> DataFrame:
+    """One row per event and channel (of ``only``, if named); events without channels notify nobody."""
+    rows = events.withColumn("channel", F.explode(channels)).drop(channels)
+    return rows.where(F.col("channel").isin(*only)) if only else rows
+
+
+def stars(c: Column, most: int = 5) -> Column:
+    """Full and empty stars for a share between 0 and 1."""
+    n = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * most).cast("int")
+    return F.concat(F.repeat(F.lit("★"), n), F.repeat(F.lit("☆"), F.lit(most) - n))
+
+
+def report_lines(df: DataFrame, label: str, share: str, width: int = 30) -> DataFrame:
+    """``line``: a console report, one line a row: padded label, bar, percent."""
+    text = F.concat(F.rpad(F.left(label, F.lit(width)), width, " "), F.lit(" "), bar(F.col(share)), F.lit(" "), F.lpad(F.format_string("%.1f%%", F.col(share) * 100), 6, " "))
+    return df.select(text.alias("line"))
 
 
 def bar(c: Column, width: int = 20) -> Column:
     """A console bar for a share between 0 and 1."""
     return F.rpad(F.repeat(F.lit("█"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * width).cast("int")), width, "░")
+
+
+def without_fences(c: Column) -> Column:
+    """A text without the code fences a language model may put around its answer."""
+    return F.trim(F.regexp_replace(c, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+
+
+def first_json(c: Column, schema: str, kind: str = "object") -> Column:
+    """The first JSON object (or 'array') in a text, read by a schema; null where there is none or it doesn't fit.
+
+    From the first opening bracket to the last closing one, fences apart.
+    """
+    block = F.regexp_extract(without_fences(c), r"(?s)\{.*\}" if kind == "object" else r"(?s)\[.*\]", 0)
+    return F.from_json(F.nullif(block, F.lit("")), schema, {"mode": "PERMISSIVE"})
+
+
+def _absent(m: Column):
+    return lambda k, _: ~F.map_contains_key(m, k)
+
+
+def merged(*maps: Column) -> Column:
+    """Several maps as one; of equal keys the last map's value counts, null maps are empty."""
+    out = None
+    for m in maps:
+        m = F.coalesce(m, F.create_map().cast("map<string,string>"))
+        if out is None:
+            out = m
+        else:
+            out = F.map_concat(F.map_filter(out, _absent(m)), m)
+    return out

@@ -227,6 +227,16 @@ def test_zone_values(spark):
     assert [r.n for r in spark.createDataFrame([("1.2.3.4",), ("1.2.3",), ("1.2.3.256",), ("x",), (None,)], "ip string").select(zones.ip_number(F.col("ip")).alias("n")).collect()] == [16909060, None, None, None, None]
 
 
+def test_zone_rules_can_be_extended(spark):
+    rules = zones.ZoneRules()
+    rules.add("hostname", "^lab", "lab", 0.9)
+    rules.add("cidr", "0.0.0.0/0", "outside", 0.2)
+    rules.add_zone("plant", ("10.77.0.0/16",), (777,))
+    df = spark.createDataFrame([("a", "8.8.8.8", "lab-1", 777)], "id string, ip string, host string, vlan int").withColumn("services", F.array().cast("array<string>"))
+    assert zones.detect(df, "id", "ip", "host", "services", "vlan", rules=rules).first().zone == "lab"
+    assert zones.detect(df, "id", "ip", "host", "services", "vlan").first().zone == "unknown"
+
+
 @pytest.mark.parametrize(
     "misconfig,detected,raw,want",
     [

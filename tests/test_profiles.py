@@ -35,3 +35,19 @@ def test_report_is_the_best_of_all_profiles(spark, sf):
     want = [(k[2], p, f"[{pq.TAGS[p]}] {label}") for k, p, label in sorted(best.values())[:5]]
     got = [(r.path_id, d["profile"], d["label"]) for r in pq.QUERIES["exposure_report"](spark, sf).orderBy("rank").collect() for d in [json.loads(r.document)]]
     assert got == want and any(p != "apt" for _, p, _ in got)
+
+
+def test_analysis_with_models(spark, sf):
+    """Options and pluggable models; the default analysis is what the queries give."""
+    from riskloom.operators.inventory import top_finding
+    from riskloom.plans.inventory_queries import inv
+    from riskloom.session import materialise
+
+    i = materialise(top_finding(inv(spark, sf)), "inventory")
+    base = path_search.analyse(i).cache()
+    searched = pq.QUERIES["exposure_paths"](spark, sf)
+    assert base.count() == searched.count() > 0 and base.where("narrative IS NULL").count() == 0
+    goal = base.select(F.element_at("nodes", -1)["asset_id"].alias("id")).orderBy("id").limit(1)
+    own = path_search.Options(profiles=("apt",), target_model=lambda inv_: inv_.join(goal, "id", "left_semi").select("id"), narrator=lambda p: p.select("path_id", F.lit("told").alias("narrative")))
+    rows = path_search.analyse(i, own).collect()
+    assert {r.profile for r in rows} <= {"apt"} and all(r.nodes[-1].asset_id == goal.first().id and r.narrative == "told" for r in rows)

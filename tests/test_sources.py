@@ -40,3 +40,17 @@ def test_small_functions(spark):
     assert {(x.id, x.channel) for x in src.notifications(r).collect()} == {("e", "a"), ("e", "b")}
     x = spark.range(1).select(src.bar(F.lit(0.25), 8).alias("b"), src.content_key(F.lit("a"), F.lit("b")).alias("k")).first()
     assert x.b == "██░░░░░░" and len(x.k) == 64
+
+
+def test_texts_with_json(spark):
+    rows = [('Sure:\n```json\n{"a": 1}\n```',), ("no block",), ('x [{"a": 2}, {"a": 3}] y',), ("{broken",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    one = df.select(src.first_json(F.col("t"), "a int").alias("o"), src.first_json(F.col("t"), "array<struct<a:int>>", "array").alias("l")).collect()
+    assert one[0].o.a == 1 and one[1].o is None and [x.a for x in one[2].l] == [2, 3] and one[3].o is None and one[4].o is None
+    m = spark.range(1).select(src.merged(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.lit(None).cast("map<string,string>"), F.create_map(F.lit("b"), F.lit("2"))).alias("m")).first().m
+    assert m == {"a": "1", "b": "2"}
+    line = spark.createDataFrame([("label", 0.5)], "l string, s double").transform(lambda d: src.report_lines(d, "l", "s", 8)).first().line
+    assert line == "label    " + "█" * 10 + "░" * 10 + "  50.0%"
+    assert spark.range(1).select(src.stars(F.lit(0.6)).alias("s")).first().s == "★★★☆☆"
+    e = spark.createDataFrame([("e", ["a", "b"])], "id string, channels array<string>")
+    assert [r.channel for r in src.notifications(e, only=("b",)).collect()] == ["b"]
