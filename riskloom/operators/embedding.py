@@ -80,14 +80,23 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-8)
 
 
-def nearest_of(queries: DataFrame, rows: DataFrame, key: str, vec: str, k: int) -> DataFrame:
+BLOCK = 4_096  # queries sent to the tasks at once
+
+
+def nearest_of(queries: DataFrame, rows: DataFrame, key: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
     """``query, key, sim, rank``: the ``k`` most similar rows of each query; ties by key.
 
-    A stated query set against all rows, in blocks: queries must be few enough to be broadcast (checked by the
-    caller's choice of the set), rows are scanned once; each task keeps its best before the shuffle.
+    A stated query set against all rows, in blocks: the queries are counted and dealt by hash into blocks of about
+    ``block``, each broadcast on its own, so what is broadcast doesn't grow with the data; the rows are scanned once a
+    block, and each task keeps its best before the shuffle.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.transform(vec, lambda x: x.cast("double")).alias("qv")))
+    blocks = max(1, -(-queries.count() // block))
     r = rows.select(key, F.transform(vec, lambda x: x.cast("double")).alias("rv"))
-    sims = r.join(q, F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col("qv"), F.col("rv")), 6).alias("sim"))
+    sims = None
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else queries
+        q = F.broadcast(some.select(F.col(key).alias("query"), F.transform(vec, lambda x: x.cast("double")).alias("qv")))
+        part = r.join(q, F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col("qv"), F.col("rv")), 6).alias("sim"))
+        sims = part if sims is None else sims.unionByName(part)
     w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -32,8 +32,9 @@ def _findings(c: Column) -> Column:
 
 
 def name_key(c: Column) -> Column:
-    """A typed name in its comparable form: lower case, without outer blanks, '_', '.' and blanks as '-'."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"[_\s.]+", "-")
+    """A typed name in its comparable form: its words in lower case and in order of the alphabet, whatever stands between them."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.array_join(F.array_sort(words), "-")
 
 
 def reference_names(ref: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def inventory(assets: DataFrame, ref: DataFrame | None = None, need: Sequence[st
 
     Missing criticality is 0, missing flags are false, missing or blank zone and type 'unknown', missing sensitivity
     'user_data', missing evidence confidence 0. With ``ref`` (the reference list of names) a typed zone or type that
-    is an entry's name, display name or alias but for case, blanks, '_' and '.' counts as the entry; others stay as
+    is an entry's name, display name or alias but for case, punctuation and the order of words counts as the entry; others stay as
     typed (``unmapped_names`` lists them). ``need`` names the columns wanted besides ``id``, all by default: only they
     are read and shuffled, once, by the asset id. The reference list's names are joined after that; Spark broadcasts
     them while they are small.

@@ -40,16 +40,16 @@ def fill_first(chunks: DataFrame, workers: DataFrame, per_capacity: int = 2) ->
     """``chunk, worker``: pending chunks to workers, the least loaded (share of capacity) filled first.
 
     A worker takes ``capacity x per_capacity - load`` chunks. Chunks and workers are numbered in their orders; a
-    worker owns the range of numbers up to its running room, so the assignment is a range join on bounded rooms,
-    not a loop. Chunks beyond all rooms come out without a worker.
+    worker owns the numbers up to its running room, one row each (rooms are small), so the assignment is an equi-join
+    on the number. Chunks beyond all rooms come out without a worker.
     """
     room = F.greatest(F.col("capacity") * per_capacity - F.col("load"), F.lit(0))
     order = Window.orderBy(F.col("load") / F.col("capacity"), "worker")  # the workers: a cluster's node list
     w = workers.where("status NOT IN ('offline', 'error') AND load < capacity").withColumn("room", room)
     w = w.withColumn("upto", F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     n = numbered(chunks, ["chunk"], "n")
-    ranges = F.broadcast(w.select("worker", (F.col("upto") - F.col("room")).alias("lo"), "upto"))
-    return n.join(ranges, (F.col("n") > F.col("lo")) & (F.col("n") <= F.col("upto")), "left").select("chunk", "worker")
+    slots = w.where("room > 0").select("worker", F.explode(F.sequence(F.col("upto") - F.col("room") + 1, F.col("upto"))).alias("n"))
+    return n.join(slots, "n", "left").select("chunk", "worker")
 
 
 def cron_field(text: str, low: int, high: int) -> set[int]:

@@ -166,3 +166,15 @@ def best_per_pattern(paths: DataFrame, score: str, top: int, ties: Sequence[str
     w = Window.partitionBy("signature").orderBy(F.desc(score), *ties)
     best = rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").orderBy(F.desc(score), *ties).limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), *ties)))  # ``top`` rows only
+
+
+def insights(best: DataFrame, most: int = 6) -> DataFrame:
+    """``rank, text``: one line for each of the best paths that has a label, at most ``most``."""
+    text = F.format_string("%s: realism %.0f%%, impact %.0f, %s", F.col("label"), F.col("realism") * 100, F.col("impact"), F.col("timeline"))
+    return best.where(F.col("label").isNotNull()).orderBy("rank").limit(most).select("rank", text.alias("text"))
+
+
+def edge_split(edges: Column) -> tuple[Column, Column]:
+    """The number of edges split 70 to 30 as reports show it: the rounded 70 % and the rest."""
+    first = F.floor(edges * 0.7 + 0.5)
+    return first, edges - first

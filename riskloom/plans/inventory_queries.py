@@ -43,7 +43,7 @@ def asset_inventory(spark, sf_dir):
 @query("WITH " + sql.INV + """ SELECT field_name, value, count(*) AS n FROM (
   SELECT unnest([{'field_name': 'zone', 'value': coalesce(trim(zone), '')}, {'field_name': 'type', 'value': coalesce(trim(type), '')}], recursive := true)
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM assets) WHERE rn = 1) v
-WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.field_name = v.field_name AND c.key = regexp_replace(lower(trim(v.value)), '[_\\s.]+', '-', 'g')) GROUP BY ALL""")
+WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.field_name = v.field_name AND c.key = """ + sql.KEY("v.value") + ") GROUP BY ALL")
 def unmapped_names(spark, sf_dir):
     return inv_ops.unmapped_names(table(spark, sf_dir, "assets"), table(spark, sf_dir, "canon_ref"))
 

@@ -201,6 +201,28 @@ def job_findings(spark, sf_dir):
     return per.groupBy("job_id").agg(F.sum("n").alias("findings"), F.count("asset_id").alias("assets"), F.sum("c").alias("critical"), F.sum("h").alias("high"))
 
 
+@query(f"WITH {FINDINGS} SELECT j.id, j.type, j.status, count(DISTINCT f.asset_id) AS targets, count(f.finding_id) AS results FROM scan_jobs j LEFT JOIN f ON f.job_id = j.id GROUP BY ALL")
+def job_list_counts(spark, sf_dir):
+    """Every job with the number of its targets and of its results."""
+    per = job_findings(spark, sf_dir).select(F.col("job_id").alias("id"), F.col("assets").alias("targets"), F.col("findings").alias("results"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return table(spark, sf_dir, "scan_jobs").select("id", "type", "status").join(per, "id", "left").select("id", "type", "status", zero("targets"), zero("results"))
+
+
+@query(W + """SELECT id, list_contains(coalesce(services, []), 'agentd') AS is_container, domain_joined AS is_vm, criticality >= 4 AS is_hardened, internet_facing AS firewall_active,
+  array_to_string(list_filter(list_transform(coalesce(services, []), lambda s: trim(s)), lambda s: s <> ''), ',') AS services, CASE WHEN internet_facing THEN '22,443' ELSE '22' END AS ports FROM inv""")
+def host_contexts(spark, sf_dir):
+    """What raw collector results, made from an asset's columns, say about its host."""
+    i = inv(spark, sf_dir, "services", "domain_joined", "criticality", "internet_facing")
+    raw = F.create_map(
+        F.lit("interfaces"), F.when(F.array_contains("services", "agentd"), "lo veth0").otherwise("lo"), F.lit("dmi"), F.when(F.col("domain_joined"), "VMware").otherwise("Bare"),
+        F.lit("sshd_config"), F.when(F.col("criticality") >= 4, "SELINUX=enforcing").otherwise(""), F.lit("firewall_ufw"), F.when(F.col("internet_facing"), "Status: active").otherwise("Status: inactive"),
+        F.lit("services"), F.array_join("services", " ,\n"), F.lit("listening"), F.when(F.col("internet_facing"), "0.0.0.0:22 0.0.0.0:443 :::22").otherwise("0.0.0.0:22"),
+    )
+    c = va.context(i.select("id", raw.alias("raw")))
+    return c.select("id", "is_container", "is_vm", "is_hardened", "firewall_active", F.array_join("services", ",").alias("services"), F.array_join(F.transform("ports", lambda p: p.cast("string")), ",").alias("ports"))
+
+
 @query(f"WITH {FINDINGS} SELECT j.status, j.type, count(*) AS findings FROM f JOIN scan_jobs j ON j.id = f.job_id GROUP BY ALL")
 def findings_by_job_state(spark, sf_dir):
     per = _findings(spark, sf_dir, "job_id").where("job_id IS NOT NULL").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..operators import edges, path_scores as ps, path_search, scenario, targets
@@ -151,6 +152,30 @@ def target_classification(spark, sf_dir):
     return targets.classification(inv(spark, sf_dir, "type", "criticality"))
 
 
+@query(GRAPH.rstrip() + f",\n{TGT},\n{ADJ},\n{DIST},\n{ENTRY}\nSELECT profile, id, finding_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY rerank DESC, id, finding_id) AS place FROM entry) WHERE place <= 15")
+def reranked_entries(spark, sf_dir):
+    """The entry points of each profile in the order of their second score, at most 15."""
+    e = _search_all(spark, sf_dir)[1]
+    place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("rerank"), "id", "finding_id"))
+    return e.withColumn("place", place).where("place <= 15").select("profile", "id", "finding_id", "place")
+
+
+@query(GRAPH + "SELECT profile, count(*) AS edges, CAST(floor(count(*) * 0.7 + 0.5) AS BIGINT) AS validated, count(*) - CAST(floor(count(*) * 0.7 + 0.5) AS BIGINT) AS inferred FROM edges GROUP BY profile")
+def edge_split(spark, sf_dir):
+    s = edges.edge_statistics(inv(spark, sf_dir, *SCORED))
+    a, b = ps.edge_split(F.col("edges"))
+    return s.select("profile", "edges", a.alias("validated"), b.alias("inferred"))
+
+
+def path_insights(spark, sf_dir):
+    """One line for each of the best patterns."""
+    i, entries, goals, walkable = _search_all(spark, sf_dir)
+    return ps.insights(merged_report(path_search.search(walkable, entries, goals, by=["profile"]), i))
+
+
+QUERIES["path_insights"] = path_insights
+
+
 def exposure_report(spark, sf_dir):
     """The best searched path of each pattern over all profiles with all its scores, as one JSON document a row."""
     i, entries, goals, walkable = _search_all(spark, sf_dir)

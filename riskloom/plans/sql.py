@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from ..functions import fixed
 
-_key = lambda c: f"regexp_replace(lower(trim({c})), '[_\\s.]+', '-', 'g')"
+KEY = lambda c: f"array_to_string(list_sort(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), '-')"
 INV = f"""canon AS (
   SELECT field_name, key, min(canonical) AS canonical FROM (
-    SELECT field_name, canonical, {_key('way')} AS key FROM (SELECT field_name, canonical, unnest(list_concat([canonical, display_name], coalesce(aliases, []))) AS way FROM canon_ref))
+    SELECT field_name, canonical, {KEY('way')} AS key FROM (SELECT field_name, canonical, unnest(list_concat([canonical, display_name], coalesce(aliases, []))) AS way FROM canon_ref))
   WHERE key <> '' GROUP BY field_name, key HAVING count(DISTINCT canonical) = 1),
 inv AS (
   SELECT id, name, ip, coalesce(t.canonical, nullif(trim(type), ''), 'unknown') AS type, coalesce(z.canonical, nullif(trim(zone), ''), 'unknown') AS zone, coalesce(criticality, 0) AS criticality,
@@ -16,7 +16,7 @@ inv AS (
     coalesce(evidence.threat_intelligence.confidence, 0) AS intel, business_unit, annual_revenue_exposure AS revenue,
     {" + ".join(f"(coalesce(evidence.{x}.confidence, 0) > 0)::INT" for x in ("vulnerability_scanner", "siem_alerts", "threat_intelligence", "historical_attacks", "network_flow"))} AS sources
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM assets) a
-  LEFT JOIN canon t ON t.field_name = 'type' AND t.key = {_key('a.type')} LEFT JOIN canon z ON z.field_name = 'zone' AND z.key = {_key('a.zone')} WHERE rn = 1)"""
+  LEFT JOIN canon t ON t.field_name = 'type' AND t.key = {KEY('a.type')} LEFT JOIN canon z ON z.field_name = 'zone' AND z.key = {KEY('a.zone')} WHERE rn = 1)"""
 FND = """fnd AS (
   SELECT asset_id, pos, finding_id, title, category, severity, cvss, epss, exploit_available FROM (
     SELECT *, row_number() OVER (PARTITION BY asset_id, finding_id ORDER BY pos) AS rn FROM (

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -166,6 +167,26 @@ def notify(stream: DataFrame, sink, checkpoint: str, mode: str = "update"):
     return stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).start()
 
 
+class Progress(StreamingQueryListener):
+    """Calls ``told(name, trigger, rows)`` after every trigger: running progress for whoever registered it with
+    ``spark.streams.addListener``."""
+
+    def __init__(self, told):
+        self.told = told
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.told(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of three triggers by event id (1, 2 and 0 modulo 3): all rows, most of the last ones late.
 
