@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import edges, inventory as inv_ops
-from ..session import table
+from ..session import materialise, table
 from . import sql
 
 QUERIES: dict = {}
@@ -148,6 +148,11 @@ def entry_candidates(spark, sf_dir):
 GRAPH = sql.with_(*sql.GRAPH)
 
 
+def _graph_inventory(spark, sf_dir):
+    """What transitions are scored by, written once: sources, targets and classes all come from it."""
+    return materialise(inv(spark, sf_dir, *SCORED), "inventory")
+
+
 @query(sql.with_(sql.INV, sql.FND, sql.TECH, sql.CATTECH, sql.LK) + "SELECT asset_id, technique, round(likelihood, 6) AS likelihood FROM lk")
 def likelihood(spark, sf_dir):
     return edges.likelihoods(inv(spark, sf_dir, "findings", "siem", "intel")).withColumn("likelihood", F.round("likelihood", 6))
@@ -155,23 +160,23 @@ def likelihood(spark, sf_dir):
 
 @query(GRAPH + "SELECT profile, src, tgt, technique, round(posterior, 6) AS posterior, k FROM adj")
 def edge_topk(spark, sf_dir):
-    return edges.adjacency(inv(spark, sf_dir, *SCORED)).withColumn("posterior", F.round("posterior", 6))
+    return edges.adjacency(_graph_inventory(spark, sf_dir)).withColumn("posterior", F.round("posterior", 6))
 
 
 @query(GRAPH + "SELECT profile, (SELECT count(*) FROM inv) AS nodes, count(*) AS edges, round(avg(posterior), 6) AS avg_posterior, round(count(*) / greatest((SELECT count(*) FROM inv), 1)::DOUBLE, 6) AS branching FROM edges GROUP BY profile")
 def edge_statistics(spark, sf_dir):
-    return edges.edge_statistics(inv(spark, sf_dir, *SCORED))
+    return edges.edge_statistics(_graph_inventory(spark, sf_dir))
 
 
 @query(GRAPH + "SELECT profile, src, tgt, technique, round(posterior, 6) AS posterior FROM edges")
 def transition_list(spark, sf_dir):
     """Every transition that passes, not the strongest of each asset alone."""
-    return edges.all_transitions(inv(spark, sf_dir, *SCORED)).withColumn("posterior", F.round("posterior", 6))
+    return edges.all_transitions(_graph_inventory(spark, sf_dir)).withColumn("posterior", F.round("posterior", 6))
 
 
 @query(GRAPH + "SELECT (SELECT count(*) FROM prior) AS candidates, (SELECT count(*) FROM base) AS passed, (SELECT count(*) FROM prior) - (SELECT count(*) FROM base) AS pruned")
 def pruned_candidates(spark, sf_dir):
-    return edges.pruned(inv(spark, sf_dir, *SCORED))
+    return edges.pruned(_graph_inventory(spark, sf_dir))
 
 
 @query(GRAPH + """SELECT profile, src, tgt, technique, round(greatest(0, posterior - 0.1::DOUBLE), 6) AS ci_low, round(least(1, posterior + 0.1::DOUBLE), 6) AS ci_high,
@@ -179,7 +184,7 @@ def pruned_candidates(spark, sf_dir):
   'vulnerability_scanner' AS evidence_sources FROM adj""")
 def edge_details(spark, sf_dir):
     """The kept transitions as they are reported: interval, display name, evidence."""
-    a, p = edges.adjacency(inv(spark, sf_dir, *SCORED)), F.col("posterior")
+    a, p = edges.adjacency(_graph_inventory(spark, sf_dir)), F.col("posterior")
     names = fixed.switch(F.col("technique"), {t: label for t, _, label in fixed.techniques()}, "unknown")
     lo, hi = F.round(F.greatest(F.lit(0.0), p - 0.1), 6), F.round(F.least(F.lit(1.0), p + 0.1), 6)
     return a.select("profile", "src", "tgt", "technique", lo.alias("ci_low"), hi.alias("ci_high"), names.alias("label"), F.lit("vulnerability_scanner").alias("evidence_sources"))
@@ -190,7 +195,7 @@ count(*) FILTER (least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1
 count(*) FILTER (least(1, posterior + 0.1::DOUBLE) - greatest(0, posterior - 0.1::DOUBLE) > 0.5) AS low_confidence FROM adj GROUP BY ALL""")
 def edge_confidence(spark, sf_dir):
     lo, hi = F.greatest(F.lit(0.0), F.col("posterior") - 0.1), F.least(F.lit(1.0), F.col("posterior") + 0.1)
-    a = edges.adjacency(inv(spark, sf_dir, *SCORED))
+    a = edges.adjacency(_graph_inventory(spark, sf_dir))
     return a.groupBy("profile", "technique").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("posterior"), 6).alias("avg_posterior"), F.round(F.avg(hi - lo), 6).alias("ci_width"), F.count_if(hi - lo < 0.3).alias("high_confidence"), F.count_if(hi - lo > 0.5).alias("low_confidence")
     )

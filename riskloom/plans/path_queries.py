@@ -162,7 +162,7 @@ def reranked_entries(spark, sf_dir):
 
 @query(GRAPH + "SELECT profile, count(*) AS edges, CAST(floor(count(*) * 0.7 + 0.5) AS BIGINT) AS validated, count(*) - CAST(floor(count(*) * 0.7 + 0.5) AS BIGINT) AS inferred FROM edges GROUP BY profile")
 def edge_split(spark, sf_dir):
-    s = edges.edge_statistics(inv(spark, sf_dir, *SCORED))
+    s = edges.edge_statistics(materialise(inv(spark, sf_dir, *SCORED), "inventory"))
     a, b = ps.edge_split(F.col("edges"))
     return s.select("profile", "edges", a.alias("validated"), b.alias("inferred"))
 
