@@ -52,8 +52,9 @@ class Automaton:
             flat += own[v]
             stack.append((v, True))
             stack += [(u, False) for u in below[v]]
-        self.end_item = np.array([i for i, _ in flat], np.int64)
-        self.end_at = np.array([at for _, at in flat], np.int64)
+        self.lo, self.hi = self.lo.tolist(), self.hi.tolist()
+        self.items_, self.ats_ = [i for i, _ in flat], [at for _, at in flat]
+        self.end_item, self.end_at = np.array(self.items_, np.int64), np.array(self.ats_, np.int64)
 
     def _extend(self, last: int, c: int, own: list) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -115,9 +116,13 @@ class Automaton:
             ranges = [(lo[v], hi[v])]
             while v > 0 and size >= run:
                 for a, b in ranges:
-                    some = self.end_item[a:b]
-                    keep = np.flatnonzero(may[some])
-                    for item, at in zip(some[keep].tolist(), self.end_at[a:b][keep].tolist()):
+                    if b - a <= 32:  # few places: lists are quicker than arrays
+                        places = [(i, at) for i, at in zip(self.items_[a:b], self.ats_[a:b]) if may[i]]
+                    else:
+                        some = self.end_item[a:b]
+                        keep = np.flatnonzero(may[some])
+                        places = zip(some[keep].tolist(), self.end_at[a:b][keep].tolist())
+                    for item, at in places:
                         # longer matches were marked word by word on the way
                         out.setdefault(item, set()).update((at,) if size > run else range(at - run + 1, at + 1))
                         if spots is not None:
