@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions import fixed
 from ..session import materialise
 
 DIM, HEADS = 128, 4
+FEATURES = 36  # entries of an initial embedding that aren't padding
 
 
 def features(inv: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def features(inv: DataFrame) -> DataFrame:
 
 def initial(feats: DataFrame) -> DataFrame:
     """Features padded to ``DIM`` and scaled; deterministic (no random factor)."""
-    pad = F.array_repeat(F.lit(0.0), DIM - 36)
+    pad = F.array_repeat(F.lit(0.0), DIM - FEATURES)
     return feats.select("id", "zone", F.transform(F.concat("f", pad), lambda x: x * math.sqrt(2 / DIM)).alias("e"))
 
 
@@ -51,29 +53,67 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def attention(emb: DataFrame, edges: DataFrame, layers: int = 2) -> DataFrame:
+SENT = 16_000_000  # bytes of vectors sent to every task at most; more are joined by sorting
+BAND = 64.0  # softmax sums are kept per band of scores this wide, so that no exponential overflows
+
+
+def attention(emb: DataFrame, edges: DataFrame, layers: int = 2, width: int = DIM) -> DataFrame:
     """``emb`` (id, e) after attention over ``edges`` in both directions; parallel edges count twice.
 
     Per head the weights are the softmax of the dot products with the neighbours; an embedding becomes 0.7 of
-    itself and 0.3 of the weighted neighbours, read from the layer before. Nodes without neighbours stay. The
-    softmax is a sum per node, so a node with a million neighbours is a mergeable aggregate, not a list.
+    itself and 0.3 of the weighted neighbours, read from the layer before. Nodes without neighbours stay. Entries from
+    ``width`` on must be zeros: they stay zeros, so they are left off on the way and put back at the end. The ids of
+    ``emb`` must be all ends of ``edges``, or more.
+
+    A node with one neighbour takes that neighbour's embedding as it is, and is itself one summand of it; both need no
+    more than the neighbour's vector beside the node's row. Links between nodes of several neighbours are joined at both
+    ends. The softmax is a sum per node and band of scores, so a node with a million neighbours is a mergeable aggregate,
+    not a list. Vectors compress so well that the size of their files says nothing: what is broadcast is counted first.
     """
-    size = DIM // HEADS
-    both = edges.unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    both = materialise(both, "links")
+    both = edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    links = materialise(both.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")), "links")
+    one = F.col("links") == 1
+    info = links.groupBy("source").agg(F.count(F.lit(1)).alias("links"), F.min("target").alias("t"), F.min("n").alias("m"))
+    info = materialise(info.select(F.col("source").alias("id"), "links", F.when(one, F.col("t")).alias("lone"), F.when(one, F.col("m")).alias("n")), "ends")
+    hubs = info.where("links > 1").select("id")
+    centres = materialise(hubs.union(info.where("lone IS NOT NULL").select("lone")).distinct(), "centres")
+    small = centres.count() * (8 * width + 100) <= SENT
+    side = F.broadcast if small else (lambda x: x.hint("merge"))
+    core = links.join(side(hubs.withColumnRenamed("id", "source")), "source", "left_semi").join(side(hubs.withColumnRenamed("id", "target")), "target", "left_semi")
+    core = materialise(core, "core")
+    emb = materialise(emb.select("id", F.slice("e", 1, width).alias("e")).join(info.hint("merge"), "id", "left"), "embedding")
     for _ in range(layers):
-        a, b = emb.select(F.col("id").alias("source"), F.col("e").alias("own")), emb.select(F.col("id").alias("target"), F.col("e").alias("near"))
-        pairs = both.join(a, "source").join(b, "target")
-        heads = F.array(*[F.struct(F.lit(h).alias("h"), F.slice("own", h * size + 1, size).alias("o"), F.slice("near", h * size + 1, size).alias("n")) for h in range(HEADS)])
-        rows = pairs.select(F.col("source").alias("id"), F.explode(heads).alias("x")).select("id", "x.h", "x.n", dot(F.col("x.o"), F.col("x.n")).alias("d"))
-        top = rows.groupBy("id", "h").agg(F.max("d").alias("top"))
-        w = rows.join(top, ["id", "h"]).withColumn("w", F.exp(F.col("d") - F.col("top")))
-        sums = w.groupBy("id", "h").agg(F.sum("w").alias("total"), F.array(*[F.sum(F.col("w") * F.get("n", F.lit(i))) for i in range(size)]).alias("s"))
-        mix = sums.select("id", "h", F.transform("s", lambda x: x / F.col("total")).alias("m"))
-        wide = mix.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("h", "m"))), lambda x: x["m"])).alias("mix"))
-        emb = emb.join(wide, "id", "left").withColumn("e", F.when(F.col("mix").isNull(), F.col("e")).otherwise(F.zip_with("e", "mix", lambda x, y: x * 0.7 + y * 0.3))).drop("mix")
-        emb = materialise(emb, "embedding")
-    return emb
+        c = materialise(emb.join(side(centres), "id", "left_semi").select("id", "e"), "centre-vectors")
+        beside = emb.join(side(c.select(F.col("id").alias("lone"), F.col("e").alias("le"))), "lone", "left")
+        near = beside.where("le IS NOT NULL").select(F.col("lone").alias("id"), F.col("le").alias("o"), F.col("e").alias("x"), "n")
+        far = core.join(side(c.select(F.col("id").alias("source"), F.col("e").alias("o"))), "source").join(side(c.select(F.col("id").alias("target"), F.col("e").alias("x"))), "target")
+        mix = _softmax_mean(near.unionByName(far.select(F.col("source").alias("id"), "o", "x", "n")), width, side)
+        new = beside.join(side(mix), "id", "left")
+        other = F.when(F.col("links") == 1, F.col("le")).when(F.col("links") > 1, F.col("mix"))
+        e = F.when(other.isNull(), F.col("e")).otherwise(F.zip_with("e", other, lambda x, y: x * 0.7 + y * 0.3))
+        emb = materialise(new.select("id", e.alias("e"), "links", "lone", "n"), "embedding")
+    return emb.select("id", F.concat("e", F.array_repeat(F.lit(0.0), DIM - width)).alias("e") if width < DIM else "e")
+
+
+def _softmax_mean(rows: DataFrame, width: int, side) -> DataFrame:
+    """``id, mix``: per head the mean of ``x`` weighted by the softmax of ``o . x``, each row counted ``n`` times.
+
+    Summed in bands: exp(d - BAND x band) can't overflow, and bands are put together from the highest down.
+    """
+    size = DIM // HEADS
+    heads = range(-(-width // size))
+    of = [i // size for i in range(width)]
+    d = [reduce(lambda a, y: a + y, [F.get("o", F.lit(i)) * F.get("x", F.lit(i)) for i in range(width) if of[i] == h]) for h in heads]
+    rows = rows.select("id", "x", "n", *[c.alias(f"d{h}") for h, c in enumerate(d)])
+    rows = rows.select("id", "x", *[F.floor(F.col(f"d{h}") / BAND).alias(f"b{h}") for h in heads], *[(F.col("n") * F.exp(F.col(f"d{h}") - F.floor(F.col(f"d{h}") / BAND) * BAND)).alias(f"w{h}") for h in heads])
+    bands = rows.groupBy("id", *[f"b{h}" for h in heads]).agg(
+        *[F.sum(f"w{h}").alias(f"w{h}") for h in heads], *[F.sum(F.col(f"w{of[i]}") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width)]
+    )
+    bands = materialise(bands, "bands")
+    top = bands.groupBy("id").agg(*[F.max(f"b{h}").alias(f"t{h}") for h in heads])
+    down = lambda h: F.exp((F.col(f"b{h}") - F.col(f"t{h}")) * BAND)
+    sums = bands.join(top.hint("merge"), "id").groupBy("id").agg(*[F.sum(F.col(f"w{h}") * down(h)).alias(f"w{h}") for h in heads], *[F.sum(F.col(f"s{i}") * down(of[i])).alias(f"s{i}") for i in range(width)])
+    return materialise(sums.select("id", F.array(*[F.col(f"s{i}") / F.col(f"w{of[i]}") for i in range(width)]).alias("mix")), "mix")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -496,8 +496,8 @@ def topology_edges(spark, sf_dir):
 
 def attention_embeddings(spark, sf_dir):
     """Two attention layers over zone representatives and members; norm and first entries of each embedding."""
-    i = materialise(inv(spark, sf_dir), "inventory")
-    e = em.attention(em.initial(em.features(i)).select("id", "e"), em.topology(i).unionByName(em.star(i)))
+    i = materialise(inv(spark, sf_dir, "type", "zone", "criticality", "internet_facing", "domain_joined", "findings", "sensitivity"), "inventory")
+    e = em.attention(em.initial(em.features(i)).select("id", "e"), em.topology(i).unionByName(em.star(i)), width=em.FEATURES)
     return e.select("id", F.round(F.sqrt(em.dot(F.col("e"), F.col("e"))), 6).alias("norm"), *[F.round(F.get("e", F.lit(k)), 6).alias(f"e{k}") for k in (0, 5, 10, 20)])
 
 
