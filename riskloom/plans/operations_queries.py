@@ -484,7 +484,7 @@ _SIMILAR = sql.with_(sql.INV, sql.FND, f"vec AS (SELECT id, {_vec} AS v FROM inv
 def similar_edge_topk(spark, sf_dir):
     """The strongest transitions with the assets' similarity in the prior (their first embeddings)."""
     i = materialise(inv(spark, sf_dir, *SCORED, "sensitivity"), "inventory")
-    vectors = em.initial(em.features(i)).select("id", F.col("e").alias("v"))
+    vectors = em.initial(em.features(i)).select("id", F.slice("e", 1, em.FEATURES).alias("v"))  # zeros from there on
     e = edges.similar_adjacency(i, vectors)
     return e.select("profile", "src", "tgt", "technique", F.rint(F.col("posterior") * 1e9).cast("bigint").alias("posterior_e9"), "k")
 

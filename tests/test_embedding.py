@@ -57,6 +57,6 @@ def test_many_vectors_are_not_broadcast(spark, monkeypatch):
     emb = write(spark.range(30_000).select(F.concat(F.lit("a"), "id").alias("id"), F.array_repeat(F.lit(0.0), em.DIM).alias("e")), "test-vectors")
     ring = spark.range(30_000).select(F.concat(F.lit("a"), "id").alias("source"), F.concat(F.lit("a"), ((F.col("id") + 1) % 30_000)).alias("target"))
     monkeypatch.setattr(em, "SENT", 1_000_000, raising=False)
-    em.attention(emb, ring, layers=1)
+    em.attention(emb, ring, layers=1, width=em.FEATURES)
     wide = [p for p in plans if re.search(r"\be#", p)]
     assert wide and not any("BroadcastHashJoin" in p for p in wide)
