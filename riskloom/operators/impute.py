@@ -1,8 +1,9 @@
 """Filling missing values by predictive mean matching within groups.
 
-Every missing cell gets a prediction from a group-aware predictor, donors (rows with an observed value near it) and
-a copy of what the donors hold, with their ids. All statistics are built from counts combined before the shuffle,
-and medians by ranges of values, so a group holding a third of all rows is never in one task.
+Three steps, the same for every field: a group-aware predictor gives each missing cell a prediction (``_centres``,
+``_predictions``), a range search finds the observed rows next to it (``_nearest``), and what these hold is copied, with
+their ids (``_result``); a cell no donor is found for isn't filled. All statistics are built from counts combined before
+the shuffle, medians and donors by ranges of values, so a group holding a third of all rows is never in one task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,14 @@ class Numeric:
     def known(self, c: Column) -> Column:
         return F.when(c.between(self.low, self.high) & ~F.isnan(c), c.cast("double"))
 
+    def place(self, c: Column) -> Column:
+        """Where a known value stands among the others: a number."""
+        return c
+
+    def text(self, c: Column) -> Column:
+        """The value at a place, as text."""
+        return c.cast("string")
+
     def label(self, c: Column) -> Column:
         out = F.lit(None).cast("string")
         for name, below in reversed(self.bands):
@@ -51,12 +60,23 @@ class Category:
         clean = F.lower(F.trim(c))
         return F.when(clean.isin(*self.values), clean)
 
-    def rank(self, c: Column) -> Column:
-        return F.array_position(F.array(*[F.lit(v) for v in self.values]), c)
+    def place(self, c: Column) -> Column:
+        """Where a known value stands among the others: its number in ``values``, from 1."""
+        return F.when(c.isNotNull(), F.array_position(F.array(*[F.lit(v) for v in self.values]), c).cast("double"))
+
+    def text(self, c: Column) -> Column:
+        """The value at a place."""
+        return F.coalesce(*[F.when(c == i, v) for i, v in enumerate(self.values, 1)])  # element_at takes a null place for the last
+
+    label = text
+
+    def step(self, c: Column, steps: int) -> Column:
+        """A range for each value."""
+        return c.cast("int")
 
 
-RANGES = 1_024  # ranges of values a group's values are counted in before its median is sought in one of them
-STEPS = 256  # ranges of predictions donors are matched in
+RANGES = 1_024  # ranges of values a group's values are counted in before its median and the rows next to it are sought in some of them
+STEPS = 256  # ranges of predictions donors are sought in
 _EPS = 9  # decimals kept of a median before it is put in a band
 
 
@@ -73,11 +93,11 @@ def fill_missing(df: DataFrame, key: str, group: Sequence[str], fields: Mapping[
       observed values: the nearest from below and from above (the smallest keys that hold them); ``filled`` is
       their mean, which is the one value where both are the same (``donor_id_2`` is null then).
     * numeric with a covariate: a slope on the covariate, fitted within the coarsest groups and pooled, is added.
-      Rows with a value are ranged by their own prediction in ``STEPS`` steps over ``low..high``; the donor is the
-      row whose prediction is in the nearest step (then the lower one, then the smallest key), ``filled`` its
-      observed value. Where the covariate isn't known it adds nothing.
+      Rows with a value have their own predictions. A range search as above finds the two next to the cell's; the
+      donor is the one fewer steps away (``STEPS`` over ``low..high``), then the nearer, then the lower one, then the
+      smallest key, ``filled`` its observed value. Where the covariate isn't known it adds nothing.
     * categorical: the prediction is the most frequent value (ties: the earlier in ``values``), the donor the
-      smallest key that has it.
+      smallest key that has it, found by the same search.
 
     Input rows must have one row per key; null keys are left out. Extra columns are ignored. No rows, no cells.
     """
@@ -88,7 +108,12 @@ def fill_missing(df: DataFrame, key: str, group: Sequence[str], fields: Mapping[
     base = materialise(base, name)
     g = [f"__g{i}" for i in range(len(group))]
     levels = [g[:n] for n in range(len(g), -1, -1)] if back_off else [g]  # fine to coarse
-    centres = _centres(base, g, levels, fields, name)
+    parts = [F.struct(F.lit(f).alias("field"), s.place(F.col(f)).alias("at")) for f, s in fields.items()]
+    known = base.select(F.col("__id").alias("id"), *g, F.explode(F.array(*parts)).alias("c")).select("id", *g, "c.*").where("at IS NOT NULL")
+    known = known.withColumns({"range": _step_of(F.col("at"), fields, RANGES), "v": F.col("at")})
+    spans = materialise(known.groupBy(*g, "field", "range").agg(F.count(F.lit(1)).alias("n"), *_ends()), f"{name}-ranges")
+    spans = [_rolled(spans, keys, g) for keys in levels]
+    centres = _centres(known, spans, levels, fields, name)
 
     parts = [F.struct(F.lit(f).alias("field"), F.col(f).isNull().alias("miss")) for f in fields]
     matched = [f for f, s in nums.items() if s.covariate in nums]
@@ -98,9 +123,13 @@ def fill_missing(df: DataFrame, key: str, group: Sequence[str], fields: Mapping[
     else:
         own = base
     missing = own.select("__id", *g, F.explode(F.array(*parts)).alias("c")).where("c.miss").select("__id", *g, "c.field", *(["c.own"] if matched else []))
-    for keys, centre in zip(levels, centres):
+    by_group = ~F.col("field").isin(*matched)  # one prediction a group: its donors are those of all its cells
+    for keys, span, centre in zip(levels, spans, centres):
         n = len(keys)
-        right = centre.select(*[F.col(k).alias(f"{k}_r") for k in keys], F.col("field").alias("field_r"), F.col("m").alias(f"m{n}"))
+        want = centre.where(by_group).withColumn("range", _step_of(F.col("at"), fields, RANGES))
+        found = _nearest(known.where(by_group), span.where(by_group), want, keys)
+        right = centre.join(found.drop("at"), [*keys, "field"], "left")
+        right = right.select(*[F.col(k).alias(f"{k}_r") for k in keys], F.col("field").alias("field_r"), F.struct("at", "low", "high").alias(f"m{n}"))
         on = F.col("field") == F.col("field_r")
         for k in keys:
             on = on & (F.col(k) == F.col(f"{k}_r"))
@@ -108,89 +137,105 @@ def fill_missing(df: DataFrame, key: str, group: Sequence[str], fields: Mapping[
     sizes = [len(k) for k in levels]
     level = F.coalesce(*[F.when(F.col(f"m{n}").isNotNull(), n) for n in sizes])
     missing = missing.select("__id", *g, "field", *(["own"] if matched else []), level.alias("level"), F.coalesce(*[F.col(f"m{n}") for n in sizes]).alias("m"))
+    middle = F.round("m.at", _EPS)
     if not matched:
-        return _result(missing, key, fields, F.col("m"))
-    missing = missing.withColumn("own", F.when(F.col("level").isNotNull() & F.col("field").isin(*matched), F.coalesce("own", "m.p")))
+        return _result(missing, key, fields, middle, F.col("m.low"), F.col("m.high"))
+    missing = missing.withColumn("own", F.when(F.col("level").isNotNull() & ~by_group, F.coalesce("own", "m.at")))
     missing = materialise(missing, f"{name}-missing")  # read for the donors that are wanted, and for the result
-    found = _donors(own, missing, g, levels, matched, nums)
-    at = _step_of(F.col("own"), matched, nums)
-    slots = [F.when(F.col("level") > i, F.col(k)) for i, k in enumerate(g)]
-    on = (F.col("level") == F.col("level_d")) & (F.col("field") == F.col("field_d")) & (at == F.col("step_d"))
-    for k, slot in zip(g, slots):
-        on = on & slot.eqNullSafe(F.col(f"{k}_d"))
-    m = F.when(F.col("d").isNotNull(), F.struct(F.col("own").alias("p"), F.col("m.s").alias("s"), F.col("d.id").alias("id"), F.col("d.v").alias("v"), F.lit(None).cast("double").alias("v2"), F.col("m.id2").alias("id2")))
-    both = F.when(F.col("field").isin(*matched), m.withField("id2", F.lit(None).cast(base.schema["__id"].dataType))).otherwise(F.col("m"))
-    return _result(missing.join(found, on, "left"), key, fields, both)
-
-
-def _result(rows: DataFrame, key: str, fields, m: Column) -> DataFrame:
-    nums = {f: s for f, s in fields.items() if isinstance(s, Numeric)}
-    rows = rows.select("__id", "field", "level", m.alias("m"))
-    value = F.when(F.col("m.v2").isNull(), F.col("m.v")).otherwise(F.round((F.col("m.v") + F.col("m.v2")) / 2, _EPS))
-    label = F.col("m.s")
-    for f, s in nums.items():
-        label = F.when(F.col("field") == f, s.label(value)).otherwise(label)
+    found = _donors(own, missing, g, levels, {f: nums[f] for f in matched}, name)
+    on = (F.col("level") == F.col("level_d")) & (F.col("field") == F.col("field_d")) & (F.col("own") == F.col("at_d"))
+    for i, k in enumerate(g):
+        on = on & F.when(F.col("level") > i, F.col(k)).eqNullSafe(F.col(f"{k}_d"))
+    rows = missing.join(found, on, "left")
+    return _result(rows, key, fields, F.when(by_group, middle).otherwise(F.col("own")), F.when(by_group, F.col("m.low")).otherwise(F.col("d")), F.when(by_group, F.col("m.high")))
+
+
+def _result(rows: DataFrame, key: str, fields, predicted: Column, low: Column, high: Column) -> DataFrame:
+    """What the donors hold, copied: the mean of both, or what the first holds where the second is null."""
+    rows = rows.select("__id", "field", "level", predicted.alias("p"), low.alias("low"), high.alias("high"))
+    value = F.when(F.col("high").isNull(), F.col("low.v")).otherwise(F.round((F.col("low.v") + F.col("high.v")) / 2, _EPS))
+    rows = rows.withColumn("value", value)
+    of = lambda m, c: F.coalesce(*[F.when(F.col("field") == f, getattr(s, m)(F.col(c))) for f, s in fields.items()])
     return rows.select(
-        F.col("__id").alias(key), "field", "level", F.coalesce(F.col("m.p").cast("string"), F.col("m.s")).alias("predicted"), F.col("m.id").alias("donor_id"),
-        F.when(F.col("m.id2") != F.col("m.id"), F.col("m.id2")).alias("donor_id_2"), F.coalesce(value.cast("string"), F.col("m.s")).alias("filled"), label.alias("label"),
+        F.col("__id").alias(key), "field", "level", of("text", "p").alias("predicted"), F.col("low.id").alias("donor_id"),
+        F.when(F.col("high.id") != F.col("low.id"), F.col("high.id")).alias("donor_id_2"), of("text", "value").alias("filled"), of("label", "value").alias("label"),
     )
 
 
-def _rolled(counts: DataFrame, keys, g, rest) -> DataFrame:
-    """Counts of the finest groups put together to those of ``keys``; groups with a null in them don't count."""
-    at = counts.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)) if keys else counts
-    return at if keys == g else at.groupBy(*keys, *rest).agg(F.sum("n").alias("n"), *([F.min("id").alias("id")] if "id" in counts.columns else []))
+def _ends() -> list[Column]:
+    return [F.min("at").alias("bottom"), F.max("at").alias("top")]
+
+
+def _rolled(spans: DataFrame, keys, g) -> DataFrame:
+    """Ranges of the finest groups put together to those of ``keys``; groups with a null in them don't count."""
+    at = _complete(spans, keys)
+    if keys == g:
+        return at
+    return at.groupBy(*keys, "field", "range").agg(F.sum("n").alias("n"), F.min("bottom").alias("bottom"), F.max("top").alias("top"))
+
 
+def _complete(df: DataFrame, keys) -> DataFrame:
+    return df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)) if keys else df
 
-def _centres(base, g, levels, fields, name) -> list[DataFrame]:
-    """Per level: ``keys, field, m`` with the prediction of each group and the donors that hold it.
 
-    ``m`` is (p, s, id, v, v2, id2): the median and the two rows in the middle, or the most frequent value and a row
-    that has it. Only counts by range cross the network for all rows; values do for the ranges the medians are in.
+def _centres(known, spans, levels, fields, name) -> list[DataFrame]:
+    """Per level: ``keys, field, at`` with the prediction of each group, its median or the place of its most frequent value.
+
+    Only counts by range cross the network for all rows; values do for the ranges the medians are in.
     """
-    nums = {f: s for f, s in fields.items() if isinstance(s, Numeric)}
-    cats = {f: s for f, s in fields.items() if isinstance(s, Category)}
-    id_type = base.schema["__id"].dataType
-    out: list[DataFrame | None] = [None] * len(levels)
-    if nums:
-        parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("v"), s.step(F.col(f), RANGES).alias("range")) for f, s in nums.items()]
-        known = base.select("__id", *g, F.explode(F.array(*parts)).alias("c")).select("__id", *g, "c.*").where("v IS NOT NULL")
-        ranges = materialise(known.groupBy(*g, "field", "range").agg(F.count(F.lit(1)).alias("n")), f"{name}-ranges")
-        for i, keys in enumerate(levels):
-            h = _rolled(ranges, keys, g, ["field", "range"])
-            own = Window.partitionBy(*keys, "field")  # at most RANGES rows a group
-            h = h.withColumns({"upto": F.sum("n").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(own)})
-            before = F.col("upto") - F.col("n")
-            ranks = [F.floor((F.col("all") + k) / 2) for k in (1, 2)]  # the two rows in the middle; one row if their number is odd
-            inside = [(before < r) & (r <= F.col("upto")) for r in ranks]
-            want = h.where(inside[0] | inside[1]).select(*keys, "field", "range", *[F.when(x, r - before).alias(f"q{j}") for j, (x, r) in enumerate(zip(inside, ranks))])
-            values = known.join(want, [*keys, "field", "range"]).groupBy(*keys, "field", "range", "q0", "q1", "v").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("id"))
-            upto = F.sum("n").over(Window.partitionBy(*keys, "field", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-            values = values.withColumn("upto", upto)
-            picks = []
-            for j in (0, 1):
-                hit = (F.col("upto") - F.col("n") < F.col(f"q{j}")) & (F.col(f"q{j}") <= F.col("upto"))
-                picks += [F.max(F.when(hit, F.col("v"))).alias(f"v{j}"), F.max(F.when(hit, F.col("id"))).alias(f"id{j}")]
-            mid = values.groupBy(*keys, "field").agg(*picks)
-            p = F.round((F.col("v0") + F.col("v1")) / 2, _EPS)
-            m = F.struct(p.alias("p"), F.lit(None).cast("string").alias("s"), F.col("id0").alias("id"), F.col("v0").alias("v"), F.col("v1").alias("v2"), F.col("id1").alias("id2"))
-            out[i] = mid.select(*keys, "field", m.alias("m"))
-    if cats:
-        parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("s"), (-s.rank(F.col(f))).alias("turn")) for f, s in cats.items()]
-        votes = base.select("__id", *g, F.explode(F.array(*parts)).alias("c")).select("__id", *g, "c.*").where("s IS NOT NULL")
-        votes = materialise(votes.groupBy(*g, "field", "s", "turn").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("id")), f"{name}-votes")
-        none = F.lit(None).cast("double")
-        for i, keys in enumerate(levels):
-            best = _rolled(votes, keys, g, ["field", "s", "turn"]).groupBy(*keys, "field").agg(F.max(F.struct("n", "turn", "s", "id")).alias("b"))
-            m = F.struct(none.alias("p"), F.col("b.s").alias("s"), F.col("b.id").alias("id"), none.alias("v"), none.alias("v2"), F.lit(None).cast(id_type).alias("id2"))
-            best = best.select(*keys, "field", m.alias("m"))
-            out[i] = best if out[i] is None else out[i].unionByName(best)
-    return [materialise(x, f"{name}-centres") for x in out]
+    cats = [f for f, s in fields.items() if isinstance(s, Category)]
+    out = []
+    for keys, h in zip(levels, spans):
+        own = Window.partitionBy(*keys, "field")  # at most RANGES rows a group
+        h = h.withColumns({"upto": F.sum("n").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(own)})
+        before = F.col("upto") - F.col("n")
+        ranks = [F.floor((F.col("all") + k) / 2) for k in (1, 2)]  # the two rows in the middle; one row if their number is odd
+        inside = [(before < r) & (r <= F.col("upto")) for r in ranks]
+        want = h.where(~F.col("field").isin(*cats) & (inside[0] | inside[1])).select(*keys, "field", "range", *[F.when(x, r - before).alias(f"q{j}") for j, (x, r) in enumerate(zip(inside, ranks))])
+        values = known.join(want, [*keys, "field", "range"]).groupBy(*keys, "field", "range", "q0", "q1", "at").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "field", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+        values = values.withColumn("upto", upto)
+        hit = [(F.col("upto") - F.col("n") < F.col(f"q{j}")) & (F.col(f"q{j}") <= F.col("upto")) for j in (0, 1)]
+        mid = values.groupBy(*keys, "field").agg(*[F.max(F.when(x, F.col("at"))).alias(f"v{j}") for j, x in enumerate(hit)])
+        centre = mid.select(*keys, "field", ((F.col("v0") + F.col("v1")) / 2).alias("at"))
+        if cats:
+            best = h.where(F.col("field").isin(*cats)).groupBy(*keys, "field").agg(F.max_by("top", F.struct("n", -F.col("range"))).alias("at"))
+            centre = centre.unionByName(best)
+        out.append(materialise(centre, f"{name}-centres"))
+    return out
+
+
+def _nearest(pool, spans, want, keys) -> DataFrame:
+    """``keys, field, at, low, high``: for each place that is wanted the observed rows (at, id, v) next to it from below and above.
+
+    ``pool`` are the observed rows (``keys, field, range, at, id, v``), ``spans`` the ends (``bottom, top``) of its ranges,
+    ``want`` the places (``keys, field, range, at``), none twice. A row at the place itself is both; of rows at one place
+    the smallest id counts. The ends tell which ranges hold the nearest rows: the place's own, and the next one that
+    has rows where its own has none on that side. Only rows of those are compared, range by range, so the search is
+    exact and no task gets more than a range of a group.
+    """
+    by = [*keys, "field", "range"]
+    ends = spans.select(*by, "bottom", "top").unionByName(want.select(*by, F.col("at").alias("least"), F.col("at").alias("most")), allowMissingColumns=True)
+    ends = ends.groupBy(*by).agg(*[f(c).alias(c) for f, c in ((F.min, "bottom"), (F.max, "top"), (F.min, "least"), (F.max, "most"))])
+    side = Window.partitionBy(*keys, "field")  # as many rows as there are ranges
+    has = F.when(F.col("bottom").isNotNull(), F.col("range"))
+    none = F.col("bottom").isNull()
+    before, after = (F.last(has, ignorenulls=True).over(side.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)) for o in (F.asc("range"), F.desc("range")))
+    looks = ends.withColumns({"before": before, "after": after}).where("least IS NOT NULL")
+    there = F.array(has, F.when(none | (F.col("least") < F.col("bottom")), F.col("before")), F.when(none | (F.col("most") > F.col("top")), F.col("after")))
+    looks = looks.select(*keys, "field", F.col("range").alias("asked"), F.explode(there).alias("range")).where("range IS NOT NULL")
+    looks = materialise(looks, "looks")  # read twice, and its size is known: while it is small no observed row is shuffled for it
+    near = _complete(pool, keys).join(looks, by, "left_semi").groupBy(*by, "at").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
+    ask = want.withColumnRenamed("range", "asked").join(looks, [*keys, "field", "asked"]).select(*by, "at", F.lit(True).alias("wanted"))
+    both = near.select(*by, "at", F.struct("at", "id", "v").alias("d")).unionByName(ask, allowMissingColumns=True)
+    low, high = (F.last("d", ignorenulls=True).over(Window.partitionBy(*by).orderBy(o).rangeBetween(Window.unboundedPreceding, 0)) for o in (F.asc("at"), F.desc("at")))
+    found = both.withColumns({"low": low, "high": high}).where("wanted")
+    return found.groupBy(*keys, "field", "at").agg(F.max("low").alias("low"), F.min("high").alias("high"))
 
 
 def _predictions(base, g, finest, matched, nums) -> DataFrame:
     """``base`` with ``f__p`` for each matched field: the finest group's median and what the covariate adds; null without a median."""
-    medians = finest.groupBy(*g).agg(*[F.max(F.when(F.col("field") == f, F.col("m.p"))).alias(f"{f}__c") for f in matched])
+    medians = finest.groupBy(*g).agg(*[F.max(F.when(F.col("field") == f, F.col("at"))).alias(f"{f}__c") for f in matched])
     xs = sorted({nums[f].covariate for f in matched})
     means = base.groupBy(*g).agg(*[F.avg(x).alias(f"{x}__x") for x in xs])
     side = medians.join(means, g, "left") if g else medians.crossJoin(means)  # one row each
@@ -213,35 +258,29 @@ def _slopes(base, coarse, matched) -> DataFrame:
     return base.groupBy(*coarse).agg(*sums).agg(*out)
 
 
-def _step_of(c: Column, matched, nums) -> Column:
+def _step_of(c: Column, fields, steps: int) -> Column:
     out = F.lit(None).cast("int")
-    for f in matched:
-        out = F.when(F.col("field") == f, nums[f].step(c, STEPS)).otherwise(out)
+    for f, s in fields.items():
+        out = F.when(F.col("field") == f, s.step(c, steps)).otherwise(out)
     return out
 
 
-def _donors(own, missing, g, levels, matched, nums) -> DataFrame:
-    """``*g_d, level_d, field_d, step_d, d``: for each group, field and step that is wanted the nearest donor (id, v).
-
-    A group has at most STEPS donors per field, the smallest key of each step; what is wanted and what there is are
-    put in one order of steps, and every wanted step looks to the donor before it and the one after.
-    """
-    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("v"), nums[f].step(F.col(f"{f}__p"), STEPS).alias("step")) for f in matched]
-    rows = own.select("__id", *g, F.explode(F.array(*parts)).alias("c")).select("__id", *g, "c.*").where("v IS NOT NULL AND step IS NOT NULL")
-    finest = materialise(rows.groupBy(*g, "field", "step").agg(F.min("__id").alias("id"), F.min_by("v", "__id").alias("v")), "donors")
+def _donors(own, missing, g, levels, matched, name) -> DataFrame:
+    """``*g_d, level_d, field_d, at_d, d``: for each group, field and prediction that is wanted the donor (at, id, v) with the nearest prediction."""
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("v"), F.col(f"{f}__p").alias("at")) for f in matched]
+    rows = own.select(F.col("__id").alias("id"), *g, F.explode(F.array(*parts)).alias("c")).select("id", *g, "c.*").where("v IS NOT NULL AND at IS NOT NULL")
+    rows = rows.groupBy(*g, "field", "at").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
+    rows = materialise(rows.withColumn("range", _step_of(F.col("at"), matched, STEPS)), f"{name}-donors")
     out = None
     for keys in levels:
         n = len(keys)
-        pool = finest.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)) if keys else finest
-        pool = pool if keys == g else pool.groupBy(*keys, "field", "step").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
-        want = missing.where((F.col("level") == n) & F.col("own").isNotNull()).select(*keys, "field", _step_of(F.col("own"), matched, nums).alias("step")).distinct()
-        all_ = pool.select(*keys, "field", "step", F.struct("step", "id", "v").alias("d")).unionByName(want.withColumn("want", F.lit(True)), allowMissingColumns=True)
-        w = Window.partitionBy(*keys, "field").orderBy("step")
-        low = F.last("d", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-        high = F.first("d", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
-        near = all_.withColumns({"low": low, "high": high}).where("want")
-        nearer = F.when(F.col("high").isNull() | (F.col("step") - F.col("low.step") <= F.col("high.step") - F.col("step")), F.col("low")).otherwise(F.col("high"))
+        spans = _complete(rows, keys).groupBy(*keys, "field", "range").agg(*_ends())
+        want = missing.where((F.col("level") == n) & F.col("own").isNotNull()).select(*keys, "field", F.col("own").alias("at")).distinct()
+        near = _nearest(rows, spans, want.withColumn("range", _step_of(F.col("at"), matched, STEPS)), keys)
+        step = {c: _step_of(F.col(c), matched, STEPS) for c in ("at", "low.at", "high.at")}
+        far = [F.struct(F.abs(step["at"] - step[f"{d}.at"]), F.abs(F.col("at") - F.col(f"{d}.at"))) for d in ("low", "high")]
+        nearer = F.when(F.col("low").isNotNull() & (F.col("high").isNull() | (far[0] <= far[1])), F.col("low")).otherwise(F.col("high"))
         slots = [(F.col(k) if k in keys else F.lit(None).cast(own.schema[k].dataType)).alias(f"{k}_d") for k in g]
-        near = near.select(*slots, F.lit(n).alias("level_d"), F.col("field").alias("field_d"), F.col("step").alias("step_d"), nearer.alias("d"))
+        near = near.select(*slots, F.lit(n).alias("level_d"), F.col("field").alias("field_d"), F.col("at").alias("at_d"), nearer.alias("d"))
         out = near if out is None else out.unionByName(near)
     return out
