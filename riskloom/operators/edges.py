@@ -120,8 +120,11 @@ def _common() -> Column:
     return F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("both"), 1.2).otherwise(1.0)
 
 
-def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str]) -> DataFrame:
-    """``profile, *keep, technique, posterior``: both thresholds, and the best technique of each row under each profile."""
+def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str], bars: bool = False) -> DataFrame:
+    """``profile, *keep, technique, posterior``: both thresholds, and the best technique of each row under each profile.
+
+    With ``bars`` only rows that reach their ``bar_<profile>`` (null: none).
+    """
     table, techniques = fixed.profiles(), fixed.techniques()
     n = range(len(techniques))
     first = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9
@@ -130,37 +133,63 @@ def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str]) -> DataFrame
     rows = rows.withColumns({f"prior{i}": F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95)) for i in n})
     rows = rows.withColumns({f"ok{i}": _score(F.col(f"prior{i}"), i) >= F.col("first") for i in n})
     posts = {f"{p}{i}": F.when(F.col(f"ok{i}"), _score(F.least(F.col(f"prior{i}") * table[p].get(t_, 1.0), F.lit(0.95)), i)) for p in names for i, (t_, _, _) in enumerate(techniques)}
-    rows = rows.select(*keep, "second", *[c.alias(k) for k, c in posts.items()])
+    bar = {p: F.greatest("second", f"bar_{p}") if bars else F.col("second") for p in names}
+    rows = rows.select(*keep, *[c.alias(f"{p}_bar") for p, c in bar.items()], *[c.alias(k) for k, c in posts.items()])
     rows = rows.withColumns({f"{p}_top": F.greatest(*[F.col(f"{p}{i}") for i in n]) for p in names})
     each = []
     for p in names:
         which = F.coalesce(*[F.when(F.col(f"{p}{i}") == F.col(f"{p}_top"), t_) for i, (t_, _, _) in enumerate(techniques)])
-        each.append(F.struct(F.lit(p).alias("profile"), which.alias("technique"), F.col(f"{p}_top").alias("posterior")))
-    return rows.select(*keep, "second", F.explode(F.array(*each)).alias("p")).where("p.posterior >= second").select("p.profile", *keep, "p.technique", "p.posterior")
+        each.append(F.struct(F.lit(p).alias("profile"), which.alias("technique"), F.col(f"{p}_top").alias("posterior"), F.col(f"{p}_bar").alias("bar")))
+    return rows.select(*keep, F.explode(F.array(*each)).alias("p")).where("p.posterior >= p.bar").select("p.profile", *keep, "p.technique", "p.posterior")
 
 
 FLAGS = ["src_zone", "src_internet", "src_domain"]
 SENT = 16_000_000  # bytes of candidates sent to every task at most; more are joined in SALT parts of each class
 SALT = 32
+PAIRS = 200_000  # pairs scored in one task, about
+
 
+def target_kinds(inv: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
+    """``_targets`` with their vector ``v``, one row for all that agree in everything but the id: ``tgt`` the smallest id, ``ids`` the ``k + 1`` smallest.
+
+    Targets of a kind have the same score from any source, so no other of them can be among a source's ``k`` strongest
+    (the source itself may be one of the ``k + 1``). The window keeps the first ids before its shuffle.
+    """
+    plain = _targets(inv)
+    t = plain.join(vectors.hint("merge"), F.col("tgt") == F.col("id"), "left").select(*plain.columns, F.coalesce("v", F.array().cast("array<double>")).alias("v"))
+    kind = [c for c in t.columns if c != "tgt"]
+    t = t.withColumn("h", F.xxhash64(*kind))  # first in the sort, so that rows are seldom compared further
+    first = t.withColumn("r", F.row_number().over(Window.partitionBy("h", *kind).orderBy("tgt"))).where(F.col("r") <= k + 1)
+    return first.groupBy("h", *kind).agg(F.array_sort(F.collect_list("tgt")).alias("ids")).select(F.get("ids", F.lit(0)).alias("tgt"), "ids", *kind)
 
-def similar_candidates(inv: DataFrame, targets: DataFrame, names: tuple[str, ...] = PROFILES, k: int = K) -> DataFrame:
+
+def _similar_bars(inv: DataFrame, targets: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
+    """``profile, *FLAGS, bar, bar_tgt``: the class's ``k + 1``-th strongest target at similarity 0; classes with fewer have no row."""
+    order = [F.desc("posterior"), "tgt"]
+    # written: the expressions are long, and every step on top of them would be planned with them again
+    least = materialise(_best(_in_situations(inv, targets).withColumn("common", _common()), names, ["tgt", *SITUATION]), "least")
+    c = reached_zones(classes(inv).drop("members")).withColumn("tgt_domain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("both", _both())
+    best = least.withColumn("r", F.row_number().over(Window.partitionBy("profile", *SITUATION).orderBy(*order))).where(F.col("r") <= k + 1)
+    mine = c.join(best, SITUATION).select("profile", *FLAGS, "tgt", "posterior")
+    place = F.row_number().over(Window.partitionBy("profile", *FLAGS).orderBy(*order))
+    if "ids" in targets.columns:
+        mine = mine.withColumn("r", place).where(F.col("r") <= k + 1).join(targets.select("tgt", "ids"), "tgt").select("profile", *FLAGS, F.explode("ids").alias("tgt"), "posterior")
+    mine = mine.withColumn("r", place).where(F.col("r") == k + 1)
+    return materialise(mine.select("profile", *FLAGS, F.col("posterior").alias("bar"), F.col("tgt").alias("bar_tgt")), "bars")
+
+
+def similar_candidates(inv: DataFrame, targets: DataFrame, names: tuple[str, ...] = PROFILES, k: int = K, bars: DataFrame | None = None) -> DataFrame:
     """``*FLAGS, tgt, dist``: the targets that may be among the ``k`` strongest of some source of the class, whatever the similarity.
 
     A score never falls as the similarity rises from 0 to 1, rounding included. So at least ``k`` targets other than the
     source are as strong as the class's ``k + 1``-th at similarity 0 (by score, then id), and a target that comes after
     that one even at similarity 1 is out. Exact; linear in the assets. Classes with fewer targets keep all that pass.
+    ``targets`` are single ones, or kinds (``target_kinds``).
     """
-    rows, order = _in_situations(inv, targets), [F.desc("posterior"), "tgt"]
-    # written: their expressions are long, and every step on top of them would be planned with them again
-    least = materialise(_best(rows.withColumn("common", _common()), names, ["tgt", *SITUATION]), "least")
-    most = materialise(_best(rows.withColumn("common", _common() * (1 + F.lit(1.0) * 0.3)), names, ["tgt", *SITUATION]), "most")
+    bars = _similar_bars(inv, targets, names, k) if bars is None else bars
+    most = materialise(_best(_in_situations(inv, targets).withColumn("common", _common() * (1 + F.lit(1.0) * 0.3)), names, ["tgt", *SITUATION]), "most")
     c = reached_zones(classes(inv).drop("members")).withColumn("tgt_domain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("both", _both())
-    best = least.withColumn("r", F.row_number().over(Window.partitionBy("profile", *SITUATION).orderBy(*order))).where(F.col("r") <= k + 1)
-    mine = c.join(best, SITUATION).select("profile", *FLAGS, "tgt", "posterior")
-    mine = mine.withColumn("r", F.row_number().over(Window.partitionBy("profile", *FLAGS).orderBy(*order))).where(F.col("r") == k + 1)
-    bar = mine.select("profile", *FLAGS, F.col("posterior").alias("bar"), F.col("tgt").alias("bar_tgt"))
-    c = c.crossJoin(fixed.small_table(inv.sparkSession, [(p,) for p in names], "profile string")).join(bar, ["profile", *FLAGS], "left")
+    c = c.crossJoin(fixed.small_table(inv.sparkSession, [(p,) for p in names], "profile string")).join(bars, ["profile", *FLAGS], "left")
     stays = F.col("bar").isNull() | (F.col("posterior") > F.col("bar")) | ((F.col("posterior") == F.col("bar")) & (F.col("tgt") <= F.col("bar_tgt")))
     return most.join(c, ["profile", *SITUATION]).where(stays).select(*FLAGS, "tgt", "dist").distinct()
 
@@ -169,30 +198,50 @@ def similar_adjacency(inv: DataFrame, vectors: DataFrame, names: tuple[str, ...]
     """``adjacency`` with the similarity of both assets in the prior: times 1 + 0.3 x cosine, where that is above 0.
 
     ``vectors``: ``id, v``, one array of finite doubles of one length per asset; without one the similarity is 0. Similarity
-    belongs to the pair, so pairs are scored, but only with the targets that can be among the strongest of the source's
-    class (``similar_candidates``), not with all that its zone reaches.
+    belongs to the pair, so pairs are scored, but pairs of kinds: sources of one class and vector share their ranking, and
+    targets that agree in all but the id are one (``target_kinds``). A source meets only the targets that can be among the
+    strongest of its class (``similar_candidates``), not all that its zone reaches.
     """
+    spark = inv.sparkSession
     vectors = materialise(vectors.select("id", "v"), "vectors")
-    v = vectors.select(F.col("id").alias("__id"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
     size = vectors.select(F.max(F.size("v"))).first()[0] or 0
-    s = inv.select(F.col("id").alias("src"), F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain"))
-    s = s.join(v.hint("merge"), F.col("src") == F.col("__id"), "left").withColumnsRenamed({"v": "sv", "n": "sn"}).drop("__id")
-    plain = materialise(_targets(inv), "targets")
-    t = plain.join(v.hint("merge"), F.col("tgt") == F.col("__id"), "left").withColumnsRenamed({"v": "tv", "n": "tn"}).drop("__id")
-    chosen = materialise(similar_candidates(inv, plain, names, k), "candidates")
-    chosen = materialise(t.join(chosen.hint("merge"), "tgt"), "candidate-targets")
-    if chosen.count() * (8 * size + 300) <= SENT:  # counted: vectors compress so well that the size of the files says nothing
-        pairs = s.join(F.broadcast(chosen), FLAGS)
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    members = inv.select(F.col("id").alias("src"), F.col("zone").alias("src_zone"), F.col("internet_facing").alias("src_internet"), F.col("domain_joined").alias("src_domain"))
+    members = members.join(vectors.hint("merge"), F.col("src") == F.col("id"), "left").select("src", *FLAGS, F.coalesce("v", F.array().cast("array<double>")).alias("sv"))
+    members = materialise(members, "members")
+    sources = materialise(members.groupBy(*FLAGS, "sv").agg(F.min("src").alias("kind")).withColumn("sn", norm("sv")), "sources")
+    kinds = materialise(target_kinds(inv, vectors, k), "targets")
+    bars = _similar_bars(inv, kinds, names, k)
+    chosen = similar_candidates(inv, kinds, names, k, bars)
+    chosen = kinds.drop("ids").withColumnRenamed("v", "tv").withColumn("tn", norm("tv")).join(chosen.hint("merge"), "tgt")
+    per = bars.groupBy(*FLAGS).agg(*[F.max(F.when(F.col("profile") == p, F.col("bar"))).alias(f"bar_{p}") for p in names])
+    chosen = materialise(chosen.join(per, FLAGS, "left"), "candidates")
+    n = sources.groupBy(*FLAGS).count().join(chosen.groupBy(*FLAGS).agg(F.count(F.lit(1)).alias("n")), FLAGS)
+    todo = n.agg(F.sum(F.col("count") * F.col("n")), F.sum("n")).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-(todo[0] or 0) // PAIRS))
+    if (todo[1] or 0) * (8 * size + 300) <= SENT:  # counted: vectors compress so well that the size of the files says nothing
+        pairs = sources.repartition(parts, "kind").join(F.broadcast(chosen), FLAGS)
     else:
-        parts = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        pairs = s.withColumn("salt", F.pmod(F.xxhash64("src"), F.lit(SALT)).cast("int")).hint("merge").join(parts, [*FLAGS, "salt"])
-    pairs = pairs.where("src <> tgt")
+        by = [*FLAGS, "salt"]  # dealt by number, as bytes say nothing of the work
+        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).repartition(parts, *by)
+        dealt = sources.withColumn("salt", F.pmod(F.xxhash64("kind"), F.lit(SALT)).cast("int")).repartition(parts, *by)
+        pairs = dealt.hint("merge").join(salted, by)
     dot = reduce(lambda a, x: a + x, [F.get("sv", F.lit(i)) * F.get("tv", F.lit(i)) for i in range(size)], F.lit(0.0))
     cosine = F.round(F.greatest(F.coalesce(dot / (F.col("sn") * F.col("tn") + 1e-8), F.lit(0.0)), F.lit(0.0)), 9)
     common = F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("src_domain") & F.col("tgt_domain"), 1.2).otherwise(1.0)
-    scored = _best(pairs.withColumn("common", common * (1 + cosine * 0.3)), names, ["src", "tgt"])
-    place = F.row_number().over(Window.partitionBy("profile", "src").orderBy(F.desc("posterior"), "tgt"))
-    return scored.select("profile", "src", "tgt", "technique", "posterior", place.alias("k")).where(F.col("k") <= k)
+    scored = _best(pairs.withColumn("common", common * (1 + cosine * 0.3)), names, ["kind", "tgt"], bars=True)
+    order = [F.desc("posterior"), "tgt"]
+    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("profile", "kind").orderBy(*order))).where(F.col("r") <= k + 1)
+    best = materialise(best.select("profile", "kind", "tgt", "technique", "posterior"), "best-kinds")
+    # their ids: from k + 1 kinds at most, so a list of (k + 1) x (k + 1) entries is the longest
+    best = best.join(kinds.select("tgt", "ids"), "tgt")
+    lists = best.groupBy("profile", "kind").agg(F.collect_list(F.struct((-F.col("posterior")).alias("minus"), "ids", "technique")).alias("b"))
+    one = F.flatten(F.transform("b", lambda x: F.transform(x["ids"], lambda t: F.struct(x["minus"].alias("minus"), t.alias("tgt"), x["technique"].alias("technique")))))
+    lists = lists.select("profile", "kind", F.slice(F.array_sort(one), 1, k + 1).alias("best")).join(sources.select("kind", *FLAGS, "sv"), "kind").drop("kind")
+    lists = materialise(lists.withColumn("tgts", F.col("best.tgt")), "rankings")
+    own = members.join(lists, [*FLAGS, "sv"]).select("profile", "src", F.array_position("tgts", F.col("src")).alias("own"), F.posexplode("best").alias("r", "b"))
+    place = F.col("r") + 1 - F.when((F.col("own") > 0) & (F.col("own") < F.col("r") + 1), 1).otherwise(0)
+    return own.where("b.tgt <> src").select("profile", "src", "b.tgt", "b.technique", (-F.col("b.minus")).alias("posterior"), place.cast("int").alias("k")).where(F.col("k") <= k)
 
 
 def pruned(inv: DataFrame) -> DataFrame:
