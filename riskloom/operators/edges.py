@@ -8,14 +8,13 @@ no pair of assets is built but those that are kept.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..session import materialise
+from .similar_pairs import strongest
 
 K = 20
 PROFILES = ("apt", "ransomware", "insider")
@@ -120,11 +119,8 @@ def _common() -> Column:
     return F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("both"), 1.2).otherwise(1.0)
 
 
-def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str], bars: bool = False) -> DataFrame:
-    """``profile, *keep, technique, posterior``: both thresholds, and the best technique of each row under each profile.
-
-    With ``bars`` only rows that reach their ``bar_<profile>`` (null: none).
-    """
+def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """``profile, *keep, technique, posterior``: both thresholds, and the best technique of each row under each profile."""
     table, techniques = fixed.profiles(), fixed.techniques()
     n = range(len(techniques))
     first = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9
@@ -133,20 +129,16 @@ def _best(rows: DataFrame, names: tuple[str, ...], keep: list[str], bars: bool =
     rows = rows.withColumns({f"prior{i}": F.least(F.col(f"part{i}") * F.col("common"), F.lit(0.95)) for i in n})
     rows = rows.withColumns({f"ok{i}": _score(F.col(f"prior{i}"), i) >= F.col("first") for i in n})
     posts = {f"{p}{i}": F.when(F.col(f"ok{i}"), _score(F.least(F.col(f"prior{i}") * table[p].get(t_, 1.0), F.lit(0.95)), i)) for p in names for i, (t_, _, _) in enumerate(techniques)}
-    bar = {p: F.greatest("second", f"bar_{p}") if bars else F.col("second") for p in names}
-    rows = rows.select(*keep, *[c.alias(f"{p}_bar") for p, c in bar.items()], *[c.alias(k) for k, c in posts.items()])
+    rows = rows.select(*keep, "second", *[c.alias(k) for k, c in posts.items()])
     rows = rows.withColumns({f"{p}_top": F.greatest(*[F.col(f"{p}{i}") for i in n]) for p in names})
     each = []
     for p in names:
         which = F.coalesce(*[F.when(F.col(f"{p}{i}") == F.col(f"{p}_top"), t_) for i, (t_, _, _) in enumerate(techniques)])
-        each.append(F.struct(F.lit(p).alias("profile"), which.alias("technique"), F.col(f"{p}_top").alias("posterior"), F.col(f"{p}_bar").alias("bar")))
-    return rows.select(*keep, F.explode(F.array(*each)).alias("p")).where("p.posterior >= p.bar").select("p.profile", *keep, "p.technique", "p.posterior")
+        each.append(F.struct(F.lit(p).alias("profile"), which.alias("technique"), F.col(f"{p}_top").alias("posterior")))
+    return rows.select(*keep, "second", F.explode(F.array(*each)).alias("p")).where("p.posterior >= second").select("p.profile", *keep, "p.technique", "p.posterior")
 
 
 FLAGS = ["src_zone", "src_internet", "src_domain"]
-SENT = 16_000_000  # bytes of candidates sent to every task at most; more are joined in SALT parts of each class
-SALT = 32
-PAIRS = 200_000  # pairs scored in one task, about
 
 
 def target_kinds(inv: DataFrame, vectors: DataFrame, k: int = K) -> DataFrame:
@@ -202,7 +194,6 @@ def similar_adjacency(inv: DataFrame, vectors: DataFrame, names: tuple[str, ...]
     targets that agree in all but the id are one (``target_kinds``). A source meets only the targets that can be among the
     strongest of its class (``similar_candidates``), not all that its zone reaches.
     """
-    spark = inv.sparkSession
     vectors = materialise(vectors.select("id", "v"), "vectors")
     size = vectors.select(F.max(F.size("v"))).first()[0] or 0
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
@@ -215,25 +206,12 @@ def similar_adjacency(inv: DataFrame, vectors: DataFrame, names: tuple[str, ...]
     chosen = similar_candidates(inv, kinds, names, k, bars)
     chosen = kinds.drop("ids").withColumnRenamed("v", "tv").withColumn("tn", norm("tv")).join(chosen.hint("merge"), "tgt")
     per = bars.groupBy(*FLAGS).agg(*[F.max(F.when(F.col("profile") == p, F.col("bar"))).alias(f"bar_{p}") for p in names])
-    chosen = materialise(chosen.join(per, FLAGS, "left"), "candidates")
-    n = sources.groupBy(*FLAGS).count().join(chosen.groupBy(*FLAGS).agg(F.count(F.lit(1)).alias("n")), FLAGS)
-    todo = n.agg(F.sum(F.col("count") * F.col("n")), F.sum("n")).first()
-    parts = max(spark.sparkContext.defaultParallelism, -(-(todo[0] or 0) // PAIRS))
-    if (todo[1] or 0) * (8 * size + 300) <= SENT:  # counted: vectors compress so well that the size of the files says nothing
-        pairs = sources.repartition(parts, "kind").join(F.broadcast(chosen), FLAGS)
-    else:
-        by = [*FLAGS, "salt"]  # dealt by number, as bytes say nothing of the work
-        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).repartition(parts, *by)
-        dealt = sources.withColumn("salt", F.pmod(F.xxhash64("kind"), F.lit(SALT)).cast("int")).repartition(parts, *by)
-        pairs = dealt.hint("merge").join(salted, by)
-    dot = reduce(lambda a, x: a + x, [F.get("sv", F.lit(i)) * F.get("tv", F.lit(i)) for i in range(size)], F.lit(0.0))
-    cosine = F.round(F.greatest(F.coalesce(dot / (F.col("sn") * F.col("tn") + 1e-8), F.lit(0.0)), F.lit(0.0)), 9)
-    common = F.when(F.col("dist") == 0, 1.0).otherwise(0.6) * F.when(F.col("src_internet"), 1.4).otherwise(1.0) * F.when(F.col("src_domain") & F.col("tgt_domain"), 1.2).otherwise(1.0)
-    scored = _best(pairs.withColumn("common", common * (1 + cosine * 0.3)), names, ["kind", "tgt"], bars=True)
-    order = [F.desc("posterior"), "tgt"]
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("profile", "kind").orderBy(*order))).where(F.col("r") <= k + 1)
-    best = materialise(best.select("profile", "kind", "tgt", "technique", "posterior"), "best-kinds")
-    # their ids: from k + 1 kinds at most, so a list of (k + 1) x (k + 1) entries is the longest
+    second = threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.lit(0)) - 1e-9
+    chosen = chosen.join(per, FLAGS, "left").withColumns({f"bar_{p}": F.greatest(second, f"bar_{p}") for p in names})
+    chosen = chosen.withColumn("first", threshold(F.col("tgt_criticality"), F.col("tgt_zone"), F.col("dist")) - 1e-9)
+    chosen = materialise(chosen.withColumn("both", _both()).withColumn("com", _common()), "candidates")
+    best = materialise(strongest(sources, chosen, FLAGS, names, size, k + 1), "best-kinds")
+    # their ids: a list has (k + 1) x (k + 1) entries of each group of targets at most
     best = best.join(kinds.select("tgt", "ids"), "tgt")
     lists = best.groupBy("profile", "kind").agg(F.collect_list(F.struct((-F.col("posterior")).alias("minus"), "ids", "technique")).alias("b"))
     one = F.flatten(F.transform("b", lambda x: F.transform(x["ids"], lambda t: F.struct(x["minus"].alias("minus"), t.alias("tgt"), x["technique"].alias("technique")))))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from riskloom.operators import edges
+from riskloom.operators import edges, similar_pairs
 from sql_check import assert_same, connection
 
 COPIES = 25  # more than the k + 1 smallest ids that are kept of a kind
@@ -24,22 +24,23 @@ def copies(spark, sf, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("sent", [edges.SENT, 0], ids=["broadcast", "salted"])
-def test_copies_as_the_sql(spark, copies, monkeypatch, sent):
-    monkeypatch.setattr(edges, "SENT", sent)
+@pytest.mark.parametrize(("pairs", "side"), [(None, None), (500, 30)], ids=["whole", "parts"])
+def test_copies_as_the_sql(spark, copies, monkeypatch, pairs, side):
+    if pairs:
+        monkeypatch.setattr(similar_pairs, "PAIRS", pairs)
+        monkeypatch.setattr(similar_pairs, "SIDE", side)
     q = "similar_edge_topk"
     assert_same(spark, connection(copies), copies, e.queries()[q], e.oracle_sql()[q])
 
 
 def test_pairs_do_not_grow_with_copies(spark, sf, copies, monkeypatch):
-    best, seen = edges._best, []
+    strongest, seen = edges.strongest, []
 
-    def counted(rows, *args, **more):
-        if "sn" in rows.columns:  # pairs
-            seen.append(rows.count())
-        return best(rows, *args, **more)
+    def counted(sources, targets, key, *args):
+        seen.append(sources.join(targets, key).count())
+        return strongest(sources, targets, key, *args)
 
-    monkeypatch.setattr(edges, "_best", counted)
+    monkeypatch.setattr(edges, "strongest", counted)
     for d in (sf, copies):
         e.queries()["similar_edge_topk"](spark, d)
     assert 0 < seen[1] <= seen[0]
